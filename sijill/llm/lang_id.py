@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, code_points, crc_mod, table, text_buffers
+from .common import chunks, code_points, crc_mod, map_arrow, table, text_buffers
 
 UNDETERMINED = "und"
 #: Symbols: 0 for a run of non-letters, 1-26 for a-z, then buckets of all other letters.
@@ -117,14 +117,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
                 names=["lang", "pos", "value"],
             )
 
-    rows = (
-        docs.select(F.col(text).cast("string"), F.col(lang).cast("string"))
-        .where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-        .mapInArrow(sums, "lang string, pos int, value long")
-        .groupBy("lang", "pos")
-        .agg(F.sum("value").alias("value"))
-        .collect()
-    )
+    known = docs.select(F.col(text).cast("string"), F.col(lang).cast("string")).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    rows = map_arrow(known, sums, "lang string, pos int, value long").groupBy("lang", "pos").agg(F.sum("value").alias("value")).collect()
     made: dict[str, np.ndarray] = {}
     for name, pos, value in rows:
         made.setdefault(name, np.zeros(dimensions))[pos] = value
@@ -154,7 +148,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", pred: str =
                 cosine[a:b] = np.where(lettered, np.clip(near[np.arange(b - a), top], 0.0, 1.0), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(options[best], pa.string()), pa.array(cosine)], names=arrow_names)
 
-    return docs.mapInArrow(label, schema)
+    return map_arrow(docs, label, schema)
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 3, held: int = 1) -> DataFrame:

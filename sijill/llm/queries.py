@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import license_scan
+from .chat_format import OP3_SQL, op3_chat_format
 from .lang_id import op1_lang_id
+from .license_scan import op8_license_scan
+from .sentencepieces import op6_sentencepieces
+from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
+    "op3_chat_format": op3_chat_format,
+    "op4_token_counts": op4_token_counts,
+    "op6_sentencepieces": op6_sentencepieces,
+    "op8_license_scan": op8_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": OP3_SQL,
+    "op8_license_scan": license_scan.oracle_sql(),
+}
