@@ -5,6 +5,9 @@ spelled in byte pieces; a U+2581 of the text itself is spelled in bytes too, so
 exactly. A pre-token starts at each blank that follows a non-blank, and before and after each line feed: no
 piece spans such a place, so pre-tokens can be segmented one by one. The segmentation is the one of largest
 summed score; among equals, each piece is the longest, read from the end.
+
+A unigram file's scores are log-probabilities and taken as they are. A BPE file's are merge ranks, whole
+numbers; there a piece of rank r has the log-probability of a Zipf-Mandelbrot law, of 1 / (r + FLATTEN).
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from .common import code_points, text_buffers
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
+FLATTEN = 100
 #: Stands for a U+2581 of the text; beyond Unicode, so in no piece.
 LITERAL = 0x110000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -66,7 +70,7 @@ def hashed(chars: np.ndarray) -> np.ndarray:
 
 @functools.lru_cache(maxsize=2)
 def load(model: str = DEFAULT_MODEL) -> Vocabulary:
-    """Reads a SentencePiece file on the driver; the pieces' scores are taken as unigram scores."""
+    """Reads a SentencePiece file on the driver."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -85,6 +89,11 @@ def load(model: str = DEFAULT_MODEL) -> Vocabulary:
         byte_id[int(pieces[i][1:-1], 16)] = i
     if (byte_id < 0).any():
         raise ValueError("the model has no byte fallback")
+    own = {i: m.get_score(i) for members in by_length.values() for i in members}
+    if all(x == int(x) for x in own.values()):
+        ranked = sorted(own, key=lambda i: (-own[i], i))
+        weight = np.log(sum(1 / (r + FLATTEN) for r in range(1, len(ranked) + 1)))
+        own = {i: float(-np.log(r + FLATTEN) - weight) for r, i in enumerate(ranked, 1)}
     keys, ids, scores, spelled = {}, {}, {}, {}
     for length, members in by_length.items():
         chars = np.array([[ord(c) for c in pieces[i]] for i in members], dtype=np.uint32)
@@ -94,7 +103,7 @@ def load(model: str = DEFAULT_MODEL) -> Vocabulary:
             raise ValueError("two pieces have one key")
         keys[length], spelled[length] = key[order], chars[order]
         ids[length] = np.array(members, dtype=np.int32)[order]
-        scores[length] = np.array([m.get_score(i) for i in members], dtype=np.float64)[order]
+        scores[length] = np.array([own[i] for i in members], dtype=np.float64)[order]
     unknown = min(float(s.min()) for s in scores.values()) - 10.0
     return Vocabulary(keys, ids, scores, spelled, unknown, byte_id, pieces, is_byte, is_control)
 
