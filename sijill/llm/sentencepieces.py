@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 from . import pieces
 from .common import chunks, map_arrow, table, text_buffers
 
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 #: Characters of equal-length words that advance together.
-CELLS = 1 << 20
+CELLS = 1 << 17
 
 
 def viterbi(chars: np.ndarray, vocabulary: pieces.Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -125,20 +125,27 @@ def _added(df: DataFrame, name: str, kind: T.DataType) -> tuple[DataFrame, T.Str
     return df, T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = pieces.DEFAULT_MODEL) -> DataFrame:
-    """docs with the ids of each whole text."""
+def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = pieces.DEFAULT_MODEL, restored: str | None = None) -> DataFrame:
+    """docs with the ids of each whole text, and with `restored` a column that says whether decoding them gave it back."""
     docs, schema = _added(docs, ids, T.ArrayType(T.IntegerType()))
-    names, at, vocabulary = [*docs.columns, ids], docs.columns.index(text), pieces.load(model)
+    if restored:
+        docs = docs.drop(restored)
+        schema = T.StructType([*[f for f in schema.fields if f.name != restored], T.StructField(restored, T.BooleanType())])
+    at, vocabulary = docs.columns.index(text), pieces.load(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column(at))
             for a, b in chunks(offsets, CHUNK):
-                found, ends = encode_batch(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], vocabulary)
+                own, ends_of_text = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                found, ends = encode_batch(own, ends_of_text, vocabulary)
                 part = batch.slice(a, b - a)
-                null = part.column(at).is_null()
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found), mask=null)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=names)
+                made = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found), mask=part.column(at).is_null())]
+                if restored:
+                    data, at_end = decode_batch(found, ends, vocabulary)
+                    spelled = own.tobytes()
+                    made.append(pa.array([data[at_end[k] : at_end[k + 1]] == spelled[ends_of_text[k] : ends_of_text[k + 1]] for k in range(b - a)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=schema.names)
 
     return map_arrow(docs, run, schema)
 
@@ -164,8 +171,8 @@ def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", model: str
 
 def op6_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document, and whether decoding them gave the text back."""
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("restored"))
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), restored="restored")
+    return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "restored")
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from . import pieces
 from .common import chunks, map_arrow, table, text_buffers
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 
 def counts(words: pa.Array, vocabulary: pieces.Vocabulary) -> np.ndarray:
