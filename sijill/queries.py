@@ -1,10 +1,496 @@
-"""The engine's own registered queries."""
+"""The engine's registered queries on the driver's tables, and the same in SQL.
+
+People are customers and their evidence is their orders; an order's date becomes a Hijri one by shifting the year and
+holding the day to 30. At the grain of months and years histories share prefixes, so ties and unresolved
+places occur. Part names, letter by letter in Arabic, are the names to match. Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import hijri, names
+from .operators import evidence as ev
+from .operators import identity, ranking, tokens, verifier
+from .plans import ranking_run
+from .sinks import exports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+ARABIC = "ابتثجحخدذرزسشصضطظعغفقكلمنو"
+SEGMENT = "BUILDING"
+
+
+def register(name: str, sql: str | None = None) -> Callable:
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hijri_of(date: Column, grain: str = "day") -> Column:
+    month = F.lit(1) if grain == "year" else F.month(date)
+    day = F.least(F.dayofmonth(date), F.lit(30)) if grain == "day" else F.lit(1)
+    return (F.year(date) - 554) * 10000 + month * 100 + day
+
+
+def sql_date(grain: str = "day") -> str:
+    month = "1" if grain == "year" else "month(o_orderdate)"
+    day = "least(day(o_orderdate), 30)" if grain == "day" else "1"
+    return f"CAST((year(o_orderdate) - 554) * 10000 + {month} * 100 + {day} AS INT)"
+
+
+def people(spark: SparkSession, sf_dir: str, grain: str) -> DataFrame:
+    """Customers with orders and their dates."""
+    orders = read(spark, sf_dir, "orders").select("o_custkey", hijri_of(F.col("o_orderdate"), grain).alias("date"))
+    return orders.groupBy("o_custkey").agg(F.collect_set("date").alias("dates")).select(F.col("o_custkey").alias("id"), F.format_string("Customer#%09d", "o_custkey").alias("original_name"), F.format_string("Customer#%09d", "o_custkey").alias("normalized_name"), "dates")
+
+
+def sql_people(grain: str) -> str:
+    return f"""p AS (SELECT o_custkey AS id, printf('Customer#%09d', o_custkey) AS name, list_sort(list_distinct(list({sql_date(grain)})), 'DESC') AS seq FROM orders GROUP BY o_custkey),
+c AS (SELECT seq, count(*) AS size FROM p GROUP BY seq),
+pre AS (SELECT a.seq, b.seq AS other, b.size FROM c a JOIN c b ON len(b.seq) < len(a.seq) AND a.seq[1:len(b.seq)] = b.seq)"""
+
+
+#: The definition, class by class: who precedes, who can't be compared, and the component's smallest place.
+SQL_BOUNDS = """
+before AS (SELECT a.seq, sum(b.size) AS n FROM c a JOIN c b ON b.seq < a.seq AND NOT (len(b.seq) < len(a.seq) AND a.seq[1:len(b.seq)] = b.seq) GROUP BY a.seq),
+after AS (SELECT a.seq, sum(b.size) AS n FROM c a JOIN c b ON b.seq > a.seq AND NOT (len(a.seq) < len(b.seq) AND b.seq[1:len(a.seq)] = a.seq) GROUP BY a.seq),
+peers AS (SELECT seq, sum(size) AS n FROM (SELECT seq, size FROM pre UNION ALL SELECT other, (SELECT size FROM c WHERE c.seq = pre.seq) FROM pre) GROUP BY seq),
+b AS (SELECT c.seq, c.size, 1 + coalesce(before.n, 0) AS rank_min, (SELECT sum(size) FROM c) - coalesce(after.n, 0) - c.size + 1 AS rank_max, coalesce(peers.n, 0) AS peers
+  FROM c LEFT JOIN before USING (seq) LEFT JOIN after USING (seq) LEFT JOIN peers USING (seq)),
+root AS (SELECT seq, arg_min(other, len(other)) AS root FROM pre GROUP BY seq),
+r AS (SELECT b.*, CASE WHEN b.peers = 0 THEN b.rank_min ELSE coalesce(rb.rank_min, b.rank_min) END AS rank,
+  CASE WHEN b.peers > 0 THEN 'تعادل غير محسوم بالبيانات المتاحة' WHEN b.size > 1 THEN 'تعادل' ELSE 'مرتّب' END AS status
+  FROM b LEFT JOIN root USING (seq) LEFT JOIN b rb ON rb.seq = root.root)"""
+
+
+def _bounds(grain: str) -> None:
+    sql = f"""WITH {sql_people(grain)}, {SQL_BOUNDS}
+SELECT p.id, CAST(r.rank AS BIGINT) AS rank, CAST(r.rank_min AS BIGINT) AS rank_min, CAST(r.rank_max AS BIGINT) AS rank_max, r.rank_min = r.rank_max AS rank_exact, r.status,
+  CAST(CASE WHEN r.peers > 0 THEN 1 + r.peers ELSE r.size END AS BIGINT) AS group_size FROM p JOIN r USING (seq)"""
+
+    @register(f"rank_bounds_{grain}", sql)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ranked = ranking.rank_people(people(spark, sf_dir, grain))
+        return ranked.select("id", "rank", "rank_min", "rank_max", "rank_exact", "status", F.col("group_size").cast("long").alias("group_size"))
+
+
+for _grain in ("day", "month", "year"):
+    _bounds(_grain)
+
+
+@register("rank_status_counts", f"""WITH {sql_people('month')}, {SQL_BOUNDS}
+SELECT count(*) AS total, count(*) FILTER (status = 'مرتّب') AS ranked_successfully, count(*) FILTER (status = 'تعادل') AS tied,
+  count(*) FILTER (status LIKE '%غير محسوم%') AS unresolved, CAST(0 AS BIGINT) AS no_dates FROM p JOIN r USING (seq)""")
+def rank_status_counts(spark, sf_dir):
+    return ranking.summary(ranking.rank_people(people(spark, sf_dir, "month")))
+
+
+@register("rank_position_order", f"WITH {sql_people('year')} SELECT id, row_number() OVER (ORDER BY seq, name, id) - 1 AS position FROM p")
+def rank_position_order(spark, sf_dir):
+    return ranking.rank_people(people(spark, sf_dir, "year")).select("id", "position")
+
+
+@register("tie_classes", f"WITH {sql_people('year')} SELECT array_to_string(seq, ',') AS history, size FROM c WHERE size > 1")
+def tie_classes(spark, sf_dir):
+    found = ranking.classes(people(spark, sf_dir, "year").withColumn("seq", ranking.history(F.col("dates"))))
+    return found.where("size > 1").select(F.array_join(F.col("seq").cast("array<string>"), ",").alias("history"), "size")
+
+
+@register("unresolved_pairs", f"WITH {sql_people('month')} SELECT array_to_string(pre.seq, ',') AS longer, array_to_string(other, ',') AS shorter, c.size AS n_longer, pre.size AS n_shorter FROM pre JOIN c USING (seq)")
+def unresolved_pairs(spark, sf_dir):
+    found = ranking.prefix_pairs(ranking.classes(people(spark, sf_dir, "month").withColumn("seq", ranking.history(F.col("dates")))))
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return found.select(joined("seq").alias("longer"), joined("prefix").alias("shorter"), F.col("size").alias("n_longer"), F.col("prefix_size").alias("n_shorter"))
+
+
+@register("unresolved_with", f"""WITH {sql_people('month')}, peers AS (SELECT seq, other FROM pre UNION ALL SELECT other, seq FROM pre)
+SELECT a.id, string_agg(b.name, ',' ORDER BY b.name) AS unresolved_with FROM p a JOIN peers ON peers.seq = a.seq JOIN p b ON b.seq = peers.other GROUP BY a.id""")
+def unresolved_with(spark, sf_dir):
+    rows = people(spark, sf_dir, "month").withColumn("seq", ranking.history(F.col("dates")))
+    return rows.join(ranking.unresolved_names(rows), "seq").select("id", F.array_join("unresolved_with", ",").alias("unresolved_with"))
+
+
+@register("strict_precedence", """WITH h AS (SELECT n_nationkey AS id, list_sort(list_distinct(list(CAST((year(o_orderdate) - 554) * 10000 + month(o_orderdate) * 100 + 1 AS INT))), 'DESC') AS seq
+  FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY n_nationkey)
+SELECT a.id, b.id AS other_id FROM h a JOIN h b ON a.seq < b.seq AND NOT (len(a.seq) < len(b.seq) AND b.seq[1:len(a.seq)] = a.seq)""")
+def strict_precedence(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    rows = orders.join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    found = rows.groupBy(F.col("n_nationkey").alias("id")).agg(F.collect_set(hijri_of(F.col("o_orderdate"), "month")).alias("dates"))
+    return ranking.precedence(found.select("id", ranking.history(F.col("dates")).alias("seq")))
+
+
+@register("compare_pairs", f"""WITH {sql_people('month')}, q AS (SELECT a.id, a.seq AS x, b.seq AS y, list_filter(range(1, greatest(len(a.seq), len(b.seq)) + 1), lambda i: a.seq[i] IS DISTINCT FROM b.seq[i]) AS d FROM p a JOIN p b ON b.id = a.id + 1)
+SELECT id, CASE WHEN len(d) = 0 THEN 'tie' WHEN x[d[1]] IS NULL OR y[d[1]] IS NULL THEN 'unresolved' WHEN x[d[1]] < y[d[1]] THEN 'a' ELSE 'b' END AS result,
+  CAST(CASE WHEN len(d) = 0 THEN len(x) ELSE d[1] - 1 END AS INT) AS level FROM q""")
+def compare_pairs(spark, sf_dir):
+    a = people(spark, sf_dir, "month").select("id", ranking.history(F.col("dates")).alias("x"))
+    b = a.select((F.col("id") - 1).alias("id"), F.col("x").alias("y"))
+    return a.join(b, "id").withColumn("c", ranking.compare(F.col("x"), F.col("y"))).select("id", "c.result", "c.level")
+
+
+@register("vs_previous", f"""WITH {sql_people('month')}, {SQL_BOUNDS},
+o AS (SELECT p.id, p.name, p.seq, r.rank, r.status, lag(p.name) OVER w AS previous, lag(p.seq) OVER w AS pseq, lag(r.rank) OVER w AS prank, lag(r.status) OVER w AS pstatus FROM p JOIN r USING (seq) WINDOW w AS (ORDER BY p.seq, p.name, p.id)),
+d AS (SELECT *, list_filter(range(1, len(seq) + 1), lambda i: seq[i] IS DISTINCT FROM pseq[i])[1] AS k FROM o WHERE previous IS NOT NULL AND status NOT LIKE '%غير محسوم%' AND pstatus NOT LIKE '%غير محسوم%' AND rank <> prank)
+SELECT id, previous, CAST(k - 1 AS INT) AS level, printf('%04d/%02d/%02d', pseq[k] // 10000, pseq[k] // 100 % 100, pseq[k] % 100) AS prev_date, printf('%04d/%02d/%02d', seq[k] // 10000, seq[k] // 100 % 100, seq[k] % 100) AS this_date FROM d""")
+def vs_previous(spark, sf_dir):
+    rows = ranking.versus_previous(ranking.rank_people(people(spark, sf_dir, "month")))
+    return rows.where(F.col("vs_previous").isNotNull()).select("id", "vs_previous.*")
+
+
+@register("no_dates_tail", """WITH t AS (SELECT count(DISTINCT o_custkey) AS total FROM orders WHERE o_orderpriority = '1-URGENT'),
+u AS (SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'))
+SELECT id, total + 1 AS rank, total + row_number() OVER (ORDER BY c_name, id) - 1 AS position, count(*) OVER () AS group_size FROM u, t""")
+def no_dates_tail(spark, sf_dir):
+    dates = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.collect_set(hijri_of(F.col("o_orderdate"))).alias("dates"))
+    customers = read(spark, sf_dir, "customer")
+    rows = customers.join(dates, customers["c_custkey"] == dates["o_custkey"], "left").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("original_name"), F.col("c_name").alias("normalized_name"), "dates")
+    return ranking.rank_people(rows).where(F.col("status") == ranking.NO_DATES).select("id", "rank", "position", "group_size")
+
+
+@register("latest_previous_dates", f"""WITH {sql_people('day')} SELECT id, printf('%04d/%02d/%02d', seq[1] // 10000, seq[1] // 100 % 100, seq[1] % 100) AS latest_date,
+  CASE WHEN len(seq) > 1 THEN printf('%04d/%02d/%02d', seq[2] // 10000, seq[2] // 100 % 100, seq[2] % 100) END AS previous_date, CAST(len(seq) AS INT) AS date_count FROM p""")
+def latest_previous_dates(spark, sf_dir):
+    return ranking.rank_people(people(spark, sf_dir, "day")).select("id", "latest_date", "previous_date", "date_count")
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as readings: status and priority say how well they were read."""
+    confidence = F.lit(1.0) - F.substring("o_orderpriority", 1, 1).cast("int") * 0.03
+    return read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("person_key"), F.col("o_orderkey").alias("ord"), F.lit(0).alias("nth"), hijri_of(F.col("o_orderdate")).alias("date"), F.lit("").alias("original_text"), (F.col("o_orderkey") % 7).alias("page"), confidence.alias("confidence"),
+        (F.col("o_orderstatus") != "P").alias("verified"), (F.col("o_orderkey") % 11 == 0).alias("needs_review"), F.lit("").alias("review_reason"), (1 + F.col("o_orderkey") % 3).cast("int").alias("agreement"), (F.lit(1.0) - (F.col("o_orderkey") % 5) * 0.02).alias("association"), F.lit("").alias("snippet"),
+    )
+
+
+SQL_EVIDENCE = f"""e AS (SELECT o_custkey AS person_key, o_orderkey AS ord, {sql_date()} AS date, o_orderkey % 7 AS page, CAST(1.0 AS DOUBLE) - CAST(o_orderpriority[1] AS INT) * CAST(0.03 AS DOUBLE) AS confidence, o_orderstatus <> 'P' AS verified,
+  o_orderkey % 11 = 0 AS needs_review, 1 + o_orderkey % 3 AS agreement, CAST(1.0 AS DOUBLE) - (o_orderkey % 5) * CAST(0.02 AS DOUBLE) AS association FROM orders)"""
+SQL_SAFE = "(NOT needs_review AND confidence >= 0.93 AND agreement >= 2 AND association >= 0.95)"
+
+
+@register("people_payload_topk", f"""WITH {SQL_EVIDENCE}, n AS (SELECT person_key, count(*) AS n_readings, list_sort(list_distinct(list(date)), 'DESC')[1:12] AS dates, count(*) FILTER (needs_review) AS needs_review_dates FROM e GROUP BY 1)
+SELECT c_name AS original_name, n_readings, array_to_string(dates, ',') AS dates, needs_review_dates FROM customer JOIN n ON person_key = c_custkey ORDER BY n_readings DESC, c_name LIMIT 300""")
+def people_payload_topk(spark, sf_dir):
+    known = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_key"), F.col("c_name").alias("original_name"))
+    return ev.payload(known, evidence(spark, sf_dir)).select("original_name", "n_readings", F.array_join(F.col("dates").cast("array<string>"), ",").alias("dates"), "needs_review_dates")
+
+
+@register("year_mode_hint", f"""WITH {SQL_EVIDENCE}, y AS (SELECT person_key, date // 10000 AS year, count(*) AS n, min(ord) AS first FROM e GROUP BY ALL)
+SELECT person_key, CAST(arg_max(year, n * 100000000 - first) AS INT) AS hint FROM y GROUP BY person_key""")
+def year_mode_hint(spark, sf_dir):
+    return ev.year_hint(evidence(spark, sf_dir), ["person_key"])
+
+
+@register("revalidated_dates", f"WITH {SQL_EVIDENCE} SELECT ord, CASE WHEN abs(date // 10000 - 1464) >= 20 THEN least(confidence, 0.7) ELSE confidence END AS confidence, verified AND abs(date // 10000 - 1464) < 20 AS verified, needs_review OR abs(date // 10000 - 1464) >= 20 AS needs_review FROM e")
+def revalidated_dates(spark, sf_dir):
+    return ev.revalidated(evidence(spark, sf_dir), F.lit(1464)).select("ord", "confidence", "verified", "needs_review")
+
+
+def written_date(date: Column, kind: Column) -> Column:
+    """A date as people write it, in one of five ways."""
+    y, m, d = F.floor(date / 10000).cast("int"), (F.floor(date / 100) % 100).cast("int"), (date % 100).cast("int")
+    return (
+        F.when(kind == 0, hijri.display(date)).when(kind == 1, hijri.display_ar(date)).when(kind == 2, F.format_string("%d-%d-%dهـ", y, m, d))
+        .when(kind == 3, F.format_string("%02d/%02d/%04d", d, m, y)).otherwise(F.format_string("1%04d / %d / %d", y, m, d))
+    )
+
+
+@register("hijri_parse", f"WITH {SQL_EVIDENCE} SELECT ord, CASE WHEN ord % 5 < 3 OR (ord % 5 = 3 AND date % 100 > 12) THEN date END AS parsed FROM e")
+def hijri_parse(spark, sf_dir):
+    return evidence(spark, sf_dir).select("ord", hijri.parse(written_date(F.col("date"), F.col("ord") % 5)).alias("parsed"))
+
+
+@register("hijri_extract_notes", f"""WITH {SQL_EVIDENCE} SELECT person_key, date, bool_and(ord % 5 = 4) AS always_repaired FROM e WHERE ord % 5 <> 3 OR date % 100 > 12 GROUP BY ALL""")
+def hijri_extract_notes(spark, sf_dir):
+    """Each customer's dates written one after another, and found again."""
+    notes = evidence(spark, sf_dir).groupBy("person_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((F.col("ord") % 5 == 4).alias("repaired"), "ord", written_date(F.col("date"), F.col("ord") % 5).alias("t")))), lambda x: x["t"]), " ثم ").alias("notes"))
+    # A date found in several ways is given once: plainly, if it was plain anywhere.
+    found = notes.select("person_key", F.explode(hijri.extract(F.col("notes"))).alias("d")).select("person_key", "d.date", "d.repaired")
+    plain = evidence(spark, sf_dir).where("ord % 5 != 4 AND (ord % 5 != 3 OR date % 100 > 12)").select("person_key", "date").distinct().withColumn("plain", F.lit(True))
+    return found.join(plain, ["person_key", "date"], "left").select("person_key", "date", F.col("plain").isNull().alias("always_repaired"))
+
+
+@register("date_scoring", f"""WITH {SQL_EVIDENCE}, a AS (SELECT *, ord % 5 = 4 AS repaired, least(confidence, association) AS c0 FROM e), b AS (SELECT *, CASE WHEN repaired THEN least(c0, 0.82) ELSE c0 END AS c1 FROM a),
+c AS (SELECT *, CASE WHEN association < 0.85 THEN least(c1, 0.82) ELSE c1 END AS c2 FROM b), d AS (SELECT *, CASE WHEN agreement <= 1 AND confidence < 0.95 THEN least(c2, 0.88) ELSE c2 END AS c3 FROM c)
+SELECT ord, c3 AS confidence, repaired OR association < 0.85 OR c3 < 0.85 AS needs_review, NOT (repaired OR association < 0.85 OR c3 < 0.85) AND c3 >= 0.93 AS verified FROM d""")
+def date_scoring(spark, sf_dir):
+    rows = evidence(spark, sf_dir).withColumn("s", hijri.evidence(F.col("date"), F.col("ord") % 5 == 4, F.col("confidence"), F.col("agreement"), F.col("association")))
+    return rows.select("ord", "s.confidence", "s.needs_review", "s.verified")
+
+
+@register("bulk_verify_safe", f"WITH {SQL_EVIDENCE} SELECT ord, verified OR {SQL_SAFE} AS verified FROM e")
+def bulk_verify_safe(spark, sf_dir):
+    return ev.bulk_verified(evidence(spark, sf_dir)).select("ord", "verified")
+
+
+@register("auto_verify", f"WITH {SQL_EVIDENCE} SELECT ord, (verified AND NOT needs_review) OR {SQL_SAFE} AS verified FROM e")
+def auto_verify(spark, sf_dir):
+    return ev.bulk_verified(evidence(spark, sf_dir), unverify=True).select("ord", "verified")
+
+
+@register("material_pending_block", f"WITH {SQL_EVIDENCE} SELECT person_key, count(*) AS n_pending, string_agg(DISTINCT page, ',' ORDER BY page) AS pages FROM e WHERE NOT verified AND (person_key, date) NOT IN (SELECT (person_key, date) FROM e WHERE verified) GROUP BY person_key")
+def material_pending_block(spark, sf_dir):
+    found = ranking_run.blocked(evidence(spark, sf_dir), evidence(spark, sf_dir))
+    return found.select("person_key", "n_pending", F.array_join(F.col("pending_pages").cast("array<string>"), ",").alias("pages"))
+
+
+@register("unique_dates", f"WITH {SQL_EVIDENCE} SELECT person_key, array_to_string(list_sort(list_distinct(list(date)), 'DESC'), ',') AS dates FROM e WHERE verified GROUP BY person_key")
+def unique_dates(spark, sf_dir):
+    return ev.histories(evidence(spark, sf_dir)).select("person_key", F.array_join(F.col("dates").cast("array<string>"), ",").alias("dates"))
+
+
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rows of two rosters: those of urgent orders, and the rest."""
+    o = F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("person_key"), o.alias("ord"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("second"), F.concat(F.lit("n"), o % 4).alias("name"),
+        F.when(o % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("r"), o % 5)).alias("rank_title"), (o % 7).alias("page"), F.when(o % 2 == 0, F.concat(F.lit("t"), o % 9)).alias("notes"),
+    )
+
+
+@register("occurrence_people", """WITH o AS (SELECT *, 'n' || o_orderkey % 4 AS name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'r' || o_orderkey % 5 END AS rank_title FROM orders)
+SELECT o_custkey AS person_key, arg_min(name, o_orderkey) AS original_name, coalesce(arg_min(rank_title, o_orderkey) FILTER (rank_title <> ''), '') AS rank_title, count(*) AS n_occurrences,
+  coalesce(string_agg('t' || o_orderkey % 9, ',' ORDER BY o_orderkey) FILTER (o_orderkey % 2 = 0), '') AS notes FROM o GROUP BY 1""")
+def occurrence_people(spark, sf_dir):
+    return ev.people(occurrences(spark, sf_dir)).select("person_key", "original_name", "rank_title", "n_occurrences", F.array_join("notes_texts", ",").alias("notes"))
+
+
+@register("merge_sources", """WITH o AS (SELECT o_custkey AS k, o_orderkey AS ord, o_orderpriority IN ('1-URGENT', '2-HIGH') AS second, 'n' || o_orderkey % 4 AS name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'r' || o_orderkey % 5 END AS rank_title, o_orderkey % 7 AS page FROM orders),
+f AS (SELECT k, page, min((second, ord)) AS at FROM o GROUP BY ALL), g AS (SELECT k, string_agg(page, ',' ORDER BY at) AS pages FROM f GROUP BY k)
+SELECT k AS person_key, arg_min(name, (second, ord)) AS original_name, coalesce(arg_min(rank_title, (second, ord)) FILTER (rank_title <> ''), '') AS rank_title, any_value(pages) AS pages, count(*) AS n_occurrences FROM o JOIN g USING (k) GROUP BY k""")
+def merge_sources(spark, sf_dir):
+    rows = occurrences(spark, sf_dir)
+    merged = ev.merge_people(ev.people(rows.where("NOT second")), ev.people(rows.where("second")))
+    return merged.select("person_key", "original_name", "rank_title", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "n_occurrences")
+
+
+@register("page_offsets", "WITH s AS (SELECT c_nationkey AS source, CAST(max(c_custkey % 40) AS BIGINT) AS last_page FROM customer GROUP BY 1) SELECT source, CAST(coalesce(sum(last_page) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM s")
+def page_offsets(spark, sf_dir):
+    files = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("source")).agg(F.max(F.col("c_custkey") % 40).alias("last_page"))
+    return ev.page_offsets(files).select("source", "offset")
+
+
+def arabic(name: Column) -> Column:
+    return F.translate(name, LATIN, ARABIC)
+
+
+def master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as persons."""
+    parts = read(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("ord"))
+    name = arabic(F.col("p_name"))
+    return parts.select(names.key(name).alias("person_key"), name.alias("original_name"), F.array("ord").alias("pages"), "ord", F.col("p_name").alias("latin"))
+
+
+#: How a supplier writes a part's name: as it is, with a letter left out, or with one changed.
+SQL_MISSPELT = "CASE s_suppkey % 4 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, 'l', '') WHEN 2 THEN replace(replace(p_name, 'e', 'o'), 'r', 'b') ELSE 'x' || p_name || 'xx' END"
+
+
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets: each supplier asks for a part's name, well or badly spelt."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    rows = read(spark, sf_dir, "supplier").join(parts, F.col("p_partkey") == F.col("s_suppkey"))
+    return rows.select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("ord"), arabic(F.expr(SQL_MISSPELT)).alias("name"), F.expr(SQL_MISSPELT).alias("latin"))
+
+
+SQL_MASTER = "m AS (SELECT p_name AS name, min(p_partkey) AS ord FROM part GROUP BY p_name)"
+SQL_LISTED = f"t AS (SELECT s_suppkey AS id, {SQL_MISSPELT} AS name FROM supplier JOIN part ON p_partkey = s_suppkey)"
+
+
+def _sql_token(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN CAST(0 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) - CAST(levenshtein({a}, {b}) AS DOUBLE) / greatest(length({a}), length({b}))) END"
+
+
+#: Every name here has two words.
+SQL_PAIRS = f"""w AS (SELECT DISTINCT t.name AS q, m.name AS p, {_sql_token("string_split(t.name, ' ')[1]", "string_split(m.name, ' ')[1]")} AS f, {_sql_token("string_split(t.name, ' ')[2]", "string_split(m.name, ' ')[2]")} AS g FROM t, m),
+s AS (SELECT q, p, CASE WHEN q = p THEN 1.0 ELSE least(0.99, (0.5 * f + 0.5 * g) * CASE WHEN f < 0.6 OR g < 0.6 THEN 0.72 ELSE 1.0 END) END AS score FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, translate(p, '{LATIN}', '{ARABIC}')) AS place FROM s WHERE score >= 0.52)"""
+SQL_MATCH = f"""{SQL_MASTER}, {SQL_LISTED}, {SQL_PAIRS},
+b AS (SELECT q, max(CASE WHEN place = 1 THEN score END) AS s1, max(CASE WHEN place = 2 THEN score END) AS s2, max(CASE WHEN place = 1 THEN p END) AS p1 FROM k GROUP BY q),
+x AS (SELECT t.id, t.name, s1, s2, p1, CASE WHEN s1 = 1.0 THEN 'مؤكد' WHEN s1 IS NULL THEN 'غير موجود في الملف الرئيسي' WHEN s1 >= 0.68 AND s1 - s2 < 0.10 THEN 'الاسم غير محسوم ويحتاج مراجعة' WHEN s1 >= 0.62 THEN 'يحتاج مراجعة' ELSE 'غير موجود في الملف الرئيسي' END AS status FROM t LEFT JOIN b ON b.q = t.name)"""
+
+
+@register("exact_match", f"WITH {SQL_MASTER}, {SQL_LISTED} SELECT id, m.name IS NOT NULL AS found FROM t LEFT JOIN m USING (name)")
+def exact_match(spark, sf_dir):
+    keyed = listed(spark, sf_dir).withColumn("person_key", names.key(F.col("name")))
+    known = master(spark, sf_dir).select("person_key", F.lit(True).alias("known"))
+    return keyed.join(known, "person_key", "left").select("id", F.coalesce("known", F.lit(False)).alias("found"))
+
+
+@register("fuzzy_match_top7", f"WITH {SQL_MASTER}, {SQL_LISTED}, {SQL_PAIRS} SELECT q AS query, p AS candidate, place FROM k WHERE place <= 7 AND NOT EXISTS (SELECT 1 FROM m WHERE m.name = q)")
+def fuzzy_match_top7(spark, sf_dir):
+    known = master(spark, sf_dir)
+    found = identity.matches(listed(spark, sf_dir).select(names.key(F.col("name")).alias("query_key")), known).where(F.col("status") != identity.VERIFIED)
+    top = found.select("query_key", F.posexplode("candidates").alias("place", "c"))
+    latin = lambda c: F.translate(c, ARABIC, LATIN)
+    return top.select(latin(F.col("query_key")).alias("query"), latin(F.col("c.name")).alias("candidate"), (F.col("place") + 1).cast("long").alias("place"))
+
+
+@register("ambiguity_gap", f"WITH {SQL_MATCH} SELECT id, status, CASE WHEN status IN ('مؤكد', 'يحتاج مراجعة') THEN p1 END AS matched FROM x")
+def ambiguity_gap(spark, sf_dir):
+    rows = listed(spark, sf_dir).withColumn("query_key", names.key(F.col("name")))
+    found = rows.join(identity.matches(rows, master(spark, sf_dir)), "query_key")
+    return found.select("id", "status", F.translate("matched", ARABIC, LATIN).alias("matched"))
+
+
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.targets(listed(spark, sf_dir), master(spark, sf_dir))
+
+
+SQL_TARGETS = f"{SQL_MATCH}, y AS (SELECT x.* FROM x JOIN (SELECT name, min(id) AS id FROM t GROUP BY name) USING (id, name))"
+
+
+@register("target_summary", f"WITH {SQL_TARGETS} SELECT count(*) AS target_total, count(*) FILTER (status = 'مؤكد') AS target_verified, count(*) FILTER (status IN ('يحتاج مراجعة', 'الاسم غير محسوم ويحتاج مراجعة')) AS target_needs_review, count(*) FILTER (status = 'غير موجود في الملف الرئيسي') AS target_not_in_master FROM y")
+def target_summary(spark, sf_dir):
+    return identity.summary(targets(spark, sf_dir))
+
+
+@register("append_targets_anti", f"WITH {SQL_TARGETS} SELECT id, status FROM y WHERE id % 2 = 0 UNION ALL SELECT id, status FROM y WHERE id % 2 = 1 AND name NOT IN (SELECT name FROM y WHERE id % 2 = 0)")
+def append_targets_anti(spark, sf_dir):
+    every = targets(spark, sf_dir)
+    return identity.appended(every.where("id % 2 = 0"), every.where("id % 2 = 1").unionByName(every.where("id % 2 = 0"))).select("id", "status")
+
+
+@register("auto_confirm", f"WITH {SQL_TARGETS} SELECT id, 'confirm' AS action FROM y WHERE status = 'مؤكد' UNION ALL SELECT id, 'set_name' FROM y WHERE status = 'يحتاج مراجعة' AND s1 >= 0.75 AND (s2 IS NULL OR round(s1, 4) - round(s2, 4) >= 0.10)")
+def auto_confirm(spark, sf_dir):
+    return identity.auto_commands(targets(spark, sf_dir), least=0.75).select("id", "action")
+
+
+@register("apply_corrections", f"""WITH {SQL_TARGETS}, z AS (SELECT *, status IN ('مؤكد', 'يحتاج مراجعة') AS has_match FROM y)
+SELECT id, CASE WHEN id % 3 = 0 AND has_match THEN 'مؤكد' WHEN id % 3 = 1 THEN 'غير معروف' ELSE status END AS status FROM z""")
+def apply_corrections(spark, sf_dir):
+    rows = targets(spark, sf_dir)
+    action = F.when(F.col("id") % 3 == 0, "confirm").when(F.col("id") % 3 == 1, "reject").otherwise("none")
+    commands = rows.select(F.lit(0).cast("long").alias("seq"), "id", action.alias("action"), F.lit(None).cast("string").alias("name"))
+    return identity.corrected(rows, commands, master(spark, sf_dir)).select("id", "status")
+
+
+@register("near_duplicates", f"WITH {SQL_MASTER}, t AS (SELECT name FROM m), {SQL_PAIRS} SELECT x.name AS a, y.name AS b FROM k JOIN m x ON x.name = k.q JOIN m y ON y.name = k.p WHERE score >= 0.88 AND x.ord < y.ord")
+def near_duplicates(spark, sf_dir):
+    latin = lambda c: F.translate(F.col(c), ARABIC, LATIN)
+    return identity.near_duplicates(master(spark, sf_dir)).select(latin("a").alias("a"), latin("b").alias("b"))
+
+
+@register("soft_collision_guard", f"WITH {SQL_MASTER}, g AS (SELECT replace(name, 'small', 'large') AS soft, count(*) AS hits FROM m GROUP BY 1) SELECT m.name, CASE WHEN hits = 1 THEN 'one' ELSE 'several' END AS found FROM m JOIN g ON soft = replace(m.name, 'small', 'large')")
+def soft_collision_guard(spark, sf_dir):
+    """Names whose two spellings differ in letters that the soft key unifies."""
+    written_ = lambda c: F.translate(F.replace(F.replace(c, F.lit("small"), F.lit("ىىى")), F.lit("large"), F.lit("ييي")), LATIN, ARABIC)
+    known = master(spark, sf_dir).select(names.key(written_(F.col("latin"))).alias("person_key"), written_(F.col("latin")).alias("original_name"), "latin", "ord")
+    asked = known.select("latin", F.lit(None).cast("string").alias("user_corrected_name"), F.lit(None).cast("string").alias("matched_master_name"), F.translate("original_name", "ي", "ئ").alias("original_name"))
+    found = identity.resolved(asked, known)
+    return found.select(F.col("latin").alias("name"), F.when(F.col("person_key").isNotNull(), "one").otherwise("several").alias("found"))
+
+
+@register("apply_date_reviews", f"""WITH {SQL_EVIDENCE}, v AS (SELECT e.*, person_key % 4 AS kind, (SELECT max(date) FROM e l WHERE l.person_key = e.person_key) AS last FROM e)
+SELECT person_key, date, verified OR kind = 0 OR (kind = 1 AND date = last) AS verified, needs_review AND kind <> 0 AND NOT (kind = 1 AND date = last) AS needs_review FROM v WHERE NOT (kind = 2 AND date = last)
+UNION ALL SELECT person_key, 14000101, true, false FROM v WHERE kind = 3 GROUP BY person_key""")
+def apply_date_reviews(spark, sf_dir):
+    """A review a customer, by number: all, the newest date, without the newest date, or one date more."""
+    own = evidence(spark, sf_dir).withColumn("person_key", arabic(F.translate(F.col("person_key").cast("string"), "0123456789", LATIN[:10])))
+    known = own.groupBy("person_key").agg(F.min("ord").alias("ord"), F.max("date").alias("last")).withColumn("original_name", F.col("person_key"))
+    number = lambda c: F.translate(F.translate(c, ARABIC, LATIN), LATIN[:10], "0123456789").cast("long")
+    kind = number(F.col("person_key")) % 4
+    action = F.element_at(F.array(*[F.lit(x) for x in ("verify_all", "verify_date", "delete_date", "add_date")]), (kind + 1).cast("int"))
+    reviews = known.select(F.lit(1).cast("long").alias("seq"), F.col("person_key").alias("name"), action.alias("action"), F.when(kind == 3, "1400/01/01").otherwise(hijri.iso(F.col("last"))).alias("date"), F.lit(0).alias("page"))
+    return ev.reviewed(own, known, reviews).select(number(F.col("person_key")).alias("person_key"), "date", "verified", "needs_review")
+
+
+@register("run_ranking_full", f"""WITH {SQL_EVIDENCE}, a AS (SELECT person_key, date, (verified AND NOT needs_review) OR {SQL_SAFE} AS verified FROM e), blocked AS (SELECT DISTINCT person_key FROM a WHERE NOT verified AND (person_key, date) NOT IN (SELECT (person_key, date) FROM a WHERE verified)),
+t AS (SELECT c_custkey AS id FROM customer WHERE c_mktsegment = '{SEGMENT}'),
+f AS (SELECT id FROM t WHERE id NOT IN (SELECT person_key FROM blocked)),
+d AS (SELECT f.id, list_sort(list_distinct(list(date) FILTER (verified)), 'DESC') AS seq FROM f LEFT JOIN a ON person_key = id GROUP BY f.id),
+p AS (SELECT * FROM d WHERE len(seq) > 0), c AS (SELECT seq, count(*) AS size FROM p GROUP BY seq), pre AS (SELECT a.seq, b.seq AS other, b.size FROM c a JOIN c b ON len(b.seq) < len(a.seq) AND a.seq[1:len(b.seq)] = b.seq), {SQL_BOUNDS}
+SELECT id, CAST(rank AS BIGINT) AS rank, status, CAST(len(p.seq) AS INT) AS date_count FROM p JOIN r USING (seq)
+UNION ALL SELECT id, (SELECT count(*) FROM p) + 1, 'بدون تواريخ صالحة', 0 FROM d WHERE seq IS NULL OR len(seq) = 0
+UNION ALL SELECT id, NULL, 'يحتاج مراجعة', 0 FROM t WHERE id IN (SELECT person_key FROM blocked)""")
+def run_ranking_full(spark, sf_dir):
+    """The gates and the ranking for the customers of one segment, among all customers."""
+    lettered = lambda c: arabic(F.translate(c.cast("string"), "0123456789", LATIN[:10]))
+    own = evidence(spark, sf_dir).withColumn("person_key", lettered(F.col("person_key")))
+    customers = read(spark, sf_dir, "customer")
+    known = customers.select(lettered(F.col("c_custkey")).alias("person_key"), lettered(F.col("c_custkey")).alias("original_name"), F.col("c_custkey").alias("ord"))
+    wanted = customers.where(F.col("c_mktsegment") == SEGMENT).select(
+        F.col("c_custkey").alias("id"), F.col("c_custkey").alias("ord"), lettered(F.col("c_custkey")).alias("original_name"), lettered(F.col("c_custkey")).alias("normalized_name"), F.lit(1.0).alias("confidence"), F.lit(identity.VERIFIED).alias("status"),
+        F.lit(None).cast(identity.CANDIDATE_TYPE).alias("candidates"), lettered(F.col("c_custkey")).alias("matched_master_name"), F.lit(None).cast("string").alias("user_corrected_name"),
+    )
+    results, _ = ranking_run.run(wanted, ranking_run.Master(known, own), auto_verify=True)
+    return results.select("id", "rank", "status", "date_count")
+
+
+@register("export_text_rows", f"""WITH {sql_people('month')}, {SQL_BOUNDS}
+SELECT id, CASE WHEN rank_min = rank_max THEN CAST(CAST(rank_min AS BIGINT) AS VARCHAR) ELSE CAST(rank_min AS BIGINT) || '–' || CAST(rank_max AS BIGINT) END || '. ' || name || ' — أحدث: ' || printf('%04d/%02d/%02d', seq[1] // 10000, seq[1] // 100 % 100, seq[1] % 100) || ' (' || len(seq) || ' تاريخ) — ' || status AS line FROM p JOIN r USING (seq)""")
+def export_text_rows(spark, sf_dir):
+    ranked = ranking.rank_people(people(spark, sf_dir, "month"))
+    return exports.text_rows(ranked).join(ranked.select("position", "id"), "position").select("id", "line")
+
+
+@register("master_index", f"WITH {sql_people('day')}, n AS (SELECT id, name, seq, row_number() OVER (ORDER BY name) AS m FROM p) SELECT m, name, '' AS rank_title, CAST(id % 9 AS VARCHAR) || '، ' || CAST(id % 9 + 1 AS VARCHAR) AS pages, array_to_string(list_transform(seq, lambda d: printf('%04d/%02d/%02d', d // 10000, d // 100 % 100, d % 100)), ' | ') AS dates FROM n")
+def master_index(spark, sf_dir):
+    rows = people(spark, sf_dir, "day").select("*", F.transform(ranking.history(F.col("dates")), hijri.display).alias("date_list"), F.array(F.col("id") % 9, F.col("id") % 9 + 1).alias("pages"), F.lit(None).cast("string").alias("rank_title"))
+    return exports.master_index(ranking.numbered(rows, F.substring("original_name", 1, 14), ["original_name"], "position"))
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as readings of a page an order: their numbers are read twice or thrice, sometimes otherwise."""
+    i = F.col("l_linenumber")
+    base = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), i, F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("k"), "l_suppkey")
+    text = F.concat(F.lit("w"), (F.col("l_suppkey") + F.when(F.col("k") == 2, i % 2).otherwise(0)).cast("string"))
+    return base.select("page", text.alias("text"), (i * 0.1).alias("x"), (1 - i * 0.08).alias("y"), F.lit(0.05).alias("w"), F.lit(0.02).alias("h"), (F.lit(0.9) + F.col("k") * 0.02).alias("confidence"), F.concat(F.lit("pass"), "k").alias("source"))
+
+
+@register("vote_fusion")
+def vote_fusion(spark, sf_dir):
+    return tokens.voted(readings(spark, sf_dir)).select("page", "text", "agreement", F.round("confidence", 6).alias("confidence"), F.size("alternatives").alias("n_alternatives"))
+
+
+@register("row_cluster", "SELECT l_orderkey AS page, count(DISTINCT l_linenumber) AS n_rows FROM lineitem GROUP BY 1")
+def row_cluster(spark, sf_dir):
+    return tokens.clustered_rows(readings(spark, sf_dir)).groupBy("page").agg(F.count_distinct("row").alias("n_rows"))
+
+
+@register("page_lines", "SELECT l_orderkey AS page, count(DISTINCT l_linenumber) AS n_lines FROM lineitem GROUP BY 1")
+def page_lines(spark, sf_dir):
+    return tokens.lines(readings(spark, sf_dir)).groupBy("page").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+SQL_RULES = "v AS (SELECT s_suppkey AS page, unnest([0.04 + s_suppkey % 5 / 100.0, 0.60, 0.70 + s_suppkey % 3 / 100.0, 0.77, 0.857, 0.93 + s_suppkey % 4 / 100.0, 0.985]) AS x FROM supplier), d AS (SELECT DISTINCT page, CAST(x AS DOUBLE) AS x FROM v)"
+
+
+@register("column_selection", f"""WITH {SQL_RULES}, l AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY x) AS i, min(x) OVER (PARTITION BY page) AS f, max(x) OVER (PARTITION BY page) AS z FROM d),
+k AS (SELECT r.page, n.x AS notes_right, nl.x AS name_left, nr.x AS name_right, abs(r.x - nr.x - 0.055::DOUBLE) + 0.70::DOUBLE * abs(nr.x - nl.x - 0.17::DOUBLE) + 0.80::DOUBLE * abs(nl.x - n.x - 0.065::DOUBLE) + 0.20::DOUBLE * abs(r.x - r.z) AS score
+  FROM l r JOIN l nr ON nr.page = r.page AND nr.i < r.i AND nr.i >= 3 AND r.x - nr.x BETWEEN 0.025::DOUBLE AND 0.115::DOUBLE JOIN l nl ON nl.page = r.page AND nl.i < nr.i AND nl.i >= 2 AND nr.x - nl.x BETWEEN 0.10::DOUBLE AND 0.32::DOUBLE
+  JOIN l n ON n.page = r.page AND n.i < nl.i AND nl.x - n.x BETWEEN 0.025::DOUBLE AND 0.14::DOUBLE AND n.x - r.f >= 0.30::DOUBLE WHERE r.x >= 0.90::DOUBLE AND r.i >= 5),
+b AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score, notes_right, name_left, name_right) AS place FROM k)
+SELECT page, notes_right, name_left, name_right FROM b WHERE place = 1""")
+def column_selection(spark, sf_dir):
+    s = F.col("s_suppkey")
+    rules = read(spark, sf_dir, "supplier").select(s.alias("page"), F.explode(F.array((s % 5) / 100.0 + 0.04, F.lit(0.60), (s % 3) / 100.0 + 0.70, F.lit(0.77), F.lit(0.857), (s % 4) / 100.0 + 0.93, F.lit(0.985))).alias("x")).distinct()
+    return tokens.columns(rules).select("page", "notes_right", "name_left", "name_right")
+
+
+@register("reading_validation", """WITH a AS (SELECT o_orderkey AS id, o_custkey, o_orderkey % 6 AS k FROM orders)
+SELECT CAST(id AS VARCHAR) AS row_id, CASE WHEN k = 1 THEN '' ELSE 'c' || o_custkey END AS selected_candidate, CAST(CASE WHEN k = 2 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS confidence, k <> 1 AS legible FROM a WHERE k < 3""")
+def reading_validation(spark, sf_dir):
+    """An answer an order: valid, illegible, overconfident, of another candidate, of a wrong type, or of nobody's row."""
+    k, o = F.col("o_orderkey") % 6, F.col("o_orderkey").cast("string")
+    rows = read(spark, sf_dir, "orders")
+    own = F.concat(F.lit("c"), "o_custkey")
+    asked = rows.select(o.alias("row_id"), F.array(own).alias("candidates"))
+    selected = F.when(k == 1, "").when(k == 3, "other").otherwise(own)
+    confidence = F.when(k == 2, "7.5").when(k == 4, '"0.5"').otherwise("0.5")
+    answer = F.concat(F.lit('{"rows": [{"row_id": "'), F.when(k == 5, F.concat(F.lit("x"), o)).otherwise(o), F.lit('", "transcription": " t ", "selected_candidate": "'), selected, F.lit('", "dates": ["1447/01/02", " "], "confidence": '), confidence, F.lit(', "legible": '), (k != 1).cast("string"), F.lit("}]}"))
+    found = verifier.readings(rows.select(F.col("o_orderkey").alias("batch"), answer.alias("payload")), asked)
+    return found.select("row_id", "selected_candidate", "confidence", "legible")
