@@ -37,7 +37,8 @@ def year_of(date: Column) -> Column:
 
 
 def iso(date: Column, separator: str = "-") -> Column:
-    return F.format_string(f"%04d{separator}%02d{separator}%02d", year_of(date), (F.floor(date / 100) % 100).cast("int"), (date % 100).cast("int"))
+    text = F.format_string(f"%04d{separator}%02d{separator}%02d", year_of(date), (F.floor(date / 100) % 100).cast("int"), (date % 100).cast("int"))
+    return F.when(date.isNotNull(), text)
 
 
 def display(date: Column) -> Column:

@@ -34,9 +34,11 @@ NO_NAME = (
 ARABIC = r"[\u0600-\u06FF]"
 
 
-@F.pandas_udf("string")
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def _nfkc(text: Column) -> Column:
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return F.pandas_udf(normal, "string")(text)
 
 
 def trimmed(text: Column) -> Column:

@@ -109,13 +109,13 @@ def near_duplicates(master: DataFrame, least: float = NEAR) -> DataFrame:
     p = soft_parts(master.select("person_key", "original_name", "ord"), "person_key", "")
     first = F.char_length(F.get("words", F.lit(0)))
     p = p.withColumn("length", first)
-    a, b = p.alias("a"), p.alias("b")
+    left, right = p.alias("l"), p.alias("r")
     # Similarity s of two words needs lengths within a factor of s; a first word under 0.5 can't reach 0.88 with any others.
-    alike = F.least("a.length", "b.length") >= F.greatest("a.length", "b.length") * 0.5
+    alike = F.least("l.length", "r.length") >= F.greatest("l.length", "r.length") * 0.5
     alike = F.coalesce(alike, F.lit(True))  # names without words
-    pairs = a.join(b, (F.col("a.n") == F.col("b.n")) & (F.col("a.ord") < F.col("b.ord")) & alike)
-    score = names.similarity(F.col("a.person_key"), F.col("b.person_key"), F.col("a.soft"), F.col("b.soft"), F.col("a.words"), F.col("b.words"))
-    return pairs.select(F.col("a.person_key").alias("a"), F.col("b.person_key").alias("b"), score.alias("score"), F.col("a.original_name").alias("name_a"), F.col("b.original_name").alias("name_b"), F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b")).where(F.col("score") >= least)
+    pairs = left.join(right, (F.col("l.n") == F.col("r.n")) & (F.col("l.ord") < F.col("r.ord")) & alike)
+    score = names.similarity(F.col("l.person_key"), F.col("r.person_key"), F.col("l.soft"), F.col("r.soft"), F.col("l.words"), F.col("r.words"))
+    return pairs.select(F.col("l.person_key").alias("a"), F.col("r.person_key").alias("b"), score.alias("score"), F.col("l.original_name").alias("name_a"), F.col("r.original_name").alias("name_b"), F.col("l.ord").alias("ord_a"), F.col("r.ord").alias("ord_b")).where(F.col("score") >= least)
 
 
 def flag_near_duplicates(master: DataFrame) -> DataFrame:

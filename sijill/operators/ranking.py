@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import written
 from ..functions import hijri
 
 #: Statuses of a ranked row.
@@ -99,8 +100,8 @@ def rank_people(people: DataFrame) -> DataFrame:
     """people (id, original_name, normalized_name, dates array<int>) with their place in the partial order: position,
     rank, rank_min, rank_max, rank_exact, rank_display, status, group_size, seq and what is derived from it. People
     without dates share the place after all others. Other columns pass through."""
-    people = people.withColumn("seq", history(F.col("dates"))).drop("dates")
-    found = bounds(classes(people))
+    people = written(people.withColumn("seq", history(F.col("dates"))).drop("dates"), "people")
+    found = written(bounds(written(classes(people), "classes")), "bounds")
     dated = people.where(F.size("seq") > 0).join(found, "seq")
     open_ = (F.col("pre") + F.col("ext")) > 0
     dated = dated.select(
@@ -173,6 +174,7 @@ def _quoted(names: Column) -> Column:
 def explained(ranked: DataFrame, detail: bool = False) -> DataFrame:
     """Adds unresolved_with, explanation and comparison_path (JSON strings). detail: also who strictly precedes whom."""
     empty = F.array().cast("array<string>")
+    ranked = written(ranked, "ranked")
     tied = ranked.where(F.col("status") == TIE).groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("normalized_name", "id", "original_name"))).alias("_tied"))
     rows = versus_previous(ranked).join(unresolved_names(ranked), "seq", "left").join(tied, "seq", "left")
     rows = rows.withColumn("unresolved_with", F.coalesce("unresolved_with", empty)).withColumn("_tied", F.transform("_tied", lambda x: x["original_name"]))

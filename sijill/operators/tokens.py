@@ -7,12 +7,15 @@ bounded, so is its group. What is a vote, a band or a range is a plain plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import ship, written
 from ..functions import names
 
 #: A token's group by its first token.
@@ -35,11 +38,33 @@ def cx() -> Column:
     return F.col("x") + F.col("w") / 2
 
 
-def first_fit(rows: pd.DataFrame, fits: Callable[[list, tuple], bool]) -> list[int]:
+def page_by_page(tokens: DataFrame, group: Callable[[list], list[tuple]], schema: str) -> DataFrame:
+    """Runs group over each page's tokens, sorted downwards and leftwards. Pages are dealt to tasks and stream through them in
+    Arrow batches, so a task holds one page at a time, and small pages cost no call each."""
+    order = [cy().alias("cy"), (-F.col("x")).alias("left")]
+    dealt = tokens.select("*", *order).repartition("page").sortWithinPartitions("page", "cy", "left", "text")
+    fields = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        rows = (row for batch in batches for row in batch.itertuples(index=False))
+        for _, page in groupby(rows, key=lambda row: row.page):
+            out += group(list(page))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=fields)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=fields)
+
+    ship(tokens.sparkSession)
+    return dealt.mapInPandas(run, schema)
+
+
+def first_fit(rows: list, fits: Callable[[list, tuple], bool]) -> list[int]:
     """For rows in order, the first group that fits, else a new one."""
     groups: list[list] = []
     found = []
-    for row in rows.itertuples(index=False):
+    for row in rows:
         for k, group in enumerate(groups):
             if fits(group, row):
                 group.append(row)
@@ -55,23 +80,21 @@ def vote_groups(readings: DataFrame) -> DataFrame:
     """readings with grp: repeated readings of one place. A reading joins the first group whose first reading it overlaps
     and resembles."""
 
-    def group(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(cy=1 - (page.y + page.h / 2), cx=page.x + page.w / 2, down=-page.x).sort_values(["cy", "down"], kind="stable")
-
+    def group(page: list) -> list[tuple]:
         def fits(members: list, t: tuple) -> bool:
             f = members[0]
-            near = abs(f.cy - t.cy) <= max(0.012, 0.65 * max(f.h, t.h)) and abs(f.cx - t.cx) <= max(0.025, 0.55 * max(f.w, t.w))
+            near = abs(f.cy - t.cy) <= max(0.012, 0.65 * max(f.h, t.h)) and abs(f.x + f.w / 2 - t.x - t.w / 2) <= max(0.025, 0.55 * max(f.w, t.w))
             return near and (f.key == t.key or abs(len(f.text) - len(t.text)) <= 2)
 
-        return page.assign(grp=first_fit(page, fits)).drop(columns=["cy", "cx", "down"])
+        return [(*row[:9], grp) for row, grp in zip(page, first_fit(page, fits))]
 
     keyed = readings.select("page", "text", "x", "y", "w", "h", "confidence", "source").withColumn("key", names.ocr_key(F.col("text")))
-    return keyed.groupBy("page").applyInPandas(group, "page long, text string, x double, y double, w double, h double, confidence double, source string, key string, grp int")
+    return page_by_page(keyed, group, "page long, text string, x double, y double, w double, h double, confidence double, source string, key string, grp int")
 
 
 def voted(readings: DataFrame) -> DataFrame:
     """One token a group: the key with most sources, then most confidence, then the longest wins; the losers stay as alternatives."""
-    rows = vote_groups(readings).withColumn("ord", F.struct(cy().alias("cy"), (-F.col("x")).alias("right"), "source"))
+    rows = written(vote_groups(readings), "votes").withColumn("ord", F.struct(cy().alias("cy"), (-F.col("x")).alias("right"), "source"))
     best = F.max_by(F.struct("text", "confidence"), F.struct("confidence", "source")).alias("best")
     keys = rows.groupBy("page", "grp", "key").agg(
         F.count_distinct("source").alias("n_sources"), F.sum("confidence").alias("total"), F.avg("confidence").alias("mean"), best, F.min("ord").alias("ord"),
@@ -209,30 +232,32 @@ def page_rows(placed: DataFrame) -> DataFrame:
 def lines(tokens: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
     """(page, line, text): tokens joined from right to left, in lines by their running mean height."""
 
-    def group(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(cy=1 - (page.y + page.h / 2), left=-page.x).sort_values(["cy", "left"], kind="stable")
+    def group(page: list) -> list[tuple]:
         found = first_fit(page, lambda members, t: abs(t.cy - sum(m.cy for m in members) / len(members)) <= max(tolerance, t.h * 0.55))
-        return page.assign(line=found)[["page", "line", "left", "text"]]
+        return [(t.page, line, t.left, t.text) for t, line in zip(page, found)]
 
-    placed = tokens.select("page", "text", "x", "y", "h").groupBy("page").applyInPandas(group, "page long, line int, left double, text string")
+    placed = page_by_page(tokens.select("page", "text", "x", "y", "h"), group, "page long, line int, left double, text string")
     return placed.groupBy("page", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "text"))), lambda t: t["text"]), " ").alias("text"))
 
 
 def combined(tokens: DataFrame) -> DataFrame:
     """Tokens that read like a name, and those of neighbouring words joined from right to left; a wide gap parts a row."""
 
-    def group(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(cy=1 - (page.y + page.h / 2), left=-page.x).sort_values(["cy", "left"], kind="stable")
-        page = page.assign(row=first_fit(page, lambda members, t: abs(sum(m.cy for m in members) / len(members) - t.cy) <= max(0.012, t.h * 0.65)))
-        page = page.sort_values(["row", "left"], kind="stable")
-        arabic = page[page.text.str.contains(names.ARABIC)]
-        before = arabic.groupby("row").shift(1)
-        gap = before.x - (arabic.x + arabic.w)
-        parted = gap.isna() | (gap > (1.8 * pd.concat([before.h, arabic.h], axis=1).max(axis=1)).clip(lower=0.035))
-        page = page.assign(segment=parted.cumsum())
-        return page[["page", "row", "segment", "left", "text", "x", "y", "w", "h", "cy", "confidence", "agreement"]]
-
-    cut = tokens.select("page", "text", "x", "y", "w", "h", "confidence", "agreement").groupBy("page").applyInPandas(group, "page long, row int, segment double, left double, text string, x double, y double, w double, h double, cy double, confidence double, agreement int")
+    letters = re.compile(names.ARABIC)
+
+    def group(page: list) -> list[tuple]:
+        rows = first_fit(page, lambda members, t: abs(sum(m.cy for m in members) / len(members) - t.cy) <= max(0.012, t.h * 0.65))
+        out, before, segment, last = [], None, 0, None
+        for row, t in sorted(zip(rows, page), key=lambda p: (p[0], p[1].left)):
+            own = None
+            if letters.search(t.text):
+                apart = before is None or row != last or before.x - (t.x + t.w) > max(0.035, 1.8 * max(before.h, t.h))
+                segment += apart
+                before, last, own = t, row, segment
+            out.append((t.page, row, own, t.left, t.text, t.x, t.y, t.w, t.h, t.cy, t.confidence, t.agreement))
+        return out
+
+    cut = page_by_page(tokens.select("page", "text", "x", "y", "w", "h", "confidence", "agreement"), group, "page long, row int, segment double, left double, text string, x double, y double, w double, h double, cy double, confidence double, agreement int")
     single = cut.select("page", names.strip_fields(F.col("text")).alias("text"), F.col("text").alias("raw"), "x", "y", "w", "h", "confidence", "agreement")
     top, bottom = F.min(F.col("cy") - F.col("h") / 2), F.max(F.col("cy") + F.col("h") / 2)
     raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "text"))), lambda t: t["text"]), " ")

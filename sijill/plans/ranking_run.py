@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..cluster import written
 from ..functions import hijri, names
 from ..operators import evidence as ev
 from ..operators import identity, ranking, tokens
@@ -123,24 +124,26 @@ def run(targets: DataFrame, master: Master, auto_verify: bool = False, softly: b
     verified target whose soft key several people share becomes ambiguous."""
     found = identity.resolved(targets.withColumn("shown", identity.display_name()), master.people, softly)
     ambiguous = (F.col("status") == identity.VERIFIED) & F.col("person_key").isNull() & (F.col("soft_hits") > 1)
-    found = found.withColumn("status", F.when(ambiguous, identity.AMBIGUOUS).otherwise(F.col("status")))
+    found = written(found.withColumn("status", F.when(ambiguous, identity.AMBIGUOUS).otherwise(F.col("status"))), "found")
     usable = found.where((F.col("status") == identity.VERIFIED) & F.col("person_key").isNotNull())
     first = Window.partitionBy("person_key").orderBy("ord")
     chosen = usable.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("id", "person_key")
+    chosen = written(chosen, "chosen")
     own = master.evidence.join(chosen.select("person_key"), "person_key", "left_semi")
-    own = ev.bulk_verified(own, unverify=True) if auto_verify else own
-    stopped = blocked(chosen, own)
+    own = written(ev.bulk_verified(own, unverify=True) if auto_verify else own, "own")
+    stopped = written(blocked(chosen, own), "stopped")
     free = chosen.join(stopped.select("person_key"), "person_key", "left_anti")
     pending = own.groupBy("person_key").agg(F.count_if(~F.col("verified")).alias("pending_date_review_count"))
-    people = (
+    people = written(
         free.join(master.people.select("person_key", "original_name"), "person_key")
         .join(ev.histories(own), "person_key", "left")
         .join(pending, "person_key", "left")
-        .select("id", "original_name", F.col("person_key").alias("normalized_name"), "dates", F.coalesce("pending_date_review_count", F.lit(0)).alias("pending_date_review_count"))
+        .select("id", "original_name", F.col("person_key").alias("normalized_name"), "dates", F.coalesce("pending_date_review_count", F.lit(0)).alias("pending_date_review_count")),
+        "rankable",
     )
     ranked = ranking.explained(ranking.rank_people(people), detail)
     thin = (F.col("date_count") > 0) & (F.col("pending_date_review_count") > 0)
-    ranked = ranked.withColumn("explanation", F.concat("explanation", F.when(thin, F.format_string(PENDING_TEXT, "pending_date_review_count")).otherwise("")))
+    ranked = written(ranked.withColumn("explanation", F.concat("explanation", F.when(thin, F.format_string(PENDING_TEXT, "pending_date_review_count")).otherwise(""))), "ranked")
     left = found.join(free.select("id"), "id", "left_anti").join(chosen.join(stopped, "person_key").select("id", "n_pending", "pending_pages"), "id", "left")
     after = Window.orderBy("ord")
     total = people.agg(F.count(F.lit(1)).alias("total"))

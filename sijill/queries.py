@@ -257,21 +257,21 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as rows of two rosters: those of urgent orders, and the rest."""
     o = F.col("o_orderkey")
     return read(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("person_key"), o.alias("ord"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("second"), F.concat(F.lit("n"), o % 4).alias("name"),
+        F.col("o_custkey").cast("string").alias("person_key"), o.alias("ord"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("second"), F.concat(F.lit("n"), o % 4).alias("name"),
         F.when(o % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("r"), o % 5)).alias("rank_title"), (o % 7).alias("page"), F.when(o % 2 == 0, F.concat(F.lit("t"), o % 9)).alias("notes"),
     )
 
 
 @register("occurrence_people", """WITH o AS (SELECT *, 'n' || o_orderkey % 4 AS name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'r' || o_orderkey % 5 END AS rank_title FROM orders)
-SELECT o_custkey AS person_key, arg_min(name, o_orderkey) AS original_name, coalesce(arg_min(rank_title, o_orderkey) FILTER (rank_title <> ''), '') AS rank_title, count(*) AS n_occurrences,
+SELECT CAST(o_custkey AS VARCHAR) AS person_key, arg_min(name, o_orderkey) AS original_name, coalesce(arg_min(rank_title, o_orderkey) FILTER (rank_title <> ''), '') AS rank_title, count(*) AS n_occurrences,
   coalesce(string_agg('t' || o_orderkey % 9, ',' ORDER BY o_orderkey) FILTER (o_orderkey % 2 = 0), '') AS notes FROM o GROUP BY 1""")
 def occurrence_people(spark, sf_dir):
     return ev.people(occurrences(spark, sf_dir)).select("person_key", "original_name", "rank_title", "n_occurrences", F.array_join("notes_texts", ",").alias("notes"))
 
 
 @register("merge_sources", """WITH o AS (SELECT o_custkey AS k, o_orderkey AS ord, o_orderpriority IN ('1-URGENT', '2-HIGH') AS second, 'n' || o_orderkey % 4 AS name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'r' || o_orderkey % 5 END AS rank_title, o_orderkey % 7 AS page FROM orders),
-f AS (SELECT k, page, min((second, ord)) AS at FROM o GROUP BY ALL), g AS (SELECT k, string_agg(page, ',' ORDER BY at) AS pages FROM f GROUP BY k)
-SELECT k AS person_key, arg_min(name, (second, ord)) AS original_name, coalesce(arg_min(rank_title, (second, ord)) FILTER (rank_title <> ''), '') AS rank_title, any_value(pages) AS pages, count(*) AS n_occurrences FROM o JOIN g USING (k) GROUP BY k""")
+f AS (SELECT k, page, min((second, ord)) AS place FROM o GROUP BY ALL), g AS (SELECT k, string_agg(page, ',' ORDER BY place) AS pages FROM f GROUP BY k)
+SELECT CAST(k AS VARCHAR) AS person_key, arg_min(name, (second, ord)) AS original_name, coalesce(arg_min(rank_title, (second, ord)) FILTER (rank_title <> ''), '') AS rank_title, any_value(pages) AS pages, count(*) AS n_occurrences FROM o JOIN g USING (k) GROUP BY k""")
 def merge_sources(spark, sf_dir):
     rows = occurrences(spark, sf_dir)
     merged = ev.merge_people(ev.people(rows.where("NOT second")), ev.people(rows.where("second")))
@@ -389,7 +389,7 @@ def soft_collision_guard(spark, sf_dir):
     """Names whose two spellings differ in letters that the soft key unifies."""
     written_ = lambda c: F.translate(F.replace(F.replace(c, F.lit("small"), F.lit("ىىى")), F.lit("large"), F.lit("ييي")), LATIN, ARABIC)
     known = master(spark, sf_dir).select(names.key(written_(F.col("latin"))).alias("person_key"), written_(F.col("latin")).alias("original_name"), "latin", "ord")
-    asked = known.select("latin", F.lit(None).cast("string").alias("user_corrected_name"), F.lit(None).cast("string").alias("matched_master_name"), F.translate("original_name", "ي", "ئ").alias("original_name"))
+    asked = known.select("latin", F.lit(None).cast("string").alias("user_corrected_name"), F.lit(None).cast("string").alias("matched_master_name"), F.translate("original_name", "يى", "ئئ").alias("original_name"))
     found = identity.resolved(asked, known)
     return found.select(F.col("latin").alias("name"), F.when(F.col("person_key").isNotNull(), "one").otherwise("several").alias("found"))
 

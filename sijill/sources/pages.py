@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..cluster import ship
+
 READINGS = "path string, page long, text string, x double, y double, w double, h double, confidence double, source string"
 #: Limits of a page's rendering and of a recognition pass.
 LONGEST_SIDE, LEAST_SCALE, MOST_SCALE = 3600, 1.0, 4.0
@@ -27,4 +29,5 @@ def recognised(files: DataFrame, engine: Callable[[str, bytes], Iterable[tuple]]
                 rows = [(path, *row) for row in engine(path, content)]
                 yield pd.DataFrame(rows, columns=[f.split()[0] for f in READINGS.split(", ")])
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, READINGS)

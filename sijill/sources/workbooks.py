@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from ..functions import hijri, names
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -78,6 +79,7 @@ def read_cells(spark: SparkSession, *paths: str) -> DataFrame:
                 found = sheet(content)
                 yield pd.DataFrame({"path": [path] * len(found), "row": range(len(found)), "cells": found})
 
+    ship(spark)
     return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(rows, CELLS)
 
 
