@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -151,7 +152,7 @@ def clean_cell(text: Column) -> Column:
     """A roster cell without its row number and rank."""
     text = single_spaced(F.regexp_replace(trimmed(text), r"(?U)^[٠-٩0-9]+\s*[\-–.]\s*", ""))
     for rank in sorted(RANKS, key=len, reverse=True):
-        text = F.when(text.endswith(rank), trimmed(F.substring(text, F.lit(1), F.char_length(text) - len(rank)))).otherwise(text)
+        text = F.regexp_replace(text, rf"\s*{re.escape(rank)}\z", "")
     for rank in MISREAD_RANKS:
         text = F.replace(text, F.lit(rank), F.lit(""))
     return trimmed(text)

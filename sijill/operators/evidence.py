@@ -152,7 +152,7 @@ def reviewed(evidence: DataFrame, people_: DataFrame, reviews: DataFrame) -> Dat
     found = found.withColumn("given", F.when(legal, F.regexp_replace("date", "[-/]", "").cast("int")))
 
     added = found.where((F.col("action") == "add_date") & hijri.parse(F.col("date")).isNotNull()).select(
-        "person_key", F.lit(None).cast("long").alias("ord"), F.lit(0).alias("nth"), hijri.parse(F.col("date")).alias("date"), F.col("date").alias("original_text"),
+        "person_key", F.lit(None).cast(evidence.schema["ord"].dataType).alias("ord"), F.lit(0).alias("nth"), hijri.parse(F.col("date")).alias("date"), F.col("date").alias("original_text"),
         F.coalesce(F.col("page").cast("long"), F.lit(0)).alias("page"), F.lit(1.0).alias("confidence"), F.lit(True).alias("verified"), F.lit(False).alias("needs_review"),
         F.lit("").alias("review_reason"), F.lit(1).alias("agreement"), F.lit(1.0).alias("association"), F.lit(ADDED).alias("snippet"), F.col("seq").alias("_since"),
     )

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import written
 from ..functions import names
 
 #: Statuses of a target.
@@ -71,12 +72,13 @@ def targets(listed: DataFrame, master: DataFrame) -> DataFrame:
     """Targets from a list (id, ord, name): names of three characters at least, the first of each key, matched."""
     named = listed.withColumn("original_name", names.trimmed(F.coalesce("name", F.lit("")))).where(F.char_length("original_name") >= 3)
     named = named.withColumn("query_key", names.key(F.col("original_name")))
-    first = named.groupBy("query_key").agg(F.min_by(F.struct("id", "ord", "original_name"), "ord").alias("t")).select("query_key", "t.*")
+    first = written(named.groupBy("query_key").agg(F.min_by(F.struct("id", "ord", "original_name"), "ord").alias("t")).select("query_key", "t.*"), "first")
     found = first.join(matches(first, master), "query_key")
-    return found.select(
+    made = found.select(
         "id", "ord", "original_name", F.col("query_key").alias("normalized_name"), F.round("match_confidence", 4).alias("confidence"), "status", "candidates",
         F.col("matched").alias("matched_master_name"), F.lit(None).cast("string").alias("user_corrected_name"), F.lit(None).cast("double").alias("visual_confidence"), F.lit(None).cast("int").alias("ocr_agreement"),
     )
+    return written(made, "targets")
 
 
 def from_readings(readings: DataFrame, master: DataFrame) -> DataFrame:

@@ -37,17 +37,23 @@ class Master:
     evidence: DataFrame
 
 
+def kept(master: Master) -> Master:
+    """A master as tables: every later step reads them several times."""
+    return Master(written(master.people, "master"), written(master.evidence, "evidence"))
+
+
 def master_from_rows(rows: DataFrame) -> Master:
     """From workbook rows (see workbooks.master_rows)."""
+    rows = written(rows, "rows")
     seen = workbooks.occurrences(rows)
-    noted = ev.from_notes(seen.where(F.col("notes").isNotNull()))
+    noted = written(ev.from_notes(seen.where(F.col("notes").isNotNull())), "noted")
     listed = workbooks.listed_dates(rows.where(F.col("dates").isNotNull()), noted)
     # Pages come from notes, and from rows whose dates column could be parsed and that name a page.
     paged = rows.where(F.col("dates").isNotNull() & (F.col("page") != 0) & F.exists(F.split("dates", "[|,;]+"), lambda p: hijri.parse(p).isNotNull()))
     pages = seen.where(F.col("notes").isNotNull()).select("person_key", "ord", "page").unionByName(paged.select(names.key(F.col("name")).alias("person_key"), "ord", "page"))
     listed_pages = pages.groupBy("person_key").agg(ev.in_order(F.col("page"), F.col("ord")).alias("pages"))
     people = ev.people(seen).drop("pages").join(listed_pages, "person_key", "left").withColumn("pages", F.coalesce("pages", F.array().cast("array<bigint>")))
-    return Master(identity.flag_near_duplicates(people), noted.unionByName(listed))
+    return kept(Master(identity.flag_near_duplicates(written(people, "people")), noted.unionByName(listed)))
 
 
 def master_from_pages(page_rows: DataFrame, source: str = "") -> Master:
@@ -56,12 +62,12 @@ def master_from_pages(page_rows: DataFrame, source: str = "") -> Master:
         names.key(F.col("original_name")).alias("person_key"), F.struct(F.lit(source).alias("path"), (F.col("page") * 1_000_000 + F.col("row_index")).cast("int").alias("row")).alias("ord"), F.lit(source).alias("source"), F.col("original_name").alias("name"),
         F.col("rank").alias("rank_title"), "notes", "page", "confidence", "agreement", "association", "row_index",
     ).where(F.col("person_key") != "")
-    return Master(identity.flag_near_duplicates(ev.people(seen)), ev.from_notes(seen))
+    return kept(Master(identity.flag_near_duplicates(written(ev.people(seen), "people")), ev.from_notes(seen)))
 
 
 def master_from_readings(readings: DataFrame, rules: DataFrame | None = None, boundaries: DataFrame | None = None) -> Master:
     """From the readings of scanned pages, with their vertical rules (page, x) and horizontal ones (page, y) where they were found."""
-    voted = tokens.voted(readings)
+    voted = written(tokens.voted(readings), "voted")
     if rules is None or boundaries is None:
         return master_from_pages(tokens.page_rows(tokens.clustered_columns(voted)))
     grid = tokens.columns(rules)
@@ -75,7 +81,7 @@ def merged(*masters: Master) -> Master:
     evidence = masters[0].evidence
     for m in masters[1:]:
         evidence = evidence.unionByName(m.evidence)
-    return Master(identity.flag_near_duplicates(ev.merge_people(*[m.people for m in masters])), evidence)
+    return kept(Master(identity.flag_near_duplicates(written(ev.merge_people(*[m.people for m in masters]), "people")), evidence))
 
 
 def shifted(masters: list[Master]) -> list[Master]:
@@ -167,7 +173,7 @@ def run_list(targets: DataFrame, master: Master) -> tuple[DataFrame, DataFrame]:
     """The command line's run: every proposal is accepted, and all readings of the people found are verified."""
     adopt = targets.where((F.coalesce("matched_master_name", F.lit("")) != "") | (F.col("status") == identity.VERIFIED))
     commands = adopt.select(F.lit(0).cast("long").alias("seq"), "id", F.lit("set_name").alias("action"), F.coalesce("matched_master_name", "original_name").alias("name"))
-    settled = identity.corrected(targets, commands, master.people)
+    settled = written(identity.corrected(targets, commands, master.people), "settled")
     people = settled.where(F.col("status") == identity.VERIFIED).select(names.key(identity.display_name()).alias("person_key")).distinct().withColumn("_trusted", F.lit(True))
     trusted = F.coalesce("_trusted", F.lit(False))
     evidence = master.evidence.join(people, "person_key", "left").withColumns({

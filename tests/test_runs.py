@@ -17,8 +17,9 @@ def book(tmp_path, name, rows):
     return str(path)
 
 
-@pytest.fixture
-def master(spark, tmp_path):
+@pytest.fixture(scope="module")
+def master(spark, tmp_path_factory):
+    tmp_path = tmp_path_factory.mktemp("books")
     rows = [
         ("الاسم", "التواريخ", "الرتبة", "الصفحة", "الملاحظات"),
         ("محمد سلامة الحازمي", "1447/08/11 | 1447/07/12", "عريف", 2, ""),
