@@ -6,15 +6,15 @@ with equal sets form one class, and only classes are joined:
 1. *Fragments.* The n-grams' order is cut into fragments (by the top of a 64-bit key); each document's
    segment of a fragment goes there once, packed. A fragment has all occurrences of its n-grams, so it counts in
    how many classes each occurs, and returns only the n-grams of two classes or more. The global order is
-   (min(classes, CAP), key): rarest first. An n-gram that is frequent within one task is known to be at CAP
+   (min(classes, CAP), key), as one number: rarest first. An n-gram that is frequent within one task is known to be at CAP
    there, so the fragment gets a mark instead of its occurrences, and no fragment has an unbounded list.
 2. *Prefix filter.* A linked class shares at least ceil(percent/100 * n) n-grams with others; classes with
    fewer shared n-grams go. Of the rest, the first n - ceil(percent/100 * n) + 1 n-grams of the order are the
    prefix: linked classes share one. Prefix n-grams make buckets.
 3. *Pairs.* Each bucket pairs its members with one pivot, so a group of m near copies costs m pairs. A pair's
    partial overlaps are counted fragment by fragment and summed. Buckets whose members then lie in different
-   components are paired out, but for pairs that the length, the positions or the triangle inequality of the
-   Jaccard distance (over the pivot) rule out. Pairs within a component can't change the components. So the
+   components are paired out, but for pairs that the length, the numbers and places of shared n-grams, or the triangle
+   inequality of the Jaccard distance (over the pivot) rule out. Pairs within a component can't change the components. So the
    components are exact, and nothing is capped.
 4. *Components* by label propagation with pointer jumping, in tables.
 
@@ -43,14 +43,14 @@ from .common import broadcast_if_small, chunks, map_arrow, ship, table, text_buf
 
 #: N-grams of a fragment; more of them make more fragments.
 FRAGMENT = 2_000_000
-MOST_FRAGMENTS = 1 << 16
+LEAST_FRAGMENTS, MOST_FRAGMENTS = 64, 1 << 16
 #: Classes of an n-gram from which on the order takes it as frequent.
 CAP = 32
 CHUNK, HASHED = 8 << 20, 1 << 20
 #: Segments of a class whose partial overlaps are counted apart.
 SEGMENTS = 4
-#: Members of a bucket from which on another pivot is tried before its components are paired out.
-LARGE_BUCKET, PIVOT_ROUNDS = 256, 3
+#: Members of a bucket from which on more pivots are tried, so many at once, before its components are paired out.
+LARGE_BUCKET, PIVOTS = 4096, 8
 
 BASE = 0x9E3779B97F4A7C15 | 1
 SEPARATOR = np.zeros(256, dtype=bool)
@@ -144,10 +144,10 @@ def class_rows(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     return map_arrow(docs, run, schema)
 
 
-#: part: a fragment, or one that only passes on; keys, sizes, counts: of classes; grams: 6 bytes each (8 and
-#: complete where passed on); frequent: 6 bytes each, at CAP in the task.
+#: part: a fragment, or one that only passes on; keys, sizes, counts: of classes; grams: 6 bytes each (8-byte
+#: tokens where passed on); frequent: 6 bytes each, at CAP in the task.
 PACKED = "part int, passed boolean, keys binary, sizes binary, counts binary, grams binary, frequent binary"
-ENTRIES = "class_key long, n long, tokens array<long>, seen array<tinyint>"
+ENTRIES = "class_key long, n long, m int, tokens array<long>"
 
 
 def _six(keys: np.ndarray) -> bytes:
@@ -197,23 +197,25 @@ def segments(docs: DataFrame, text: str, n: int, fragments: int) -> DataFrame:
                     known = np.flatnonzero(often[piece]) + bounds[f]
                     if len(known):
                         known = known[np.argsort(of[known], kind="stable")]
-                        tokens = _token(key[known], f)
-                        rows.append(pack(int(tokens[0] % fragments), True, of[known], tokens.tobytes(), b"", classes, sizes))
+                        tokens = _token(key[known], f, np.full(len(known), CAP))
+                        rows.append(pack(int(key[known[0]] % np.uint64(fragments)), True, of[known], tokens.tobytes(), b"", classes, sizes))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), *[pa.binary()] * 5))], names=["part", "passed", "keys", "sizes", "counts", "grams", "frequent"])
 
     return map_arrow(docs.select(F.col(text).cast("string")), run, PACKED)
 
 
-def _token(key: np.ndarray, fragment: int) -> np.ndarray:
-    return ((key & np.uint64((1 << 48) - 1)) | np.uint64(fragment << 48)).view(np.int64)
+def _token(key: np.ndarray, fragment: int, seen: np.ndarray) -> np.ndarray:
+    """An n-gram's place in the global order, one number: in how many classes it occurs (to CAP), then 57 bits of its key."""
+    low = mixed((key & np.uint64((1 << 48) - 1)) | np.uint64(fragment << 48)) >> np.uint64(7)
+    return (low | (seen.astype(np.uint64) - np.uint64(1)) << np.uint64(57)).view(np.int64)
 
 
-def _entries(keys: np.ndarray, sizes: np.ndarray, of: np.ndarray, tokens: np.ndarray, seen: np.ndarray) -> pa.Table:
+def _entries(keys: np.ndarray, sizes: np.ndarray, of: np.ndarray, tokens: np.ndarray) -> pa.Table:
     """of: sorted places in keys."""
     rows, counts = np.unique(of, return_counts=True)
     ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-    return pa.table({"class_key": pa.array(keys[rows]), "n": pa.array(sizes[rows].astype(np.int64)), "tokens": pa.ListArray.from_arrays(ends, pa.array(tokens)), "seen": pa.ListArray.from_arrays(ends, pa.array(seen.astype(np.int8)))})
+    return pa.table({"class_key": pa.array(keys[rows]), "n": pa.array(sizes[rows].astype(np.int64)), "m": pa.array(counts.astype(np.int32)), "tokens": pa.ListArray.from_arrays(ends, pa.array(tokens))})
 
 
 def shared_ngrams(key: tuple, group: pa.Table) -> pa.Table:
@@ -223,8 +225,7 @@ def shared_ngrams(key: tuple, group: pa.Table) -> pa.Table:
     keys, sizes, counts = blob("keys", "<i8"), blob("sizes", "<u4"), blob("counts", "<u4")
     of = np.repeat(np.arange(len(keys)), counts)
     if passed:
-        tokens = blob("grams", "<i8")
-        return _entries(keys, sizes, of, tokens, np.full(len(tokens), CAP))
+        return _entries(keys, sizes, of, blob("grams", "<i8"))
     grams = _from_six(b"".join(group.column("grams").to_pylist()))
     frequent = np.unique(_from_six(b"".join(group.column("frequent").to_pylist())))
     # The copies in other tasks send the same segment again, but for what was frequent in one of the tasks.
@@ -239,7 +240,7 @@ def shared_ngrams(key: tuple, group: pa.Table) -> pa.Table:
         seen = np.where(frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams, CAP, seen)
     kept = np.flatnonzero(seen > 1)
     kept = kept[np.argsort(of[kept], kind="stable")]
-    return _entries(keys, sizes, of[kept], _token(grams[kept], part), seen[kept])
+    return _entries(keys, sizes, of[kept], _token(grams[kept], part, seen[kept]))
 
 
 def least_shared(n: Column, percent: int) -> Column:
@@ -249,19 +250,20 @@ def least_shared(n: Column, percent: int) -> Column:
 
 def ordered_classes(entries: DataFrame, percent: int) -> DataFrame:
     """(class_key, n, tokens): classes that share enough n-grams to link, their shared n-grams in the global order."""
-    enough = entries.groupBy("class_key").agg(F.first("n").alias("n"), F.sum(F.size("tokens")).alias("m")).where(F.col("m") >= least_shared(F.col("n"), percent))
-    pairs = F.arrays_zip(F.col("seen"), F.col("tokens"))
+    enough = entries.groupBy("class_key").agg(F.first("n").alias("n"), F.sum("m").alias("m")).where(F.col("m") >= least_shared(F.col("n"), percent))
+    enough = broadcast_if_small(written(enough.select("class_key"), "enough"), F.lit(16))
     # One document's n-grams: the group is no larger than the document.
-    whole = entries.join(enough.select("class_key"), "class_key", "left_semi").groupBy("class_key").agg(F.first("n").alias("n"), F.flatten(F.collect_list(pairs)).alias("grams"))
-    return whole.select("class_key", "n", F.transform(F.array_sort(F.array_distinct("grams")), lambda g: g["tokens"]).alias("tokens"))
+    whole = entries.join(enough, "class_key", "left_semi").groupBy("class_key").agg(F.first("n").alias("n"), F.flatten(F.collect_list("tokens")).alias("tokens"))
+    return whole.select("class_key", "n", F.sort_array(F.array_distinct("tokens")).alias("tokens"))
 
 
 def prefix_buckets(classes: DataFrame, percent: int) -> DataFrame:
-    """(token, class_key, n, pos): the shared n-grams within each class's prefix; pos counts from 1 in the global order."""
+    """(token, class_key, n, m, pos): the shared n-grams within each class's prefix. m: how many n-grams it shares at all; pos: the
+    token's place among those, from 1."""
     alone = F.col("n") - F.size("tokens")
     prefix = F.col("n") - least_shared(F.col("n"), percent) + 1
     held = F.slice("tokens", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))
-    return classes.select("class_key", "n", alone.alias("alone"), F.posexplode(held).alias("k", "token")).select("token", "class_key", "n", (F.col("alone") + F.col("k") + 1).alias("pos"))
+    return classes.select("class_key", "n", F.size("tokens").alias("m"), F.posexplode(held).alias("k", "token")).select("token", "class_key", "n", "m", (F.col("k") + 1).alias("pos"))
 
 
 def overlaps(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -292,6 +294,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: only the components that the links touch are joined."""
+    of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"{c}_label"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"), F.col("a").alias("v"), F.col("b").alias("u"))
+    between = written(between.where(F.col("a") != F.col("b")), "between")
+    if between.isEmpty():
+        return labels
+    merged = components(between)
+    fresh = between.select("v").unionByName(between.select(F.col("u").alias("v"))).distinct().join(labels.select("v"), "v", "left_anti").select("v", F.col("v").alias("label"))
+    renamed = merged.select(F.col("v").alias("label"), F.col("label").alias("new"))
+    return written(labels.unionByName(fresh).join(renamed, "label", "left").select("v", F.coalesce("new", "label").alias("label")), "labels")
+
+
 def class_components(entries: DataFrame, percent: int) -> DataFrame:
     """(v, label) of all classes that link with another one."""
     classes = written(ordered_classes(entries, percent), "classes")
@@ -307,20 +322,19 @@ def class_components(entries: DataFrame, percent: int) -> DataFrame:
     # The distance to the bucket's pivot, for the triangle inequality.
     apart = counted.select(F.col("a").alias("p"), F.col("b").alias("class_key"), (1 - F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("apart"))
     buckets = buckets.withColumn("p", F.col("pivot.class_key")).join(apart, ["p", "class_key"], "left").withColumn("apart", F.when(F.col("p") == F.col("class_key"), 0.0).otherwise(F.col("apart")))
-    buckets = written(buckets.select("token", "class_key", "n", "pos", "members", "apart"), "distances")
-
-    done, turn = counted.select("a", "b"), 0
-    while not (mixed_up := _mixed_buckets(buckets, labels)).isEmpty():
-        large = mixed_up.where(F.col("members") > LARGE_BUCKET)
-        last = turn == PIVOT_ROUNDS or large.isEmpty()
-        pairs = _paired_out(mixed_up, percent) if last else _another_pivot(large, turn, percent)
-        pairs = pairs.join(done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+    buckets = written(buckets.select("token", "class_key", "n", "m", "pos", "members", "apart"), "distances")
+
+    done = counted.select("a", "b")
+    for paired in (_more_pivots, _paired_out):
+        mixed_up = _mixed_buckets(buckets, labels)
+        if paired is _more_pivots:
+            mixed_up = mixed_up.where(F.col("members") > LARGE_BUCKET)
+        if mixed_up.isEmpty():
+            continue
+        pairs = paired(mixed_up, percent).join(done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
         counted = written(overlaps(pairs, classes), "overlaps")
-        done, links = done.unionByName(counted.select("a", "b")), links.unionByName(counted.where(linked(percent)).select("a", "b"))
-        labels = components(links)
-        turn += 1
-        if last:
-            break
+        done = done.unionByName(counted.select("a", "b"))
+        labels = joined(labels, counted.where(linked(percent)).select("a", "b"))
     return labels
 
 
@@ -332,10 +346,11 @@ def _mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _possible(percent: int) -> Column:
-    """The length, position and distance filters, for sides x and y."""
+    """The length, position and distance filters, for sides x and y. Only shared n-grams can overlap: at most the fewer up to
+    the common token, and the fewer behind it."""
     n_x, n_y = F.col("x.n"), F.col("y.n")
     length = F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent
-    most = F.least(F.col("x.pos"), F.col("y.pos")) + F.least(n_x - F.col("x.pos"), n_y - F.col("y.pos"))
+    most = F.least(F.col("x.pos"), F.col("y.pos")) + F.least(F.col("x.m") - F.col("x.pos"), F.col("y.m") - F.col("y.pos"))
     position = most * 100 >= (n_x + n_y - most) * percent
     near = F.coalesce(F.abs(F.col("x.apart") - F.col("y.apart")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     return length & position & near
@@ -345,9 +360,10 @@ def _columns_of_pairs() -> list[Column]:
     return [F.col("x.class_key").alias("a"), F.col("y.class_key").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")]
 
 
-def _another_pivot(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    fields = ["class_key", "n", "pos", "apart", "label"]
-    chosen = members.groupBy("token").agg(F.min_by(F.struct(*fields), F.xxhash64("class_key", F.lit(turn))).alias("c")).select("token", "c.*")
+def _more_pivots(members: DataFrame, percent: int) -> DataFrame:
+    fields = ["class_key", "n", "m", "pos", "apart", "label"]
+    group = F.pmod(F.xxhash64("class_key"), F.lit(PIVOTS)).alias("group")
+    chosen = members.groupBy("token", group).agg(F.min_by(F.struct(*fields), F.xxhash64("class_key", F.lit(1))).alias("c")).select("token", "c.*")
     return members.alias("y").join(chosen.alias("x"), "token").where((F.col("x.label") != F.col("y.label")) & _possible(percent)).select(*_columns_of_pairs()).distinct()
 
 
@@ -358,12 +374,10 @@ def _paired_out(members: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row a document."""
-    spark = docs.sparkSession
     rows = written(class_rows(docs, doc_id, text, n), "class-rows")
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fragments = min(MOST_FRAGMENTS, max(at_least, math.ceil(total / FRAGMENT)))
-    ship(spark)
+    fragments = min(MOST_FRAGMENTS, max(LEAST_FRAGMENTS, math.ceil(total / FRAGMENT)))
+    ship(docs.sparkSession)
     packed = segments(docs, text, n, fragments)
     entries = written(packed.groupBy("part", "passed").applyInArrow(shared_ngrams, ENTRIES), "shared")
     labels = class_components(entries, percent)
