@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,10 +29,22 @@ def broadcast_if_small(df: DataFrame, bytes_of: Column) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
+def release() -> None:
+    """Gives a worker's free memory back: workers live on, and the next stage's need theirs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """mapInArrow, with this package on the workers."""
+    """mapInArrow, with this package on the workers, which keep no memory of a task."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release()
+
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(lean, schema)
 
 
 def crc_mod(column: str, n: int) -> Column:
