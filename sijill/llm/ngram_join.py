@@ -46,7 +46,7 @@ FRAGMENT = 2_000_000
 LEAST_FRAGMENTS, MOST_FRAGMENTS = 64, 1 << 16
 #: Classes of an n-gram from which on the order takes it as frequent.
 CAP = 32
-CHUNK, HASHED = 8 << 20, 1 << 20
+CHUNK, HASHED = 4 << 20, 1 << 20
 #: Segments of a class whose partial overlaps are counted apart.
 SEGMENTS = 4
 #: Members of a bucket from which on more pivots are tried, so many at once, before its components are paired out.
