@@ -4,8 +4,9 @@ Euclidean nearness to a query q ranks like the inner product q.x - |x|^2 / 2, wi
 vector is quantised in subspaces of a few dimensions with 16 centres, four bits each. The quantisation loss
 weighs the residual's part parallel to the vector more than the rest, as that part moves large inner products;
 centres and codes are fitted by coordinate descent under it. A scan looks a block's codes up in a query's
-tables of 16 products a subspace (two subspaces share a byte, so a table of 256 sums) and keeps the best
-candidates of each query; these are reranked by the exact distance of the original vectors.
+tables of 16 products a subspace (two subspaces share a byte, so a table of 256 sums); the best candidates of each
+query in the block are reranked by the exact distance of the original vectors, and the block's k nearest go on. So the
+number of candidates follows the number of vectors, and a neighbour is lost only to the rows of its own block.
 
 The centres are fitted on the SAMPLE vectors of smallest hash, every vector is indexed, and every query is
 scanned against every block. Blocks have a bounded number of rows on both sides.
@@ -26,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_arrow, table, written
+from .common import broadcast_if_small, map_arrow, table, written
 
 SAMPLE, CENTRES, SUBSPACE = 8192, 16, 2
 BLOCK, QUERY_BLOCK = 8192, 512
@@ -125,8 +127,20 @@ def _floats(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
+def block_nearest(ids: np.ndarray, estimates: np.ndarray, exact: np.ndarray, query_id: int, query: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances of the k nearest of a block's `rerank` best estimates."""
+    own = np.where(ids == query_id, -np.inf, estimates)
+    most = len(own) - rerank
+    near = np.flatnonzero(own >= np.partition(own, most)[most]) if most > 0 else np.arange(len(own))
+    near = near[np.lexsort((ids[near], -own[near]))][:rerank]
+    near = near[own[near] > -np.inf]
+    far = np.sqrt(np.cumsum((exact[near].astype(np.float64) - query) ** 2, axis=1)[:, -1])
+    first = np.lexsort((ids[near], far))[:k]
+    return ids[near][first], far[first]
+
+
 def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, rerank: int = 128) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest of each query among all other vectors."""
+    """(query_id, rank, vec_id, score): the k nearest of each query among all other vectors. rerank: candidates of a query in each block."""
     rerank = max(rerank, k)
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("is_query"))
@@ -140,45 +154,38 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector
     sample = rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     quantiser = fit(_floats(sample.column("v").combine_chunks(), d))
 
+    packed_as = np.float32 if vectors.schema[vector].dataType.elementType == T.FloatType() else np.float64
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(start, BLOCK)
-                codes, half = quantiser.encode(_floats(part.column(1), d))
+                exact = _floats(part.column(1), d)
+                codes, half = quantiser.encode(exact)
                 packed = codes[:, 0::2] * CENTRES + codes[:, 1::2]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (part.column(0).to_numpy(), packed, half)], names=["ids", "codes", "half"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (part.column(0).to_numpy(), packed, half, exact.astype(packed_as))], names=["ids", "codes", "half", "exact"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, half = np.frombuffer(batch.column(0)[row].as_py(), np.int64), np.frombuffer(batch.column(2)[row].as_py(), np.float32)
                 packed = np.frombuffer(batch.column(1)[row].as_py(), np.uint8).reshape(len(ids), -1)
-                asked = batch.column(3)[row].values
-                scores = scan(quantiser, packed, half, _floats(asked.field("v"), d))
-                query_ids = asked.field("vec_id").to_numpy()
-                out: list[list[np.ndarray]] = [[], [], []]
-                for q, own in enumerate(scores):
-                    own[ids == query_ids[q]] = -np.inf
-                    most = len(own) - rerank
-                    near = np.flatnonzero(own >= np.partition(own, most)[most]) if most > 0 else np.arange(len(own))
-                    near = near[np.lexsort((ids[near], -own[near]))][:rerank]
-                    near = near[own[near] > -np.inf]
-                    for column, value in zip(out, (np.full(len(near), query_ids[q]), ids[near], own[near].astype(np.float64))):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "estimate"])
+                exact = np.frombuffer(batch.column(3)[row].as_py(), packed_as).reshape(len(ids), d)
+                asked = batch.column(4)[row].values
+                query_ids, wanted = asked.field("vec_id").to_numpy(), _floats(asked.field("v"), d)
+                found = [block_nearest(ids, own, exact, query_ids[q], wanted[q], k, rerank) for q, own in enumerate(scan(quantiser, packed, half, wanted))]
+                owner = np.repeat(query_ids, [len(near) for near, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), *(pa.array(np.concatenate(x)) for x in zip(*found))], names=["query_id", "vec_id", "score"])
 
     rows = written(rows.dropDuplicates(["vec_id"]), "vectors")
     queries = rows.where("is_query").select("vec_id", "v")
     n_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     # Each block of vectors meets each block of queries. Both are bounded, and so are their copies' numbers.
-    blocks = map_arrow(rows.select("vec_id", "v"), index, "ids binary, codes binary, half binary").withColumn("asked_by", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    blocks = map_arrow(rows.select("vec_id", "v"), index, "ids binary, codes binary, half binary, exact binary").withColumn("asked_by", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     asked = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("asked_by")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-    met = blocks.join(asked, "asked_by").select("ids", "codes", "half", "queries")
-    estimated = map_arrow(met, best, "query_id long, vec_id long, estimate double")
-    place = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id")
-    kept = estimated.withColumn("place", F.row_number().over(place)).where(F.col("place") <= rerank).select("query_id", "vec_id")
-    exact = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    measured = kept.join(rows.select("vec_id", "v"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", "vec_id", exact.alias("score"))
+    asked = broadcast_if_small(written(asked, "asked"), F.size("queries") * (8 * d + 8))
+    met = blocks.join(asked, "asked_by").select("ids", "codes", "half", "exact", "queries")
+    measured = map_arrow(met, best, "query_id long, vec_id long, score double")
     rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return measured.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -135,6 +135,19 @@ def test_nearest(spark):
     assert nearest.nearest(few, F.col("vec_id") == 7).count() == 2 and nearest.nearest(vectors.where("false"), F.lit(True)).count() == 0
 
 
+def test_nearest_candidates_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 500)
+    x = np.random.default_rng(6).standard_normal((6000, 32)).astype(np.float32)
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(2)
+    found = nearest.nearest(vectors, F.col("vec_id") % 100 == 0, rerank=24).toPandas()
+    hits = 0
+    for q in range(0, 6000, 100):
+        far = ((x.astype(np.float64) - x[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits += len(set(np.argsort(far)[:10]) & set(found[found.query_id == q].vec_id))
+    assert hits >= 0.95 * 600
+
+
 def test_lm_base_and_model(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "FREQUENT", 6)
     monkeypatch.setattr(lm_score, "STEPS", 60)
