@@ -168,6 +168,22 @@ def test_lm_base_and_model(spark, monkeypatch):
     assert lm_score.score(rows.where("false")).count() == 0
 
 
+def test_lm_learns_from_all_training_texts(spark):
+    """A first text longer than all others together, and cycles of words in the many that follow."""
+    texts = ["alpha beta " * 300_000, *("gamma delta sigma omega " * 20 for _ in range(2300))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    v = pieces.load()
+    words = [lm_score.subwords(lm_score.words_of(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))[0], v) for x in texts[:2]]
+    training = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 7 != 2]
+    held = rows.where(F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
+    counts = np.ones(len(v.pieces) + 1, np.int64)
+    gathered = written(lm_score.gathered(held, counts, v, []), "windows")
+    lengths = [300_000 * len(words[0][0]) + 1 if k == 0 else 20 * len(words[1][0]) + 1 for k in training]
+    assert gathered.where("part = -1").agg(F.sum("n")).first()[0] == sum(-(-x // (lm_score.WINDOW // 2)) for x in lengths)
+    beside = lm_score.all_neighbours(gathered, len(counts) * 2 * (lm_score.OWN_CLASS + 1))
+    assert beside.sum() == 2 * sum(x - 1 for x in lengths)
+
+
 def log_probabilities(f):
     return f["logits"] - f["lse"][:, :, None]
 
