@@ -372,15 +372,20 @@ def _paired_out(members: DataFrame, percent: int) -> DataFrame:
     return members.alias("x").join(members.alias("y"), other & _possible(percent)).select(*_columns_of_pairs()).distinct()
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row a document."""
+def _classes_of(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """class_rows of the documents, and (v, label) of all classes that link with another one."""
     rows = written(class_rows(docs, doc_id, text, n), "class-rows")
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     fragments = min(MOST_FRAGMENTS, max(LEAST_FRAGMENTS, math.ceil(total / FRAGMENT)))
     ship(docs.sparkSession)
     packed = segments(docs, text, n, fragments)
     entries = written(packed.groupBy("part", "passed").applyInArrow(shared_ngrams, ENTRIES), "shared")
-    labels = class_components(entries, percent)
+    return rows, class_components(entries, percent)
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row a document."""
+    rows, labels = _classes_of(docs, doc_id, text, n, percent)
     worded = rows.where(F.col("n_shingles") > 0)
     named = worded.groupBy("class_key").agg(F.min("doc_id").alias("first_id"))
     named = named.join(labels.select(F.col("v").alias("class_key"), "label"), "class_key", "left").withColumn("label", F.coalesce("label", "class_key"))
@@ -398,16 +403,15 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of documents that share four fifths of their five-word n-grams, and of those they reach, the
-    one with the smallest id stays; of rows that share an id, one."""
-    found = written(join(docs, n=5, percent=80), "components")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    left = docs.join(broadcast_if_small(written(gone, "gone"), F.lit(16)), "doc_id", "left_anti")
-    repeated = written(found.groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return left.select(*docs.columns)
-    same = left["doc_id"].eqNullSafe(repeated["doc_id"])
-    return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """Pipeline stage: of rows that share four fifths of their five-word n-grams, and of those they reach, the one with the
+    smallest id stays (a null id last). Rows are told apart by a number of their own: neither a null id nor one that different
+    texts share joins them. Rows without words all stay."""
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows, labels = _classes_of(numbered.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("_row").alias("row")).alias("key"), "text"), "key", "text", 5, 80)
+    named = rows.where(F.col("n_shingles") > 0).join(labels.select(F.col("v").alias("class_key"), "label"), "class_key", "left").withColumn("label", F.coalesce("label", "class_key"))
+    first = written(named.groupBy("label").agg(F.min("doc_id").alias("first")), "first")
+    gone = written(named.join(first, "label").where(F.col("doc_id.row") != F.col("first.row")).select(F.col("doc_id.row").alias("_row")), "gone")
+    return numbered.join(broadcast_if_small(gone, F.lit(16)), "_row", "left_anti").select(*docs.columns)
 
 
 #: Links from counted common n-grams, and components by reach.

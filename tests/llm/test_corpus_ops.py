@@ -73,6 +73,13 @@ def test_ngram_join_edges(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 3]
 
 
+def test_one_of_each_decides_by_row(spark):
+    one, two, three, four = (" ".join(f"{c}{k}" for k in range(30)) for c in "abcd")
+    rows = [(None, one), (None, two), (5, three), (5, four), (3, four), (7, one), (8, None), (8, "")]
+    kept = ngram_join.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted([("None", two), ("5", three), ("3", four), ("7", one), ("8", ""), ("8", "")])
+
+
 def test_chains_join(spark):
     base = [f"w{k}" for k in range(100)]
     texts = []
