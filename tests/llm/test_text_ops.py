@@ -136,6 +136,15 @@ def test_chat_round_trip(spark):
     assert None in back and chat_format.render(chat_format.canonical_turns(chat_format.records_of(docs.where("false")))).count() == 0
 
 
+def test_chat_long_text(spark, tmp_path):
+    rows = spark.range(1).select(F.lit(4).cast("long").alias("conv_id"), F.lit(1).alias("turn"), F.lit("assistant").alias("role"), F.expr("repeat('x', 21000000)").alias("text"))
+    rows.write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat_format.op3_chat_format(spark, str(tmp_path)).select("conv_id", "n_turns", "loss_chars").collect()}
+    assert found[4] == (1, 21_000_000)
+    with pytest.raises(Exception, match="can't be parsed"):
+        chat_format.canonical_turns(chat_format.records_of(rows)).collect()
+
+
 def test_chat_layouts(spark):
     records = {
         '{"conv_id":1,"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}': "messages", '{"conv_id":2,"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}': "conversations",
