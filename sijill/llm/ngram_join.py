@@ -3,23 +3,29 @@
 A document is the set of its word n-grams; two documents link when 100 |x & y| >= percent |x | y|. Documents
 with equal sets form one class, and only classes are joined:
 
-1. *Fragments.* The n-grams' order is cut into fragments (by the top of a 64-bit key); each document's
-   segment of a fragment goes there once, packed. A fragment has all occurrences of its n-grams, so it counts in
-   how many classes each occurs, and returns only the n-grams of two classes or more. The global order is
-   (min(classes, CAP), key), as one number: rarest first. An n-gram that is frequent within one task is known to be at CAP
-   there, so the fragment gets a mark instead of its occurrences, and no fragment has an unbounded list.
+1. *Fragments.* The n-grams' order is cut into fragments, by the top of a key; each document's segment of a
+   fragment goes there once, packed. A fragment has all occurrences of its n-grams, so it counts in how many
+   classes each occurs, and returns only the n-grams of two classes or more. The global order is (min(classes,
+   CAP), key), as one number: rarest first. An n-gram that is frequent within one task is known to be at CAP there,
+   so the fragment gets a mark instead of its occurrences, and no fragment has an unbounded list.
 2. *Prefix filter.* A linked class shares at least ceil(percent/100 * n) n-grams with others; classes with
    fewer shared n-grams go. Of the rest, the first n - ceil(percent/100 * n) + 1 n-grams of the order are the
    prefix: linked classes share one. Prefix n-grams make buckets.
-3. *Pairs.* Each bucket pairs its members with one pivot, so a group of m near copies costs m pairs. A pair's
-   partial overlaps are counted fragment by fragment and summed. Buckets whose members then lie in different
-   components are paired out, but for pairs that the length, the numbers and places of shared n-grams, or the triangle
-   inequality of the Jaccard distance (over the pivot) rule out. Pairs within a component can't change the components. So the
-   components are exact, and nothing is capped.
-4. *Components* by label propagation with pointer jumping, in tables.
-
-Keys are 64-bit hashes of words and n-grams (48 bits and the fragment beyond step 1): two n-grams of a corpus of N that share a key
-have odds of about N^2 / 2^54 and more, and then shift an overlap by one.
+3. *Pairs.* A bucket's members meet one pivot, its smallest set, so m members make m - 1 pairs. A pair's partial
+   overlaps are counted segment by segment of the n-grams' order, and summed.
+4. *Next buckets.* Let p be the pivot, and x and y two members that link, x without a link to p. Then x and y share
+   an n-gram that p lacks: otherwise |x & y| <= |x & p|, and |x | y| >= |x | p| as y is no smaller than p, so
+   they would link no better than x and p. As |x & y & p| <= |x & p|, they share at least the overlap that x needs less
+   |x & p| of those. So the members of p meet again in buckets of (p, n-gram that p lacks), by the prefix of
+   what they hold beyond p; members that all link with p are done. Then step 3 again, until no bucket has two members. What a
+   group has in common stands in its pivot, and is gone in the next round. Pivots rise along the rounds, so they end.
+5. *Components* of the links by label propagation with pointer jumping, in tables.
+
+So the components are exact, no bucket is paired out, and nothing is capped. Links within a component aren't listed.
+
+Keys come from 128-bit BLAKE2 digests of the words. A class key has the set's size and 96 bits, so of 10^11 classes
+two share a key with odds of 10^-7; an n-gram's number has 58 bits, so the overlap of a compared pair of 300 n-grams each
+is off by one with odds of 10^-12.
 
 Defined results: a document with fewer than n words has one n-gram, of all its words; without words (null,
 empty, blank) it has none, and is its own component; repeated rows are rows of one class; ties do not arise;
@@ -29,7 +35,7 @@ unless it stands alone.
 
 from __future__ import annotations
 
-import functools
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -39,32 +45,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, chunks, map_arrow, ship, table, text_buffers, written
+from .common import broadcast_if_small, chunks, map_arrow, ship, table, text_buffers, words_of, written
 
 #: N-grams of a fragment; more of them make more fragments.
 FRAGMENT = 2_000_000
-LEAST_FRAGMENTS, MOST_FRAGMENTS = 64, 1 << 16
+LEAST_FRAGMENTS = 48
 #: Classes of an n-gram from which on the order takes it as frequent.
 CAP = 32
-CHUNK, HASHED = 4 << 20, 1 << 20
+CHUNK = 4 << 20
 #: Segments of a class whose partial overlaps are counted apart.
 SEGMENTS = 4
-#: Members of a bucket from which on more pivots are tried, so many at once, before its components are paired out.
-LARGE_BUCKET, PIVOTS = 4096, 8
-
-BASE = 0x9E3779B97F4A7C15 | 1
-SEPARATOR = np.zeros(256, dtype=bool)
-SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-
-
-@functools.lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE modulo 2**64, and of its inverse."""
-    up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+#: Bytes of a class key: the set's size, then the hash.
+SIZE_BYTES, KEY_BYTES = 4, 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -75,98 +67,99 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_keys(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A key for each word of the texts, A-Z in lower case, and the text it stands in."""
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    word = ~SEPARATOR[raw]
-    cut = np.zeros(len(raw) + 1, dtype=bool)
-    cut[offsets] = True
-    starts = np.flatnonzero(word & (cut[:-1] | np.concatenate([[True], ~word[:-1]])))
-    ends = np.flatnonzero(word & (cut[1:] | np.concatenate([~word[1:], [True]]))) + 1
-    size = HASHED
-    while size < len(raw):
-        size *= 2
-    up, down = _powers(size)
-    summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum((LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
-    keys = (summed[ends] - summed[starts]) * down[starts]
-    return mixed(keys + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(offsets, starts, side="right") - 1
+    """Two 64-bit keys for each word of the texts, A-Z in lower case, and the words' offsets by text."""
+    words, index, ends = words_of(raw, offsets)
+    digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words.to_pylist())
+    return np.frombuffer(digests, "<u8").astype(np.uint64).reshape(-1, 2)[index], ends
 
 
 def combined(words: list[np.ndarray]) -> np.ndarray:
-    key = np.full(len(words[0]), len(words), dtype=np.uint64)
+    """Two keys for each n-gram of words, one from each of the words' keys."""
+    key = np.full(words[0].shape, len(words), dtype=np.uint64)
     for w in words:
         key = mixed(key * np.uint64(0xC2B2AE3D27D4EB4F) + w)
     return key
 
 
 def ngram_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-gram keys of the texts, sorted within a text; each text's number of them; and the texts' class keys."""
+    """Distinct n-grams of the texts as two keys, sorted within a text; each text's number of them; and the texts' class keys."""
     rows = len(offsets) - 1
-    parts = [(word_keys(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), a) for a, b in chunks(offsets, HASHED)]
-    words = np.concatenate([k for (k, _), _ in parts]) if parts else np.zeros(0, np.uint64)
-    owner = np.concatenate([o + a for (_, o), a in parts]) if parts else np.zeros(0, np.int64)
-    inside = owner[: len(owner) - n + 1] == owner[n - 1 :] if len(owner) >= n else np.zeros(0, bool)
-    first = np.flatnonzero(inside)
-    keys, own = [combined([words[first + j] for j in range(n)])] if len(first) else [], [owner[first]] if len(first) else []
-    count = np.bincount(owner, minlength=rows)
-    start = np.concatenate([[0], np.cumsum(count)])[:-1]
+    words, ends = word_keys(raw, offsets)
+    count = np.diff(ends)
+    owner = np.repeat(np.arange(rows), count)
+    first = np.flatnonzero(owner[: max(0, len(owner) - n + 1)] == owner[n - 1 :])
+    keys, own = [combined([words[first + j] for j in range(n)])], [owner[first]]
     for k in range(1, n):
         short = np.flatnonzero(count == k)
-        if len(short):
-            keys.append(combined([words[start[short] + j] for j in range(k)]))
-            own.append(short)
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        keys.append(combined([words[ends[short] + j] for j in range(k)]))
+        own.append(short)
     key, of = np.concatenate(keys), np.concatenate(own)
-    order = np.lexsort((key, of))
+    order = np.lexsort((key[:, 0], of))
     key, of = key[order], of[order]
-    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])])
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:, 0] != key[:-1, 0]) | (of[1:] != of[:-1])
     key, of = key[fresh], of[fresh]
     sizes = np.bincount(of, minlength=rows)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(key ^ np.uint64(0xA0761D6478BD642F)))])
-    ends = np.cumsum(sizes)
-    classes = mixed(total[ends] - total[ends - sizes] + sizes.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)).view(np.int64)
-    return key, sizes, np.where(sizes > 0, classes, 0)
+    total = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(mixed(key ^ np.uint64(0xA0761D6478BD642F)), axis=0)])
+    at = np.cumsum(sizes)
+    sums = mixed(total[at] - total[at - sizes])
+    classes = np.empty((rows, KEY_BYTES), np.uint8)
+    classes[:, :SIZE_BYTES] = sizes.astype(">u4").view(np.uint8).reshape(rows, SIZE_BYTES)
+    classes[:, SIZE_BYTES:] = sums.astype("<u8").view(np.uint8).reshape(rows, 16)[:, : KEY_BYTES - SIZE_BYTES]
+    return key, sizes, classes
+
+
+def size_of(class_key: Column) -> Column:
+    """The number of n-grams of a class; keys stand in the order of these."""
+    return F.conv(F.hex(F.substring(class_key, 1, SIZE_BYTES)), 16, 10).cast("long")
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """ends: n + 1 places in data, in its rows."""
+    width = data.itemsize * math.prod(data.shape[1:])
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def class_rows(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     """(doc_id, n_shingles, class_key): a row a document."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("class_key", T.LongType())])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("class_key", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
             for a, b in chunks(offsets, CHUNK):
                 _, sizes, classes = ngram_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(classes)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), _binary(classes, np.arange(b - a + 1))], names=schema.names)
 
     return map_arrow(docs, run, schema)
 
 
-#: part: a fragment, or one that only passes on; keys, sizes, counts: of classes; grams: 6 bytes each (8-byte
-#: tokens where passed on); frequent: 6 bytes each, at CAP in the task.
-PACKED = "part int, passed boolean, keys binary, sizes binary, counts binary, grams binary, frequent binary"
-ENTRIES = "class_key long, n long, m int, tokens array<long>"
-
-
-def _six(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+#: part: a fragment, or one that only passes on; keys, counts: of classes; grams: 8 bytes each (tokens where passed on);
+#: frequent: 8 bytes each, at CAP in the task.
+PACKED = "part long, passed boolean, keys binary, counts binary, grams binary, frequent binary"
+ENTRIES = "class_key binary, m int, tokens array<long>"
+
+
+def _packed(part: np.ndarray, of: np.ndarray, grams: np.ndarray, classes: np.ndarray, passed: bool) -> pa.RecordBatch:
+    """A row for each part; part and of: sorted."""
+    new_part = np.ones(len(part), bool)
+    new_part[1:] = part[1:] != part[:-1]
+    new = new_part.copy()
+    new[1:] |= of[1:] != of[:-1]
+    starts, heads = np.flatnonzero(new), np.flatnonzero(new_part)
+    counts = np.diff(np.append(starts, len(part))).astype("<u4")
+    ends = np.append(np.searchsorted(starts, heads), len(starts))
+    none = np.zeros(len(heads) + 1, np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[heads].astype(np.int64)), pa.array(np.full(len(heads), passed)), _binary(classes[of[starts]], ends), _binary(counts, ends), _binary(grams, np.append(heads, len(part))), _binary(grams[:0], none)],
+        names=["part", "passed", "keys", "counts", "grams", "frequent"],
+    )
 
 
-def segments(docs: DataFrame, text: str, n: int, fragments: int) -> DataFrame:
+def segments(docs: DataFrame, text: str, n: int, fragments: int, cap: int) -> DataFrame:
     """The classes' segments, packed by fragment."""
 
-    def pack(part: int, passed: bool, of: np.ndarray, grams: bytes, frequent: bytes, classes: np.ndarray, sizes: np.ndarray) -> tuple:
-        rows, counts = np.unique(of, return_counts=True)
-        return part, passed, classes[rows].tobytes(), sizes[rows].astype("<u4").tobytes(), counts.astype("<u4").tobytes(), grams, frequent
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column(0))
@@ -176,71 +169,72 @@ def segments(docs: DataFrame, text: str, n: int, fragments: int) -> DataFrame:
                     continue
                 of = np.repeat(np.arange(b - a), sizes)
                 keep = np.zeros(b - a, bool)
-                keep[np.unique(classes, return_index=True)[1]] = True  # one of each class
+                keep[np.unique(classes.view(f"S{KEY_BYTES}").ravel(), return_index=True)[1]] = True  # one of each class
                 key, of = key[keep[of]], of[keep[of]]
-                order = np.argsort(key, kind="stable")
+                order = np.argsort(key[:, 0], kind="stable")
                 key, of = key[order], of[order]
-                edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-                often = np.repeat(np.diff(edges) >= CAP, np.diff(edges))
-                heads = np.append(edges[:-1][np.diff(edges) >= CAP], 0)[:-1]
-                cuts = ((np.arange(fragments + 1, dtype=np.uint64) << np.uint64(32)) + np.uint64(fragments - 1)) // np.uint64(fragments)
-                bounds = np.searchsorted(key >> np.uint64(32), cuts)
-                marks = np.searchsorted(heads, bounds)
-                rows = []
-                for f in range(fragments):
-                    piece = slice(bounds[f], bounds[f + 1])
-                    rare = np.flatnonzero(~often[piece]) + bounds[f]
-                    mine = rare[np.argsort(of[rare], kind="stable")]
-                    frequent = key[heads[marks[f] : marks[f + 1]]]
-                    if len(mine) or len(frequent):
-                        rows.append(pack(f, False, of[mine], _six(key[mine]), _six(frequent), classes, sizes))
-                    known = np.flatnonzero(often[piece]) + bounds[f]
-                    if len(known):
-                        known = known[np.argsort(of[known], kind="stable")]
-                        tokens = _token(key[known], f, np.full(len(known), CAP))
-                        rows.append(pack(int(key[known[0]] % np.uint64(fragments)), True, of[known], tokens.tobytes(), b"", classes, sizes))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), *[pa.binary()] * 5))], names=["part", "passed", "keys", "sizes", "counts", "grams", "frequent"])
+                edges = np.flatnonzero(np.concatenate([[True], key[1:, 0] != key[:-1, 0], [True]]))
+                many = np.diff(edges) >= cap
+                often = np.repeat(many, np.diff(edges))
+                part = ((key[:, 0] >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+                rare = np.flatnonzero(~often)
+                rare = rare[np.lexsort((of[rare], part[rare]))]
+                if len(rare):
+                    yield _packed(part[rare], of[rare], key[rare, 1], classes, False)
+                known = np.flatnonzero(often)
+                if len(known):
+                    heads = edges[:-1][many]
+                    at = np.append(np.flatnonzero(np.diff(part[heads], prepend=-1)), len(heads))
+                    none = np.zeros(len(at), np.int64)
+                    blank = [_binary(key[:0, 1], none)] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(part[heads[at[:-1]]]), pa.array(np.zeros(len(at) - 1, bool)), *blank, _binary(key[heads, 1], at)], names=["part", "passed", "keys", "counts", "grams", "frequent"])
+                    known = known[np.argsort(of[known], kind="stable")]
+                    # Their number is known: a part to pass them on, by the class.
+                    to = (classes[of[known], -1].astype(np.int64) * 256 + classes[of[known], -2]) % fragments
+                    known, to = known[np.argsort(to, kind="stable")], np.sort(to, kind="stable")
+                    yield _packed(to, of[known], _token(key[known, 1], np.full(len(known), cap)), classes, True)
 
     return map_arrow(docs.select(F.col(text).cast("string")), run, PACKED)
 
 
-def _token(key: np.ndarray, fragment: int, seen: np.ndarray) -> np.ndarray:
-    """An n-gram's place in the global order, one number: in how many classes it occurs (to CAP), then 57 bits of its key."""
-    low = mixed((key & np.uint64((1 << 48) - 1)) | np.uint64(fragment << 48)) >> np.uint64(7)
-    return (low | (seen.astype(np.uint64) - np.uint64(1)) << np.uint64(57)).view(np.int64)
+def _token(key: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """An n-gram's place in the global order, one number: in how many classes it occurs (to CAP), then 58 bits of its key."""
+    return (key >> np.uint64(6) | (seen.astype(np.uint64) - np.uint64(1)) << np.uint64(58)).view(np.int64)
 
 
-def _entries(keys: np.ndarray, sizes: np.ndarray, of: np.ndarray, tokens: np.ndarray) -> pa.Table:
+def _entries(keys: np.ndarray, of: np.ndarray, tokens: np.ndarray) -> pa.Table:
     """of: sorted places in keys."""
     rows, counts = np.unique(of, return_counts=True)
     ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-    return pa.table({"class_key": pa.array(keys[rows]), "n": pa.array(sizes[rows].astype(np.int64)), "m": pa.array(counts.astype(np.int32)), "tokens": pa.ListArray.from_arrays(ends, pa.array(tokens))})
+    return pa.table({"class_key": _binary(keys[rows], np.arange(len(rows) + 1)), "m": pa.array(counts.astype(np.int32)), "tokens": pa.ListArray.from_arrays(ends, pa.array(tokens))})
 
 
-def shared_ngrams(key: tuple, group: pa.Table) -> pa.Table:
+def shared_ngrams(key: tuple, group: pa.Table, cap: int) -> pa.Table:
     """Of one fragment: each class's n-grams that stand in another class too."""
-    part, passed = key[0].as_py(), key[1].as_py()
+    passed = key[1].as_py()
     blob = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-    keys, sizes, counts = blob("keys", "<i8"), blob("sizes", "<u4"), blob("counts", "<u4")
+    keys, counts = blob("keys", np.uint8).reshape(-1, KEY_BYTES), blob("counts", "<u4")
     of = np.repeat(np.arange(len(keys)), counts)
     if passed:
-        return _entries(keys, sizes, of, blob("grams", "<i8"))
-    grams = _from_six(b"".join(group.column("grams").to_pylist()))
-    frequent = np.unique(_from_six(b"".join(group.column("frequent").to_pylist())))
+        return _entries(keys, of, blob("grams", "<i8"))
+    grams, frequent = blob("grams", "<u8"), np.unique(blob("frequent", "<u8"))
     # The copies in other tasks send the same segment again, but for what was frequent in one of the tasks.
-    _, place = np.unique(keys, return_inverse=True)
+    halves = np.ascontiguousarray(keys).view("<u8").reshape(-1, 2)
+    order = np.lexsort((halves[:, 0], halves[:, 1]))
+    place = np.zeros(len(keys), np.int64)
+    place[order[1:]] = np.cumsum((halves[order[1:]] != halves[order[:-1]]).any(axis=1))
     order = np.lexsort((place[of], grams))
     grams, of, whose = grams[order], of[order], place[of][order]
-    fresh = np.concatenate([[True], (grams[1:] != grams[:-1]) | (whose[1:] != whose[:-1])]) if len(grams) else np.zeros(0, bool)
+    fresh = np.ones(len(grams), bool)
+    fresh[1:] = (grams[1:] != grams[:-1]) | (whose[1:] != whose[:-1])
     grams, of = grams[fresh], of[fresh]
     edges = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1], [True]])) if len(grams) else np.zeros(1, np.int64)
-    seen = np.repeat(np.minimum(np.diff(edges), CAP), np.diff(edges))
+    seen = np.repeat(np.minimum(np.diff(edges), cap), np.diff(edges))
     if len(frequent) and len(grams):
-        seen = np.where(frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams, CAP, seen)
+        seen = np.where(frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams, cap, seen)
     kept = np.flatnonzero(seen > 1)
     kept = kept[np.argsort(of[kept], kind="stable")]
-    return _entries(keys, sizes, of[kept], _token(grams[kept], part, seen[kept]))
+    return _entries(keys, of[kept], _token(grams[kept], seen[kept]))
 
 
 def least_shared(n: Column, percent: int) -> Column:
@@ -249,34 +243,48 @@ def least_shared(n: Column, percent: int) -> Column:
 
 
 def ordered_classes(entries: DataFrame, percent: int) -> DataFrame:
-    """(class_key, n, tokens): classes that share enough n-grams to link, their shared n-grams in the global order."""
-    enough = entries.groupBy("class_key").agg(F.first("n").alias("n"), F.sum("m").alias("m")).where(F.col("m") >= least_shared(F.col("n"), percent))
-    enough = broadcast_if_small(written(enough.select("class_key"), "enough"), F.lit(16))
+    """(class_key, tokens): classes that share enough n-grams to link, their shared n-grams in the global order."""
+    enough = entries.groupBy("class_key").agg(F.sum("m").alias("m")).where(F.col("m") >= least_shared(size_of(F.col("class_key")), percent))
+    enough = broadcast_if_small(written(enough.select("class_key"), "enough"), F.lit(32))
     # One document's n-grams: the group is no larger than the document.
-    whole = entries.join(enough, "class_key", "left_semi").groupBy("class_key").agg(F.first("n").alias("n"), F.flatten(F.collect_list("tokens")).alias("tokens"))
-    return whole.select("class_key", "n", F.sort_array(F.array_distinct("tokens")).alias("tokens"))
+    whole = entries.join(enough, "class_key", "left_semi").groupBy("class_key").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    return whole.select("class_key", F.sort_array(F.array_distinct("tokens")).alias("tokens"))
 
 
-def prefix_buckets(classes: DataFrame, percent: int) -> DataFrame:
-    """(token, class_key, n, m, pos): the shared n-grams within each class's prefix. m: how many n-grams it shares at all; pos: the
-    token's place among those, from 1."""
-    alone = F.col("n") - F.size("tokens")
-    prefix = F.col("n") - least_shared(F.col("n"), percent) + 1
+def first_buckets(classes: DataFrame, percent: int) -> DataFrame:
+    """(p, token, class_key): the shared n-grams within each class's prefix; p: null, of no pivot."""
+    n = size_of(F.col("class_key"))
+    prefix, alone = n - least_shared(n, percent) + 1, n - F.size("tokens")
     held = F.slice("tokens", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))
-    return classes.select("class_key", "n", F.size("tokens").alias("m"), F.posexplode(held).alias("k", "token")).select("token", "class_key", "n", "m", (F.col("k") + 1).alias("pos"))
+    return classes.select(F.lit(b"").alias("p"), F.explode(held).alias("token"), "class_key")
+
 
+def met_pivots(buckets: DataFrame) -> DataFrame:
+    """(q, x): the members of buckets and their bucket's smallest one."""
+    pivots = buckets.groupBy("p", "token").agg(F.min("class_key").alias("q"), F.max("class_key").alias("largest")).where(F.col("q") != F.col("largest")).drop("largest")
+    return buckets.join(pivots, ["p", "token"]).where(F.col("class_key") != F.col("q")).select("q", F.col("class_key").alias("x")).distinct()
 
-def overlaps(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs (a, b, n_a, n_b) with their overlap: partial overlaps by segment, summed by pair."""
-    piece = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda g: F.struct(g.alias("g"), F.filter("tokens", lambda t: F.pmod(F.shiftright(t, 32), F.lit(SEGMENTS)) == g).alias("tokens"))))
-    cut = classes.select("class_key", piece.alias("s")).select("class_key", F.col("s.g").alias("g"), F.col("s.tokens").alias("tokens"))
-    left, right = cut.select(F.col("class_key").alias("a"), "g", F.col("tokens").alias("tokens_a")), cut.select(F.col("class_key").alias("b"), "g", F.col("tokens").alias("tokens_b"))
-    partial = pairs.join(right, "b").join(left, ["a", "g"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("part"))
-    return partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap"))
 
+def compared(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """pairs (q, x) with `linked`, and the prefix of what x holds beyond q: partial overlaps by segment, summed by pair."""
+    segment = lambda g: F.filter("tokens", lambda t: t.bitwiseAND(F.lit(SEGMENTS - 1)) == g)
+    cut = classes.select("class_key", F.explode(F.array(*[F.struct(F.lit(g).alias("g"), segment(g).alias("tokens"), F.size("tokens").alias("shared")) for g in range(SEGMENTS)])).alias("s")).select("class_key", "s.*")
+    left, right = cut.select(F.col("class_key").alias("q"), "g", F.col("tokens").alias("tokens_q")), cut.select(F.col("class_key").alias("x"), "g", "shared", F.col("tokens").alias("tokens_x"))
+    partial = pairs.join(right, "x").join(left, ["q", "g"]).select("q", "x", "shared", F.size(F.array_intersect("tokens_x", "tokens_q")).alias("part"), F.array_except("tokens_x", "tokens_q").alias("rest"))
+    summed = partial.groupBy("q", "x").agg(F.first("shared").alias("shared"), F.sum("part").alias("overlap"), F.flatten(F.collect_list("rest")).alias("rest"))
+    n_q, n, overlap = size_of(F.col("q")), size_of(F.col("x")), F.col("overlap")
+    linked = overlap * 100 >= (n_q + n - overlap) * percent
+    # The overlap that x needs with any member, none of which is smaller than q; what q holds of x covers no more than `overlap`.
+    needed = F.floor(((n + F.greatest(n_q, least_shared(n, percent))) * percent + 99 + percent) / (100 + percent)).cast("long")
+    prefix = (n - overlap) - F.greatest(needed - overlap, F.lit(1)) + 1
+    held = F.greatest(prefix - (n - F.col("shared")), F.lit(0)).cast("int")
+    return summed.select("q", "x", linked.alias("linked"), F.slice(F.sort_array("rest"), F.lit(1), held).alias("beyond"))
 
-def linked(percent: int) -> Column:
-    return F.col("overlap") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * percent
+
+def next_buckets(counted: DataFrame) -> DataFrame:
+    """Of pivots that don't link with all whom they met: their members, by the n-grams beyond the pivot."""
+    apart = counted.where(~F.col("linked")).select("q").distinct()
+    return counted.join(broadcast_if_small(written(apart, "apart"), F.lit(32)), "q", "left_semi").select(F.col("q").alias("p"), F.explode("beyond").alias("token"), F.col("x").alias("class_key"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -294,93 +302,29 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links: only the components that the links touch are joined."""
-    of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"{c}_label"))
-    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"), F.col("a").alias("v"), F.col("b").alias("u"))
-    between = written(between.where(F.col("a") != F.col("b")), "between")
-    if between.isEmpty():
-        return labels
-    merged = components(between)
-    fresh = between.select("v").unionByName(between.select(F.col("u").alias("v"))).distinct().join(labels.select("v"), "v", "left_anti").select("v", F.col("v").alias("label"))
-    renamed = merged.select(F.col("v").alias("label"), F.col("label").alias("new"))
-    return written(labels.unionByName(fresh).join(renamed, "label", "left").select("v", F.coalesce("new", "label").alias("label")), "labels")
-
-
-def class_components(entries: DataFrame, percent: int) -> DataFrame:
-    """(v, label) of all classes that link with another one."""
+def class_links(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between classes that reach the same classes as all links do."""
     classes = written(ordered_classes(entries, percent), "classes")
-    buckets = prefix_buckets(classes, percent)
-    pivot = F.min(F.struct("class_key", "n", "pos")).alias("pivot")
-    sized = buckets.groupBy("token").agg(pivot, F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    buckets = written(buckets.join(sized, "token"), "buckets")
-
-    pivots = buckets.where(F.col("class_key") != F.col("pivot.class_key")).select(F.col("pivot.class_key").alias("a"), F.col("class_key").alias("b"), F.col("pivot.n").alias("n_a"), F.col("n").alias("n_b")).distinct()
-    counted = written(overlaps(pivots, classes), "overlaps")
-    links = counted.where(linked(percent)).select("a", "b")
-    labels = components(links)
-    # The distance to the bucket's pivot, for the triangle inequality.
-    apart = counted.select(F.col("a").alias("p"), F.col("b").alias("class_key"), (1 - F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("apart"))
-    buckets = buckets.withColumn("p", F.col("pivot.class_key")).join(apart, ["p", "class_key"], "left").withColumn("apart", F.when(F.col("p") == F.col("class_key"), 0.0).otherwise(F.col("apart")))
-    buckets = written(buckets.select("token", "class_key", "n", "m", "pos", "members", "apart"), "distances")
-
-    done = counted.select("a", "b")
-    for paired in (_more_pivots, _paired_out):
-        mixed_up = _mixed_buckets(buckets, labels)
-        if paired is _more_pivots:
-            mixed_up = mixed_up.where(F.col("members") > LARGE_BUCKET)
-        if mixed_up.isEmpty():
-            continue
-        pairs = paired(mixed_up, percent).join(done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-        counted = written(overlaps(pairs, classes), "overlaps")
-        done = done.unionByName(counted.select("a", "b"))
-        labels = joined(labels, counted.where(linked(percent)).select("a", "b"))
-    return labels
-
-
-def _mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that lie in several components, with their component."""
-    labelled = buckets.join(labels.select(F.col("v").alias("class_key"), "label"), "class_key", "left").withColumn("label", F.coalesce("label", "class_key"))
-    several = labelled.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where(F.col("least") != F.col("most"))
-    return written(labelled.join(several.select("token"), "token", "left_semi"), "mixed")
-
-
-def _possible(percent: int) -> Column:
-    """The length, position and distance filters, for sides x and y. Only shared n-grams can overlap: at most the fewer up to
-    the common token, and the fewer behind it."""
-    n_x, n_y = F.col("x.n"), F.col("y.n")
-    length = F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent
-    most = F.least(F.col("x.pos"), F.col("y.pos")) + F.least(F.col("x.m") - F.col("x.pos"), F.col("y.m") - F.col("y.pos"))
-    position = most * 100 >= (n_x + n_y - most) * percent
-    near = F.coalesce(F.abs(F.col("x.apart") - F.col("y.apart")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    return length & position & near
-
-
-def _columns_of_pairs() -> list[Column]:
-    return [F.col("x.class_key").alias("a"), F.col("y.class_key").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")]
-
-
-def _more_pivots(members: DataFrame, percent: int) -> DataFrame:
-    fields = ["class_key", "n", "m", "pos", "apart", "label"]
-    group = F.pmod(F.xxhash64("class_key"), F.lit(PIVOTS)).alias("group")
-    chosen = members.groupBy("token", group).agg(F.min_by(F.struct(*fields), F.xxhash64("class_key", F.lit(1))).alias("c")).select("token", "c.*")
-    return members.alias("y").join(chosen.alias("x"), "token").where((F.col("x.label") != F.col("y.label")) & _possible(percent)).select(*_columns_of_pairs()).distinct()
-
-
-def _paired_out(members: DataFrame, percent: int) -> DataFrame:
-    other = (F.col("x.token") == F.col("y.token")) & (F.col("x.class_key") < F.col("y.class_key")) & (F.col("x.label") != F.col("y.label"))
-    return members.alias("x").join(members.alias("y"), other & _possible(percent)).select(*_columns_of_pairs()).distinct()
+    links, buckets = classes.select(F.col("class_key").alias("a"), F.col("class_key").alias("b")).where("false"), first_buckets(classes, percent)
+    while True:
+        pairs = written(met_pivots(buckets), "pairs")
+        if pairs.isEmpty():
+            return links
+        counted = written(compared(pairs, classes, percent), "compared")
+        links = links.unionByName(counted.where("linked").select(F.col("q").alias("a"), F.col("x").alias("b")))
+        buckets = next_buckets(counted)
 
 
 def _classes_of(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """class_rows of the documents, and (v, label) of all classes that link with another one."""
     rows = written(class_rows(docs, doc_id, text, n), "class-rows")
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    fragments = min(MOST_FRAGMENTS, max(LEAST_FRAGMENTS, math.ceil(total / FRAGMENT)))
+    fragments = max(LEAST_FRAGMENTS, math.ceil(total / FRAGMENT))
     ship(docs.sparkSession)
-    packed = segments(docs, text, n, fragments)
-    entries = written(packed.groupBy("part", "passed").applyInArrow(shared_ngrams, ENTRIES), "shared")
-    return rows, class_components(entries, percent)
+    cap = CAP
+    packed = segments(docs, text, n, fragments, cap).groupBy("part", "passed")
+    entries = written(packed.applyInArrow(lambda key, group: shared_ngrams(key, group, cap), ENTRIES), "shared")
+    return rows, components(class_links(entries, percent))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:

@@ -52,9 +52,9 @@ def brute_components(texts, n, percent):
     return [len(s) for s in sets], label
 
 
-@pytest.mark.parametrize(("n", "percent", "cap", "large"), [(3, 90, 32, 256), (5, 80, 32, 256), (3, 70, 3, 2)])
-def test_ngram_join_matches_brute_force(spark, monkeypatch, n, percent, cap, large):
-    monkeypatch.setattr(ngram_join, "LARGE_BUCKET", large)
+@pytest.mark.parametrize(("n", "percent", "cap"), [(3, 90, 32), (5, 80, 32), (3, 70, 3), (2, 60, 2)])
+def test_ngram_join_matches_brute_force(spark, monkeypatch, n, percent, cap):
+    monkeypatch.setattr(ngram_join, "CAP", cap)
     monkeypatch.setattr(ngram_join, "LEAST_FRAGMENTS", 4)
     texts = copies(n + percent)
     rows = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, component_id int").repartition(3)
@@ -63,6 +63,48 @@ def test_ngram_join_matches_brute_force(spark, monkeypatch, n, percent, cap, lar
     assert found == {k: (sizes[k], labels[k]) for k in range(len(texts))}
 
 
+@pytest.mark.parametrize("percent", [90, 75, 60])
+def test_hot_bucket_meets_its_pivot_only(spark, monkeypatch, percent):
+    """Hundreds of texts of one base: by many edits unlike each other and the base, or in families of few edits."""
+    monkeypatch.setattr(ngram_join, "LEAST_FRAGMENTS", 4)
+    rng = random.Random(percent)
+    base = [f"w{k}" for k in range(80)]
+    texts = [" ".join(base)]
+    for family in range(12):
+        own = list(base)
+        for k in rng.sample(range(80), rng.randint(1, 9)):
+            own[k] = f"f{family}x{rng.randint(0, 3)}"
+        own += [f"f{family}tail{k}" for k in range(rng.randint(0, 20))]
+        for member in range(15):
+            text = list(own)
+            for k in rng.sample(range(80), rng.randint(0, 3)):
+                text[k] = f"m{rng.randint(0, 40)}"
+            texts.append(" ".join(text[: len(text) - rng.randint(0, 6)]))
+    for k in range(150):
+        text = list(base)
+        for j in rng.sample(range(80), 8):
+            text[j] = f"r{k}x{j}"
+        texts.append(" ".join(text))
+    met = []
+    monkeypatch.setattr(ngram_join, "met_pivots", lambda b, f=ngram_join.met_pivots: met.append(f(b)) or met[-1])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(rows, percent=percent).collect()}
+    sizes, labels = brute_components(texts, 3, percent)
+    assert found == {k: (sizes[k], labels[k]) for k in range(len(texts))}
+    assert sum(b.count() for b in met) < 0.25 * len(texts) ** 2 / 2
+
+
+def test_long_words_of_few_letters_differ(spark):
+    """Words whose polynomial hash modulo 2 ** 64 is the same for every base."""
+    texts = []
+    for bits in (10, 11, 12):
+        word = "".join("ab"[k.bit_count() % 2] for k in range(1 << bits))
+        texts += [word, word.translate(str.maketrans("ab", "ba"))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.join(rows).collect()} == {k: k for k in range(6)}
+    assert ngram_join.keep_one_of_each(spark, rows, "").count() == 6
+
+
 def test_ngram_join_edges(spark):
     schema = "doc_id long, text string"
     assert ngram_join.join(spark.createDataFrame([], schema)).count() == 0
