@@ -11,17 +11,19 @@ with equal sets form one class, and only classes are joined:
 2. *Prefix filter.* A linked class shares at least ceil(percent/100 * n) n-grams with others; classes with
    fewer shared n-grams go. Of the rest, the first n - ceil(percent/100 * n) + 1 n-grams of the order are the
    prefix: linked classes share one. Prefix n-grams make buckets.
-3. *Pairs.* A bucket's members meet one pivot, its smallest set, so m members make m - 1 pairs. A pair's partial
-   overlaps are counted segment by segment of the n-grams' order, and summed.
-4. *Next buckets.* Let p be the pivot, and x and y two members that link, x without a link to p. Then x and y share
-   an n-gram that p lacks: otherwise |x & y| <= |x & p|, and |x | y| >= |x | p| as y is no smaller than p, so
-   they would link no better than x and p. As |x & y & p| <= |x & p|, they share at least the overlap that x needs less
-   |x & p| of those. So the members of p meet again in buckets of (p, n-gram that p lacks), by the prefix of
-   what they hold beyond p; members that all link with p are done. Then step 3 again, until no bucket has two members. What a
-   group has in common stands in its pivot, and is gone in the next round. Pivots rise along the rounds, so they end.
+3. *Pairs.* A bucket's members meet one pivot, the class whose n-grams are the most frequent on average, so m members
+   make m - 1 pairs. A pair's partial overlaps are counted segment by segment of the n-grams' order, and summed.
+4. *Next buckets.* Members that all link with their pivot p are done. Else let x and y be two members that link, and
+   o(x) the overlap that x needs at least with any member, by their sizes. If x and y share no n-gram that p lacks, then
+   |x & p| >= |x & y| >= o(x), and so for y: they meet again in the bucket of (p, no n-gram), which holds the members with
+   |x & p| >= o(x). Otherwise they share max(1, o(x) - |x & p|) n-grams that p lacks at least, and meet again in a bucket of
+   (p, n-gram that p lacks), by the prefix of what they hold beyond p. What a group has in common stands in its pivot, and
+   is gone in the next round. Pairs within a component can't change it, so buckets within one component go. In the
+   others the pairs of different components are compared, where these are at most PAIRS times the members; a bucket of
+   more meets its pivot again, as in step 3. Pivots stand in one order of all classes and rise along the rounds, so these end.
 5. *Components* of the links by label propagation with pointer jumping, in tables.
 
-So the components are exact, no bucket is paired out, and nothing is capped. Links within a component aren't listed.
+So the components are exact, the pairs are linear in the buckets, and nothing is capped. Links within a component aren't listed.
 
 Keys come from 128-bit BLAKE2 digests of the words. A class key has the set's size and 96 bits, so of 10^11 classes
 two share a key with odds of 10^-7; an n-gram's number has 58 bits, so the overlap of a compared pair of 300 n-grams each
@@ -55,6 +57,8 @@ CAP = 32
 CHUNK = 4 << 20
 #: Segments of a class whose partial overlaps are counted apart.
 SEGMENTS = 4
+#: Pairs of a bucket for each of its members, up to which they are compared one by one.
+PAIRS = 16
 #: Bytes of a class key: the set's size, then the hash.
 SIZE_BYTES, KEY_BYTES = 4, 16
 
@@ -243,48 +247,55 @@ def least_shared(n: Column, percent: int) -> Column:
 
 
 def ordered_classes(entries: DataFrame, percent: int) -> DataFrame:
-    """(class_key, tokens): classes that share enough n-grams to link, their shared n-grams in the global order."""
+    """(class_key, rank, tokens): classes that share enough n-grams to link, their shared n-grams in the global order. rank: less, the
+    more frequent its n-grams are on average."""
     enough = entries.groupBy("class_key").agg(F.sum("m").alias("m")).where(F.col("m") >= least_shared(size_of(F.col("class_key")), percent))
     enough = broadcast_if_small(written(enough.select("class_key"), "enough"), F.lit(32))
     # One document's n-grams: the group is no larger than the document.
     whole = entries.join(enough, "class_key", "left_semi").groupBy("class_key").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
-    return whole.select("class_key", F.sort_array(F.array_distinct("tokens")).alias("tokens"))
+    whole = whole.select("class_key", F.sort_array(F.array_distinct("tokens")).alias("tokens"))
+    more = F.aggregate("tokens", F.lit(0).cast("long"), lambda total, t: total + F.shiftright(t, 58))
+    return whole.select("class_key", F.floor(-1000 * more / size_of(F.col("class_key"))).cast("long").alias("rank"), "tokens")
 
 
 def first_buckets(classes: DataFrame, percent: int) -> DataFrame:
-    """(p, token, class_key): the shared n-grams within each class's prefix; p: null, of no pivot."""
+    """(p, token, class_key, rank): the shared n-grams within each class's prefix; p: empty, of no pivot."""
     n = size_of(F.col("class_key"))
     prefix, alone = n - least_shared(n, percent) + 1, n - F.size("tokens")
     held = F.slice("tokens", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))
-    return classes.select(F.lit(b"").alias("p"), F.explode(held).alias("token"), "class_key")
+    return classes.select(F.lit(b"").alias("p"), F.explode(held).alias("token"), "class_key", "rank")
 
 
 def met_pivots(buckets: DataFrame) -> DataFrame:
-    """(q, x): the members of buckets and their bucket's smallest one."""
-    pivots = buckets.groupBy("p", "token").agg(F.min("class_key").alias("q"), F.max("class_key").alias("largest")).where(F.col("q") != F.col("largest")).drop("largest")
-    return buckets.join(pivots, ["p", "token"]).where(F.col("class_key") != F.col("q")).select("q", F.col("class_key").alias("x")).distinct()
+    """(q, x, least): the members of buckets, their bucket's pivot, and the size of its smallest member."""
+    pivots = buckets.groupBy("p", "token").agg(F.min(F.struct("rank", "class_key"))["class_key"].alias("q"), F.min("class_key").alias("smallest"), F.max("class_key").alias("largest"))
+    pivots = pivots.where(F.col("smallest") != F.col("largest")).select("p", "token", "q", size_of(F.col("smallest")).alias("least"))
+    return buckets.join(pivots, ["p", "token"]).where(F.col("class_key") != F.col("q")).groupBy("q", F.col("class_key").alias("x")).agg(F.min("least").alias("least"))
 
 
 def compared(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """pairs (q, x) with `linked`, and the prefix of what x holds beyond q: partial overlaps by segment, summed by pair."""
+    """pairs (q, x, least), least null but for pivots q, with `linked`, x's rank, whether q holds enough of x for a link, and the prefix
+    of what x holds beyond q: partial overlaps by segment, summed by pair."""
     segment = lambda g: F.filter("tokens", lambda t: t.bitwiseAND(F.lit(SEGMENTS - 1)) == g)
-    cut = classes.select("class_key", F.explode(F.array(*[F.struct(F.lit(g).alias("g"), segment(g).alias("tokens"), F.size("tokens").alias("shared")) for g in range(SEGMENTS)])).alias("s")).select("class_key", "s.*")
-    left, right = cut.select(F.col("class_key").alias("q"), "g", F.col("tokens").alias("tokens_q")), cut.select(F.col("class_key").alias("x"), "g", "shared", F.col("tokens").alias("tokens_x"))
-    partial = pairs.join(right, "x").join(left, ["q", "g"]).select("q", "x", "shared", F.size(F.array_intersect("tokens_x", "tokens_q")).alias("part"), F.array_except("tokens_x", "tokens_q").alias("rest"))
-    summed = partial.groupBy("q", "x").agg(F.first("shared").alias("shared"), F.sum("part").alias("overlap"), F.flatten(F.collect_list("rest")).alias("rest"))
+    cut = classes.select("class_key", "rank", F.size("tokens").alias("shared"), F.explode(F.array(*[F.struct(F.lit(g).alias("g"), segment(g).alias("tokens")) for g in range(SEGMENTS)])).alias("s")).select("class_key", "rank", "shared", "s.*")
+    left, right = cut.select(F.col("class_key").alias("q"), "g", F.col("tokens").alias("tokens_q")), cut.select(F.col("class_key").alias("x"), "g", "rank", "shared", F.col("tokens").alias("tokens_x"))
+    partial = pairs.join(right, "x").join(left, ["q", "g"]).select("q", "x", "least", "rank", "shared", F.size(F.array_intersect("tokens_x", "tokens_q")).alias("part"), F.array_except("tokens_x", "tokens_q").alias("rest"))
+    summed = partial.groupBy("q", "x", "least", "rank", "shared").agg(F.sum("part").alias("overlap"), F.flatten(F.collect_list("rest")).alias("rest"))
     n_q, n, overlap = size_of(F.col("q")), size_of(F.col("x")), F.col("overlap")
     linked = overlap * 100 >= (n_q + n - overlap) * percent
-    # The overlap that x needs with any member, none of which is smaller than q; what q holds of x covers no more than `overlap`.
-    needed = F.floor(((n + F.greatest(n_q, least_shared(n, percent))) * percent + 99 + percent) / (100 + percent)).cast("long")
+    needed = F.floor(((n + F.greatest(F.col("least"), least_shared(n, percent))) * percent + 99 + percent) / (100 + percent)).cast("long")
     prefix = (n - overlap) - F.greatest(needed - overlap, F.lit(1)) + 1
     held = F.greatest(prefix - (n - F.col("shared")), F.lit(0)).cast("int")
-    return summed.select("q", "x", linked.alias("linked"), F.slice(F.sort_array("rest"), F.lit(1), held).alias("beyond"))
+    return summed.select("q", "x", F.col("least").isNotNull().alias("pivot"), "rank", linked.alias("linked"), (overlap >= needed).alias("enough"), F.slice(F.sort_array("rest"), F.lit(1), held).alias("beyond"))
 
 
 def next_buckets(counted: DataFrame) -> DataFrame:
-    """Of pivots that don't link with all whom they met: their members, by the n-grams beyond the pivot."""
+    """Of pivots that don't link with all whom they met: their members, by the n-grams beyond the pivot (-1: no n-gram)."""
+    counted = counted.where("pivot")
     apart = counted.where(~F.col("linked")).select("q").distinct()
-    return counted.join(broadcast_if_small(written(apart, "apart"), F.lit(32)), "q", "left_semi").select(F.col("q").alias("p"), F.explode("beyond").alias("token"), F.col("x").alias("class_key"))
+    again = counted.join(broadcast_if_small(written(apart, "apart"), F.lit(32)), "q", "left_semi")
+    tokens = F.when(F.col("enough"), F.array_append("beyond", F.lit(-1).cast("long"))).otherwise(F.col("beyond"))
+    return again.select(F.col("q").alias("p"), F.explode(tokens).alias("token"), F.col("x").alias("class_key"), "rank")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -302,17 +313,40 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def class_links(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between classes that reach the same classes as all links do."""
+def several(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that lie in several components: with their label, the most frequent one, and whether few pairs differ in it."""
+    labelled = buckets.join(labels.select(F.col("v").alias("class_key"), "label"), "class_key", "left").withColumn("label", F.coalesce("label", "class_key"))
+    labelled = written(labelled.distinct(), "labelled")
+    n, members, equal = F.col("n"), F.sum("n"), F.sum(F.col("n") * F.col("n"))
+    sizes = labelled.groupBy("p", "token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("p", "token").agg(((members * members - equal) / 2 <= members * PAIRS).alias("few"), F.max(F.struct("n", "label"))["label"].alias("most"), F.count(n).alias("labels"))
+    return written(labelled.join(sizes.where("labels > 1").drop("labels"), ["p", "token"]), "several")
+
+
+def differing(members: DataFrame, percent: int) -> DataFrame:
+    """(q, x): the pairs of a bucket's members in different components, of sizes that can link."""
+    y = members.select("p", "token", F.col("class_key").alias("y"), F.col("label").alias("label_y"))
+    minor = members.where(F.col("label") != F.col("most"))
+    once = (F.col("label_y") == F.col("most")) | (F.col("class_key") < F.col("y"))
+    q, x = F.least("class_key", "y"), F.greatest("class_key", "y")
+    long_enough = size_of(q) * 100 >= size_of(x) * percent
+    return minor.join(y, ["p", "token"]).where((F.col("label") != F.col("label_y")) & once & long_enough).select(q.alias("q"), x.alias("x")).distinct()
+
+
+def class_labels(entries: DataFrame, percent: int) -> DataFrame:
+    """(v, label) of all classes that link with another one."""
     classes = written(ordered_classes(entries, percent), "classes")
-    links, buckets = classes.select(F.col("class_key").alias("a"), F.col("class_key").alias("b")).where("false"), first_buckets(classes, percent)
+    pairs = written(met_pivots(first_buckets(classes, percent)), "pairs")
+    links = None
     while True:
-        pairs = written(met_pivots(buckets), "pairs")
-        if pairs.isEmpty():
-            return links
         counted = written(compared(pairs, classes, percent), "compared")
-        links = links.unionByName(counted.where("linked").select(F.col("q").alias("a"), F.col("x").alias("b")))
-        buckets = next_buckets(counted)
+        found = counted.where("linked").select(F.col("q").alias("a"), F.col("x").alias("b"))
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        members = several(next_buckets(counted), labels)
+        fresh = met_pivots(members.where(~F.col("few"))).unionByName(differing(members.where("few"), percent).withColumn("least", F.lit(None).cast("long")))
+        pairs = written(fresh.groupBy("q", "x").agg(F.min("least").alias("least")), "pairs")
+        if pairs.isEmpty():
+            return labels
 
 
 def _classes_of(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -324,7 +358,7 @@ def _classes_of(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -
     cap = CAP
     packed = segments(docs, text, n, fragments, cap).groupBy("part", "passed")
     entries = written(packed.applyInArrow(lambda key, group: shared_ngrams(key, group, cap), ENTRIES), "shared")
-    return rows, components(class_links(entries, percent))
+    return rows, class_labels(entries, percent)
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
