@@ -15,8 +15,8 @@ with equal sets form one class, and only classes are joined:
    make m - 1 pairs. A pair's partial overlaps are counted segment by segment of the n-grams' order, and summed.
 4. *Next buckets.* Members that all link with their pivot p are done. Else let x and y be two members that link, and
    o(x) the overlap that x needs at least with any member, by their sizes. If x and y share no n-gram that p lacks, then
-   |x & p| >= |x & y| >= o(x), and so for y: they meet again in the bucket of (p, no n-gram), which holds the members with
-   |x & p| >= o(x). Otherwise they share max(1, o(x) - |x & p|) n-grams that p lacks at least, and meet again in a bucket of
+   |x & p| >= |x & y| >= o(x), and so for y: they meet again in a bucket of (p, no n-gram), which holds the members with
+   |x & p| >= o(x) and sizes that can link. Otherwise they share max(1, o(x) - |x & p|) n-grams that p lacks at least, and meet again in a bucket of
    (p, n-gram that p lacks), by the prefix of what they hold beyond p. What a group has in common stands in its pivot, and
    is gone in the next round. Pairs within a component can't change it, so buckets within one component go. In the
    others the pairs of different components are compared, where these are at most PAIRS times the members; a bucket of
@@ -25,8 +25,8 @@ with equal sets form one class, and only classes are joined:
 
 So the components are exact, the pairs are linear in the buckets, and nothing is capped. Links within a component aren't listed.
 
-Keys come from 128-bit BLAKE2 digests of the words. A class key has the set's size and 96 bits, so of 10^11 classes
-two share a key with odds of 10^-7; an n-gram's number has 58 bits, so the overlap of a compared pair of 300 n-grams each
+Keys are mixed from a word's 16 bytes, or from the BLAKE2 digest of a longer one. A class key has the set's size and 96 bits,
+so of 10^11 classes two share a key with odds of 10^-7; an n-gram's number has 58 bits, so the overlap of a compared pair of 300 n-grams each
 is off by one with odds of 10^-12.
 
 Defined results: a document with fewer than n words has one n-gram, of all its words; without words (null,
@@ -58,7 +58,7 @@ CHUNK = 4 << 20
 #: Segments of a class whose partial overlaps are counted apart.
 SEGMENTS = 4
 #: Pairs of a bucket for each of its members, up to which they are compared one by one.
-PAIRS = 16
+PAIRS = 64
 #: Bytes of a class key: the set's size, then the hash.
 SIZE_BYTES, KEY_BYTES = 4, 16
 
@@ -71,10 +71,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_keys(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit keys for each word of the texts, A-Z in lower case, and the words' offsets by text."""
+    """Two 64-bit keys for each word of the texts, A-Z in lower case, and the words' offsets by text. They are mixed from 16
+    bytes: a word of up to 15 bytes and its length, or the digest of a longer one."""
     words, index, ends = words_of(raw, offsets)
-    digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words.to_pylist())
-    return np.frombuffer(digests, "<u8").astype(np.uint64).reshape(-1, 2)[index], ends
+    at = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.zeros(0, np.uint8)
+    length = np.diff(at)
+    spelled = np.zeros((len(words), 16), np.uint8)
+    for k in range(15):
+        longer = np.flatnonzero(length > k)
+        spelled[longer, k] = data[at[longer] + k]
+    spelled[:, 15] = np.minimum(length, 15)
+    for k in np.flatnonzero(length > 15):
+        spelled[k, :15], spelled[k, 15] = np.frombuffer(hashlib.blake2b(data[at[k] : at[k + 1]].tobytes(), digest_size=15).digest(), np.uint8), 255
+    low, high = spelled.view("<u8").astype(np.uint64).T
+    first = mixed(low ^ mixed(high + np.uint64(0xD6E8FEB86659FD93)))
+    second = mixed(high ^ mixed(first + low * np.uint64(0x9E3779B97F4A7C15)))
+    return np.stack([first, second], axis=1)[index], ends
 
 
 def combined(words: list[np.ndarray]) -> np.ndarray:
@@ -86,7 +99,7 @@ def combined(words: list[np.ndarray]) -> np.ndarray:
 
 
 def ngram_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams of the texts as two keys, sorted within a text; each text's number of them; and the texts' class keys."""
+    """Distinct n-grams of the texts as two keys, text by text; each text's number of them; and the texts' class keys."""
     rows = len(offsets) - 1
     words, ends = word_keys(raw, offsets)
     count = np.diff(ends)
@@ -98,11 +111,15 @@ def ngram_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
         keys.append(combined([words[ends[short] + j] for j in range(k)]))
         own.append(short)
     key, of = np.concatenate(keys), np.concatenate(own)
-    order = np.lexsort((key[:, 0], of))
-    key, of = key[order], of[order]
+    # N-grams of a text that are equal stand together in the order of a key of both; one of each stays.
+    both = mixed(key[:, 0] + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(both)
+    again = np.flatnonzero(both[order[1:]] == both[order[:-1]]) + 1
     fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:, 0] != key[:-1, 0]) | (of[1:] != of[:-1])
+    fresh[order[again]] = False
     key, of = key[fresh], of[fresh]
+    order = np.argsort(of, kind="stable") if (of[1:] < of[:-1]).any() else slice(None)  # short texts stand behind
+    key, of = key[order], of[order]
     sizes = np.bincount(of, minlength=rows)
     total = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(mixed(key ^ np.uint64(0xA0761D6478BD642F)), axis=0)])
     at = np.cumsum(sizes)
@@ -175,14 +192,14 @@ def segments(docs: DataFrame, text: str, n: int, fragments: int, cap: int) -> Da
                 keep = np.zeros(b - a, bool)
                 keep[np.unique(classes.view(f"S{KEY_BYTES}").ravel(), return_index=True)[1]] = True  # one of each class
                 key, of = key[keep[of]], of[keep[of]]
-                order = np.argsort(key[:, 0], kind="stable")
+                order = np.argsort(key[:, 0])
                 key, of = key[order], of[order]
                 edges = np.flatnonzero(np.concatenate([[True], key[1:, 0] != key[:-1, 0], [True]]))
                 many = np.diff(edges) >= cap
                 often = np.repeat(many, np.diff(edges))
                 part = ((key[:, 0] >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
                 rare = np.flatnonzero(~often)
-                rare = rare[np.lexsort((of[rare], part[rare]))]
+                rare = rare[np.argsort(part[rare] * (b - a) + of[rare])]
                 if len(rare):
                     yield _packed(part[rare], of[rare], key[rare, 1], classes, False)
                 known = np.flatnonzero(often)
@@ -277,7 +294,8 @@ def compared(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """pairs (q, x, least), least null but for pivots q, with `linked`, x's rank, whether q holds enough of x for a link, and the prefix
     of what x holds beyond q: partial overlaps by segment, summed by pair."""
     segment = lambda g: F.filter("tokens", lambda t: t.bitwiseAND(F.lit(SEGMENTS - 1)) == g)
-    cut = classes.select("class_key", "rank", F.size("tokens").alias("shared"), F.explode(F.array(*[F.struct(F.lit(g).alias("g"), segment(g).alias("tokens")) for g in range(SEGMENTS)])).alias("s")).select("class_key", "rank", "shared", "s.*")
+    met = written(pairs.select(F.explode(F.array("q", "x")).alias("class_key")).distinct(), "met")
+    cut = classes.join(broadcast_if_small(met, F.lit(32)), "class_key", "left_semi").select("class_key", "rank", F.size("tokens").alias("shared"), F.explode(F.array(*[F.struct(F.lit(g).alias("g"), segment(g).alias("tokens")) for g in range(SEGMENTS)])).alias("s")).select("class_key", "rank", "shared", "s.*")
     left, right = cut.select(F.col("class_key").alias("q"), "g", F.col("tokens").alias("tokens_q")), cut.select(F.col("class_key").alias("x"), "g", "rank", "shared", F.col("tokens").alias("tokens_x"))
     partial = pairs.join(right, "x").join(left, ["q", "g"]).select("q", "x", "least", "rank", "shared", F.size(F.array_intersect("tokens_x", "tokens_q")).alias("part"), F.array_except("tokens_x", "tokens_q").alias("rest"))
     summed = partial.groupBy("q", "x", "least", "rank", "shared").agg(F.sum("part").alias("overlap"), F.flatten(F.collect_list("rest")).alias("rest"))
@@ -289,12 +307,14 @@ def compared(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return summed.select("q", "x", F.col("least").isNotNull().alias("pivot"), "rank", linked.alias("linked"), (overlap >= needed).alias("enough"), F.slice(F.sort_array("rest"), F.lit(1), held).alias("beyond"))
 
 
-def next_buckets(counted: DataFrame) -> DataFrame:
-    """Of pivots that don't link with all whom they met: their members, by the n-grams beyond the pivot (-1: no n-gram)."""
+def next_buckets(counted: DataFrame, percent: int) -> DataFrame:
+    """Of pivots that don't link with all whom they met: their members, by the n-grams beyond the pivot. For no n-gram stands a number
+    below 0, of a range of sizes: sizes that can link lie in one range or two next to each other, and a member stands in its own and the next."""
     counted = counted.where("pivot")
     apart = counted.where(~F.col("linked")).select("q").distinct()
     again = counted.join(broadcast_if_small(written(apart, "apart"), F.lit(32)), "q", "left_semi")
-    tokens = F.when(F.col("enough"), F.array_append("beyond", F.lit(-1).cast("long"))).otherwise(F.col("beyond"))
+    span = F.floor(F.ln(size_of(F.col("x"))) / (max(math.log(100 / percent), 1e-6) * (1 + 1e-9))).cast("long")
+    tokens = F.when(F.col("enough"), F.concat("beyond", F.array(-1 - span, -2 - span))).otherwise(F.col("beyond"))
     return again.select(F.col("q").alias("p"), F.explode(tokens).alias("token"), F.col("x").alias("class_key"), "rank")
 
 
@@ -313,6 +333,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after more links: only the components that the links touch are joined."""
+    if labels is None:
+        return components(links)
+    of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"{c}_label"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"), F.col("a").alias("v"), F.col("b").alias("u"))
+    between = written(between.where(F.col("a") != F.col("b")), "between")
+    if between.isEmpty():
+        return labels
+    merged = components(between)
+    fresh = between.select("v").unionByName(between.select(F.col("u").alias("v"))).distinct().join(labels.select("v"), "v", "left_anti").select("v", F.col("v").alias("label"))
+    renamed = merged.select(F.col("v").alias("label"), F.col("label").alias("new"))
+    return written(labels.unionByName(fresh).join(renamed, "label", "left").select("v", F.coalesce("new", "label").alias("label")), "labels")
+
+
 def several(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets that lie in several components: with their label, the most frequent one, and whether few pairs differ in it."""
     labelled = buckets.join(labels.select(F.col("v").alias("class_key"), "label"), "class_key", "left").withColumn("label", F.coalesce("label", "class_key"))
@@ -336,13 +371,11 @@ def class_labels(entries: DataFrame, percent: int) -> DataFrame:
     """(v, label) of all classes that link with another one."""
     classes = written(ordered_classes(entries, percent), "classes")
     pairs = written(met_pivots(first_buckets(classes, percent)), "pairs")
-    links = None
+    labels = None
     while True:
         counted = written(compared(pairs, classes, percent), "compared")
-        found = counted.where("linked").select(F.col("q").alias("a"), F.col("x").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        members = several(next_buckets(counted), labels)
+        labels = joined(labels, counted.where("linked").select(F.col("q").alias("a"), F.col("x").alias("b")))
+        members = several(next_buckets(counted, percent), labels)
         fresh = met_pivots(members.where(~F.col("few"))).unionByName(differing(members.where("few"), percent).withColumn("least", F.lit(None).cast("long")))
         pairs = written(fresh.groupBy("q", "x").agg(F.min("least").alias("least")), "pairs")
         if pairs.isEmpty():

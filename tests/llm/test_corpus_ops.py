@@ -63,10 +63,11 @@ def test_ngram_join_matches_brute_force(spark, monkeypatch, n, percent, cap):
     assert found == {k: (sizes[k], labels[k]) for k in range(len(texts))}
 
 
-@pytest.mark.parametrize("percent", [90, 75, 60])
-def test_hot_bucket_meets_its_pivot_only(spark, monkeypatch, percent):
+@pytest.mark.parametrize(("percent", "pairs"), [(90, 64), (85, 4), (75, 0), (60, 1)])
+def test_hot_bucket_meets_its_pivot(spark, monkeypatch, percent, pairs):
     """Hundreds of texts of one base: by many edits unlike each other and the base, or in families of few edits."""
     monkeypatch.setattr(ngram_join, "LEAST_FRAGMENTS", 4)
+    monkeypatch.setattr(ngram_join, "PAIRS", pairs)
     rng = random.Random(percent)
     base = [f"w{k}" for k in range(80)]
     texts = [" ".join(base)]
