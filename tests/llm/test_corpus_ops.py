@@ -218,20 +218,54 @@ def test_lm_base_and_model(spark, monkeypatch):
     assert lm_score.score(rows.where("false")).count() == 0
 
 
-def test_lm_learns_from_all_training_texts(spark):
+def test_lm_learns_from_all_training_texts(spark, monkeypatch):
     """A first text longer than all others together, and cycles of words in the many that follow."""
     texts = ["alpha beta " * 300_000, *("gamma delta sigma omega " * 20 for _ in range(2300))]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     v = pieces.load()
     words = [lm_score.subwords(lm_score.words_of(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))[0], v) for x in texts[:2]]
     training = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 7 != 2]
-    held = rows.where(F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
-    counts = np.ones(len(v.pieces) + 1, np.int64)
-    gathered = written(lm_score.gathered(held, counts, v, []), "windows")
     lengths = [300_000 * len(words[0][0]) + 1 if k == 0 else 20 * len(words[1][0]) + 1 for k in training]
-    assert gathered.where("part = -1").agg(F.sum("n")).first()[0] == sum(-(-x // (lm_score.WINDOW // 2)) for x in lengths)
-    beside = lm_score.all_neighbours(gathered, len(counts) * 2 * (lm_score.OWN_CLASS + 1))
-    assert beside.sum() == 2 * sum(x - 1 for x in lengths)
+    size = len(v.pieces) + 1
+    rows = rows.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 7 == 2).select("doc_id", "held_out", "text")
+    made = written(lm_score.encoded(rows, ([], []), lm_score.places(np.ones(size)), 0.0, v), "encoded")
+    counts = lm_score.summed_parts(made, size * (2 * (lm_score.OWN_CLASS + 1) + 1))
+    wide = size * 2 * (lm_score.OWN_CLASS + 1)
+    assert counts[:wide].sum() == 2 * sum(x - 1 for x in lengths) and counts[wide:].sum() == sum(lengths)
+    learned = made.where("part is null and not held_out")
+    n_windows = learned.agg(F.sum("n_windows")).first()[0]
+    assert n_windows == sum(-(-x // (lm_score.WINDOW // 2)) for x in lengths)
+    model = lm_score.untrained(counts[:wide], counts[wide:], lm_score.places(counts[wide:]), np.random.default_rng(0))
+    ids, ends = lm_score.sequences(*lm_score.words_of(np.frombuffer(texts[1].encode(), np.uint8), np.array([0, len(texts[1])])), v)
+    after = lm_score.trained(learned.select("ids"), n_windows, model)
+    assert lm_score.log10_scores(after, ids, ends)[0] > 0.5 * lm_score.log10_scores(model, ids, ends)[0]
+
+
+def plain_score(model, ids):
+    """log10 probability of one sequence, id by id, without batches or windows of several targets."""
+    w = {k: x.astype(np.float64) for k, x in model.weights.items()}
+    half, total = lm_score.WINDOW // 2, 0.0
+    for t, target in enumerate(ids):
+        begin = t // half * half - half  # the window's first place
+        seen = [(k - begin, model.start if k == 0 else int(ids[k - 1])) for k in range(max(0, begin), t + 1)]
+        x = np.array([w["class"][model.class_of[i]] + w["id"][i] + w["place"][k] for k, i in seen])
+        q, keys, values = x[-1] @ w["q"], x @ w["k"], x @ w["v"]
+        a = np.exp(keys @ q / lm_score.WIDTH**0.5)
+        h = x[-1] + (a / a.sum()) @ values @ w["o"]
+        z = h + np.maximum(h @ w["up"] + w["up_bias"], 0) @ w["down"]
+        logits = z @ w["out"] + w["out_bias"]
+        total += logits[model.class_of[target]] - np.log(np.exp(logits).sum()) + model.log_within[target]
+    return total / math.log(10)
+
+
+def test_lm_matches_plain_score():
+    rng = np.random.default_rng(8)
+    ends = np.array([0, 1, 17, 34, 50, 150, 151])
+    ids = rng.integers(0, 20, 151)
+    ids[ends[1:] - 1] = 20
+    model = lm_score.train(ids, ends, np.bincount(ids, minlength=21), steps=30)
+    found = lm_score.log10_scores(model, ids, ends)
+    assert found == pytest.approx([plain_score(model, ids[a:b]) for a, b in zip(ends[:-1], ends[1:])], rel=1e-4)
 
 
 def log_probabilities(f):
