@@ -61,9 +61,9 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray
     cut = np.zeros(len(raw) + 1, dtype=bool)
     cut[offsets] = True
     starts = np.flatnonzero(word & (cut[:-1] | np.concatenate([[True], ~word[:-1]])))
+    stops = np.flatnonzero(word & (cut[1:] | np.concatenate([~word[1:], [True]]))) + 1
     compact = LOWER[raw[word]]
-    before = np.concatenate([[0], np.cumsum(word)])
-    ends = np.append(before[starts], len(compact)).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(stops - starts)])
     coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(compact)]).dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.searchsorted(starts, offsets)
 
