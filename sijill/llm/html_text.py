@@ -1,11 +1,15 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides a block by where it stands, its link
-density, its length and its density of stop words: it is boilerplate in a menu, header, footer, sidebar,
-form, advert, notice or comment, or where most of its letters are links; it is content inside an article or
-main element, or if it is long and has the stop words of running text. What is left, mostly short blocks, is
-ambiguous: in the second pass it inherits the label of the nearest decided block, of the one before at equal
-distance; a page without decided blocks has no main text.
+A page is cut into blocks at block-level tags. The first pass decides a block by its link density, its length and its
+density of stop words: it is boilerplate where most of its letters are links, or where it stands in an element made
+for menus, headers, footers, sidebars, forms, adverts, notices or comments; it is content if it is long and has the stop words
+of running text. What is left, mostly short blocks, is ambiguous: in the second pass it inherits the label of the nearest
+decided block of its section (an article or main element, or what is outside of them), of the one before at equal distance; blocks
+in elements made for boilerplate don't count.
+Without decided blocks it is content in an article or main element, and boilerplate outside.
+
+An element is made for boilerplate by its tag, or by a class, id or role of such a word without a word of state beside it
+(`sidebar`, `comment-list`; not `has-sidebar`, `no-comments`, `share-enabled`).
 
 Defined results: null or empty html gives an empty text and 0 characters; unclosed and stray tags are
 tolerated; character references without a semicolon are read as browsers do; a `br` is white space;
@@ -45,6 +49,8 @@ STOP_WORDS = frozenset(
     "der die das und ist von den dem mit im zu auf für nicht ein eine sich des als auch es an werden aus er hat dass sie nach "
     "el los las y en un una que es por con para del se no su al lo como más".split()
 )
+#: Words that make a class a state of the page, not the part that it names.
+STATES = frozenset("has have is no not non with without hide hides hidden show shows enable enabled disable disabled on off open opened closed collapsed below above after before".split())
 LINK_DENSITY, LONG, STOP_DENSITY = 0.5, 70, 0.15
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"\w+")
@@ -56,7 +62,17 @@ class Block:
     text: str
     linked: int  # characters inside links
     boilerplate: bool
-    content: bool
+    section: int  # a number for each article or main element; 0 outside
+
+
+def made_for_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
+    for name, value in attrs:
+        if name in ("class", "id", "role") and value:
+            for token in value.lower().split():
+                words = SPLIT.split(token)
+                if not MARKS.isdisjoint(words) and STATES.isdisjoint(words):
+                    return True
+    return False
 
 
 class Blocks(HTMLParser):
@@ -65,11 +81,16 @@ class Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[Block] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, hidden, boilerplate, content; each with what encloses it
+        self.open: list[tuple[str, bool, bool, int]] = []  # tag, hidden, boilerplate, section; each with what encloses it
         self.parts: list[str] = []
         self.linked = 0
         self.links = 0
-        self.at = (False, False, False)
+        self.sections = 0
+        self.at = (False, False, 0)
+
+    def parse_html_declaration(self, i: int) -> int:
+        # Marked sections aren't HTML; browsers read them as comments.
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
@@ -84,22 +105,21 @@ class Blocks(HTMLParser):
             self.flush()
         if tag in VOID:
             return
-        hidden, boilerplate, content = self.at
+        hidden, boilerplate, section = self.at
         hidden |= tag in HIDDEN
         # A header inside an article is the article's own.
-        boilerplate |= tag in BOILERPLATE and not (tag == "header" and content)
-        if attrs and not tag in ("html", "body"):
-            for name, value in attrs:
-                if name in ("class", "id", "role") and value and not MARKS.isdisjoint(SPLIT.split(value.lower())):
-                    boilerplate |= not (tag in CONTENT)
-                hidden |= name == "hidden" or (name == "aria-hidden" and value == "true")
-            content |= ("role", "main") in attrs
-        content |= tag in CONTENT
+        boilerplate |= tag in BOILERPLATE and not (tag == "header" and section)
+        if attrs and tag not in ("html", "body"):
+            boilerplate |= tag not in CONTENT and made_for_boilerplate(attrs)
+            hidden |= any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs)
+        if not section and (tag in CONTENT or ("role", "main") in attrs):
+            self.sections += 1
+            section = self.sections
         self.open.append((tag, *self.at))
-        changed = (hidden, boilerplate, content) != self.at
+        changed = (hidden, boilerplate, section) != self.at
         if changed:
             self.flush()
-        self.at = (hidden, boilerplate, content)
+        self.at = (hidden, boilerplate, section)
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -141,33 +161,45 @@ def decided(block: Block) -> bool | None:
     """First pass: True for content, False for boilerplate, None for an ambiguous block."""
     if block.boilerplate or block.linked > LINK_DENSITY * len(block.text):
         return False
-    if block.content:
-        return True
     words = WORDS.findall(block.text.lower())
     if len(block.text) >= LONG and sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * len(words):
         return True
     return None
 
 
-def main_text(html: str | None) -> str:
-    found = blocks(html or "")
-    first = [decided(b) for b in found]
+def nearest(labels: list[bool | None]) -> list[bool | None]:
+    """For each place the label of the nearest decided one, of the one before at equal distance."""
     before, after, last = [], [], None
-    for k, label in enumerate(first):
+    for k, label in enumerate(labels):
         last = k if label is not None else last
         before.append(last)
     last = None
-    for k in range(len(first) - 1, -1, -1):
-        last = k if first[k] is not None else last
+    for k in range(len(labels) - 1, -1, -1):
+        last = k if labels[k] is not None else last
         after.append(last)
-    after.reverse()
-    kept = []
-    for k, block in enumerate(found):
-        a, b = before[k], after[k]
+    out = []
+    for k, (a, b) in enumerate(zip(before, reversed(after))):
         near = a if b is None or (a is not None and k - a <= b - k) else b
-        if near is not None and first[near]:
-            kept.append(block.text)
-    return "\n\n".join(kept)
+        out.append(None if near is None else labels[near])
+    return out
+
+
+def kept(found: list[Block]) -> list[bool]:
+    """Second pass: whether each block is main text."""
+    labels = [decided(b) for b in found]
+    sections: dict[int, list[int]] = {}
+    for k, block in enumerate(found):
+        if not block.boilerplate:  # a menu or an advert says nothing of its neighbours
+            sections.setdefault(block.section, []).append(k)
+    for section, members in sections.items():
+        for k, label in zip(members, nearest([labels[k] for k in members])):
+            labels[k] = section > 0 if label is None else label
+    return [label is True for label in labels]
+
+
+def main_text(html: str | None) -> str:
+    found = blocks(html or "")
+    return "\n\n".join(block.text for block, keep in zip(found, kept(found)) if keep)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -29,6 +29,8 @@ UNDETERMINED = "und"
 #: Symbols: 0 for a run of non-letters, 1-26 for a-z, then buckets of all other letters.
 SYMBOLS, OTHER = 128, 101
 CHUNK = 1 << 20
+#: Cells of a matrix of counts, and trigram vectors that are held at once.
+CELLS, WIDE = 1 << 23, 1 << 14
 
 
 @dataclass(frozen=True)
@@ -65,7 +67,7 @@ def trigram_vectors(codes: np.ndarray, dimensions: int, seed: int) -> np.ndarray
 
 
 def trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the texts in raw: distinct trigram codes, a count matrix (texts x codes), and which texts have a letter."""
+    """For the texts in raw: the code of each trigram, the text it stands in (sorted), and which texts have a letter."""
     n = len(offsets) - 1
     cps, lengths = code_points(raw, offsets)
     symbols, owner = symbol_of()[cps], np.repeat(np.arange(n, dtype=np.int32), lengths)
@@ -76,21 +78,29 @@ def trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     symbols, owner = symbols[keep].astype(np.int32), owner[keep]
     codes = (symbols[:-2] * SYMBOLS + symbols[1:-1]) * SYMBOLS + symbols[2:]
     same = owner[:-2] == owner[2:]
-    codes, owner = codes[same], owner[:-2][same]
-    seen = np.bincount(codes, minlength=1) > 0
-    distinct = np.flatnonzero(seen)
-    place = np.cumsum(seen) - 1
-    width = max(1, len(distinct))
-    counts = np.bincount(owner.astype(np.int64) * width + place[codes], minlength=n * width).reshape(n, width)
-    return distinct, counts, lettered
+    return codes[same], owner[:-2][same], lettered
+
+
+def summed(codes: np.ndarray, owner: np.ndarray, rows: int, dimensions: int, seed: int) -> np.ndarray:
+    """The bundle of each row's trigrams (float64 sums of whole numbers). The matrix of counts, rows by distinct trigrams, has
+    CELLS cells at most: a taller one is halved, and a wider one is taken in parts. owner: sorted."""
+    distinct, place = np.unique(codes, return_inverse=True)
+    if rows > 1 and rows * len(distinct) > CELLS:
+        half = rows // 2
+        cut = np.searchsorted(owner, half)
+        return np.concatenate([summed(codes[:cut], owner[:cut], half, dimensions, seed), summed(codes[cut:], owner[cut:] - half, rows - half, dimensions, seed)])
+    out = np.zeros((rows, dimensions))
+    if len(distinct):
+        counts = np.bincount(owner.astype(np.int64) * len(distinct) + place, minlength=rows * len(distinct)).reshape(rows, -1).astype(np.float32)
+        for start in range(0, len(distinct), WIDE):
+            out += counts[:, start : start + WIDE] @ trigram_vectors(distinct[start : start + WIDE], dimensions, seed).astype(np.float32)
+    return out
 
 
 def bundles(raw: np.ndarray, offsets: np.ndarray, dimensions: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' bundles (float32; exact below 2**24) and which texts have a letter."""
-    distinct, counts, lettered = trigrams(raw, offsets)
-    if not len(distinct):
-        return np.zeros((len(offsets) - 1, dimensions), np.float32), lettered
-    return counts.astype(np.float32) @ trigram_vectors(distinct, dimensions, seed).astype(np.float32), lettered
+    """The texts' bundles and which texts have a letter."""
+    codes, owner, lettered = trigrams(raw, offsets)
+    return summed(codes, owner, len(offsets) - 1, dimensions, seed), lettered
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = 512, seed: int = 7) -> Profiles:
@@ -102,14 +112,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
             raw, offsets = text_buffers(batch.column(0))
             labels = batch.column(1).to_pylist()
             for a, b in chunks(offsets, CHUNK):
-                distinct, counts, _ = trigrams(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if not len(distinct):
-                    continue
-                names = sorted(set(labels[a:b]))
-                of = np.array([names.index(x) for x in labels[a:b]])
-                grouped = np.stack([counts[of == k].sum(axis=0) for k in range(len(names))]).astype(np.float64)
-                made = grouped @ trigram_vectors(distinct, dimensions, seed).astype(np.float64)
-                for name, row in zip(names, made):
+                codes, owner, _ = trigrams(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                names, of = np.unique(np.array(labels[a:b], dtype=object), return_inverse=True)
+                order = np.argsort(of[owner], kind="stable")
+                for name, row in zip(names, summed(codes[order], of[owner][order], len(names), dimensions, seed)):
                     total[name] = total.get(name, 0) + row
         for name, row in total.items():
             yield pa.RecordBatch.from_arrays(
@@ -135,14 +141,14 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", pred: str =
     arrow_names, dimensions = [*names, pred, score], profiles.vectors.shape[1]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = profiles.vectors.astype(np.float32).T
+        vectors = profiles.vectors.T
         options = np.array([*profiles.languages, UNDETERMINED], dtype=object)
         for batch in batches:
             raw, offsets = text_buffers(batch.column(at))
             best, cosine = np.full(batch.num_rows, len(options) - 1), np.zeros(batch.num_rows)
             for a, b in chunks(offsets, CHUNK) if profiles.languages else ():
                 made, lettered = bundles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], dimensions, profiles.seed)
-                near = (made @ vectors).astype(np.float64) / np.maximum(np.linalg.norm(made, axis=1), 1e-9)[:, None]
+                near = made @ vectors / np.maximum(np.linalg.norm(made, axis=1), 1e-9)[:, None]
                 top = near.argmax(axis=1)
                 best[a:b] = np.where(lettered, top, len(options) - 1)
                 cosine[a:b] = np.where(lettered, np.clip(near[np.arange(b - a), top], 0.0, 1.0), 0.0)
@@ -163,14 +169,15 @@ def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-#: In the pipeline: texts of so many characters whose best cosine is lower read like none of the languages.
-#: Shorter texts have few trigrams, and so a low cosine in any language; they stay.
-LEAST_COSINE, ENOUGH = 0.1, 200
+#: In the pipeline: a text of m characters reads like none of the languages where its best cosine is below LEAST_COSINE - SLACK / m. The fewer
+#: trigrams, the lower the cosine in any language; the bound is one function of the length.
+LEAST_COSINE, SLACK = 0.1, 20.0
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drops documents without a letter, and longer ones unlike every learned language."""
+    """Pipeline stage: drops documents without a letter, and those unlike every learned language: their best cosine is below
+    LEAST_COSINE - SLACK / m, m the text's number of characters."""
     profiles = train(docs.where(F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(True))))
     labelled = predict(docs, profiles, pred="_lang_pred", score="_cosine")
-    alike = (F.col("_cosine") >= LEAST_COSINE) | (F.char_length("text") < ENOUGH)
-    return labelled.where((F.col("_lang_pred") != UNDETERMINED) & alike).select(*docs.columns)
+    bound = LEAST_COSINE - SLACK / F.greatest(F.char_length("text"), F.lit(1))
+    return labelled.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_cosine") >= bound)).select(*docs.columns)

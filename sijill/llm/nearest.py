@@ -13,8 +13,8 @@ scanned against every block. Blocks have a bounded number of rows on both sides.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
 components take no part; equally near vectors stand by id; a query has fewer neighbours than k only if there
-are fewer candidates; repeated rows of an id are one vector; an empty table gives an empty result; other
-columns are not read, so clashing names do no harm.
+are fewer candidates; rows that share an id are rows: each is a candidate of the others, and each that asks has its own
+answers; an empty table gives an empty result; other columns are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -127,9 +127,9 @@ def _floats(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def block_nearest(ids: np.ndarray, estimates: np.ndarray, exact: np.ndarray, query_id: int, query: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+def block_nearest(ids: np.ndarray, rows: np.ndarray, estimates: np.ndarray, exact: np.ndarray, query_row: int, query: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and distances of the k nearest of a block's `rerank` best estimates."""
-    own = np.where(ids == query_id, -np.inf, estimates)
+    own = np.where(rows == query_row, -np.inf, estimates)
     most = len(own) - rerank
     near = np.flatnonzero(own >= np.partition(own, most)[most]) if most > 0 else np.arange(len(own))
     near = near[np.lexsort((ids[near], -own[near]))][:rerank]
@@ -143,7 +143,7 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector
     """(query_id, rank, vec_id, score): the k nearest of each query among all other vectors. rerank: candidates of a query in each block."""
     rerank = max(rerank, k)
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("is_query"))
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("is_query"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(valid(F.col("v")), F.lit(False)))
     usual = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     result = "query_id long, rank int, vec_id long, score double"
@@ -160,33 +160,34 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(start, BLOCK)
-                exact = _floats(part.column(1), d)
+                exact = _floats(part.column(2), d)
                 codes, half = quantiser.encode(exact)
                 packed = codes[:, 0::2] * CENTRES + codes[:, 1::2]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (part.column(0).to_numpy(), packed, half, exact.astype(packed_as))], names=["ids", "codes", "half", "exact"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (part.column(0).to_numpy(), part.column(1).to_numpy(), packed, half, exact.astype(packed_as))], names=["rows", "ids", "codes", "half", "exact"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, half = np.frombuffer(batch.column(0)[row].as_py(), np.int64), np.frombuffer(batch.column(2)[row].as_py(), np.float32)
-                packed = np.frombuffer(batch.column(1)[row].as_py(), np.uint8).reshape(len(ids), -1)
-                exact = np.frombuffer(batch.column(3)[row].as_py(), packed_as).reshape(len(ids), d)
-                asked = batch.column(4)[row].values
-                query_ids, wanted = asked.field("vec_id").to_numpy(), _floats(asked.field("v"), d)
-                found = [block_nearest(ids, own, exact, query_ids[q], wanted[q], k, rerank) for q, own in enumerate(scan(quantiser, packed, half, wanted))]
-                owner = np.repeat(query_ids, [len(near) for near, _ in found])
-                yield pa.RecordBatch.from_arrays([pa.array(owner), *(pa.array(np.concatenate(x)) for x in zip(*found))], names=["query_id", "vec_id", "score"])
-
-    rows = written(rows.dropDuplicates(["vec_id"]), "vectors")
-    queries = rows.where("is_query").select("vec_id", "v")
+                held = [batch.column(c)[row].as_py() for c in range(5)]
+                numbers, ids, half = np.frombuffer(held[0], np.int64), np.frombuffer(held[1], np.int64), np.frombuffer(held[3], np.float32)
+                packed = np.frombuffer(held[2], np.uint8).reshape(len(ids), -1)
+                exact = np.frombuffer(held[4], packed_as).reshape(len(ids), d)
+                asked = batch.column(5)[row].values
+                query_rows, query_ids, wanted = asked.field("row").to_numpy(), asked.field("vec_id").to_numpy(), _floats(asked.field("v"), d)
+                found = [block_nearest(ids, numbers, own, exact, query_rows[q], wanted[q], k, rerank) for q, own in enumerate(scan(quantiser, packed, half, wanted))]
+                times = [len(near) for near, _ in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_rows, times)), pa.array(np.repeat(query_ids, times)), *(pa.array(np.concatenate(x)) for x in zip(*found))], names=["row", "query_id", "vec_id", "score"])
+
+    rows = written(rows, "vectors")
+    queries = rows.where("is_query").select("row", "vec_id", "v")
     n_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     # Each block of vectors meets each block of queries. Both are bounded, and so are their copies' numbers.
-    blocks = map_arrow(rows.select("vec_id", "v"), index, "ids binary, codes binary, half binary, exact binary").withColumn("asked_by", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    asked = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("asked_by")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-    asked = broadcast_if_small(written(asked, "asked"), F.size("queries") * (8 * d + 8))
-    met = blocks.join(asked, "asked_by").select("ids", "codes", "half", "exact", "queries")
-    measured = map_arrow(met, best, "query_id long, vec_id long, score double")
-    rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    blocks = map_arrow(rows.select("row", "vec_id", "v"), index, "rows binary, ids binary, codes binary, half binary, exact binary").withColumn("asked_by", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    asked = queries.groupBy(F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int").alias("asked_by")).agg(F.collect_list(F.struct("row", "vec_id", "v")).alias("queries"))
+    asked = broadcast_if_small(written(asked, "asked"), F.size("queries") * (8 * d + 16))
+    met = blocks.join(asked, "asked_by").select("rows", "ids", "codes", "half", "exact", "queries")
+    measured = map_arrow(met, best, "row long, query_id long, vec_id long, score double")
+    rank = Window.partitionBy("row").orderBy("score", "vec_id")
     return measured.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -26,6 +26,8 @@ FLATTEN = 100
 #: Stands for a U+2581 of the text; beyond Unicode, so in no piece.
 LITERAL = 0x110000
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: A piece's key sets one of 2**MARKED marks; only marked keys are looked up.
+MARKED, SPREAD = 18, np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
@@ -36,6 +38,7 @@ class Vocabulary:
     ids: dict[int, np.ndarray]
     scores: dict[int, np.ndarray]
     spelled: dict[int, np.ndarray]
+    marks: dict[int, np.ndarray]
     unknown: float
     byte_id: np.ndarray  # (256,)
     pieces: tuple[str, ...]  # by id, for decoding
@@ -51,15 +54,22 @@ class Vocabulary:
         table = self.keys.get(length)
         if table is None or not len(keys):
             return np.full(len(keys), -1, dtype=np.int64)
-        at = np.searchsorted(table, keys)
-        at[at == len(table)] = 0
-        hits = np.flatnonzero(table[at] == keys)
-        true = hits[(self.spelled[length][at[hits]] == chars(hits)).all(axis=1)] if len(hits) else hits
         out = np.full(len(keys), -1, dtype=np.int64)
-        out[true] = at[true]
+        marked = np.flatnonzero(self.marks[length][mark_of(keys)])
+        if len(marked):
+            at = np.searchsorted(table, keys[marked])
+            at[at == len(table)] = 0
+            same = table[at] == keys[marked]
+            hits, at = marked[same], at[same]
+            true = (self.spelled[length][at] == chars(hits)).all(axis=1)
+            out[hits[true]] = at[true]
         return out
 
 
+def mark_of(keys: np.ndarray) -> np.ndarray:
+    return keys * SPREAD >> np.uint64(64 - MARKED)
+
+
 def hashed(chars: np.ndarray) -> np.ndarray:
     """Keys of equal-length strings, one a row."""
     key = np.zeros(len(chars), dtype=np.uint64)
@@ -94,7 +104,7 @@ def load(model: str = DEFAULT_MODEL) -> Vocabulary:
         ranked = sorted(own, key=lambda i: (-own[i], i))
         weight = np.log(sum(1 / (r + FLATTEN) for r in range(1, len(ranked) + 1)))
         own = {i: float(-np.log(r + FLATTEN) - weight) for r, i in enumerate(ranked, 1)}
-    keys, ids, scores, spelled = {}, {}, {}, {}
+    keys, ids, scores, spelled, marks = {}, {}, {}, {}, {}
     for length, members in by_length.items():
         chars = np.array([[ord(c) for c in pieces[i]] for i in members], dtype=np.uint32)
         key = hashed(chars)
@@ -102,10 +112,12 @@ def load(model: str = DEFAULT_MODEL) -> Vocabulary:
         if len(np.unique(key)) < len(key):
             raise ValueError("two pieces have one key")
         keys[length], spelled[length] = key[order], chars[order]
+        marks[length] = np.zeros(1 << MARKED, bool)
+        marks[length][mark_of(key)] = True
         ids[length] = np.array(members, dtype=np.int32)[order]
         scores[length] = np.array([own[i] for i in members], dtype=np.float64)[order]
     unknown = min(float(s.min()) for s in scores.values()) - 10.0
-    return Vocabulary(keys, ids, scores, spelled, unknown, byte_id, pieces, is_byte, is_control)
+    return Vocabulary(keys, ids, scores, spelled, marks, unknown, byte_id, pieces, is_byte, is_control)
 
 
 def pre_tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:

@@ -167,7 +167,7 @@ def test_nearest(spark):
     centres = rng.standard_normal((40, 24))
     x = (centres[rng.integers(0, 40, 3000)] + 0.3 * rng.standard_normal((3000, 24))).astype(np.float32)
     x[100:140] = x[7]
-    rows = [(k, v.tolist(), "clash") for k, v in enumerate(x)] + [(5000, None, "c"), (5100, [0.0] * 24, "c"), (5200, [float("nan")] * 24, "c"), (5300, [1.0] * 23 + [None], "c"), (5400, [1.0], "c"), (7, x[7].tolist(), "c")]
+    rows = [(k, v.tolist(), "clash") for k, v in enumerate(x)] + [(5000, None, "c"), (5100, [0.0] * 24, "c"), (5200, [float("nan")] * 24, "c"), (5300, [1.0] * 23 + [None], "c"), (5400, [1.0], "c"), (11, (x[11] + 100).tolist(), "c"), (9000, x[207].tolist(), "c")]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     found = nearest.nearest(vectors, F.col("vec_id") % 100 == 7).toPandas()
     x = x.astype(np.float64)
@@ -177,10 +177,15 @@ def test_nearest(spark):
         far[q] = np.inf
         want = np.lexsort((np.arange(3000), far))[:10]
         own = found[found.query_id == q].sort_values("rank")
-        assert own["rank"].tolist() == list(range(1, 11)) and np.allclose(own.score, far[own.vec_id], atol=1e-12)
+        own = own[own.vec_id < 3000] if q == 207 else own
+        assert q == 207 or own["rank"].tolist() == list(range(1, 11)) and np.allclose(own.score, far[own.vec_id], atol=1e-12)
         assert list(zip(own.score, own.vec_id)) == sorted(zip(own.score, own.vec_id))
         hits += len(set(want) & set(own.vec_id))
-    assert hits >= 0.95 * 300 and found[found.query_id == 7].vec_id.tolist() == list(range(100, 110))
+    assert hits >= 0.95 * 300 - 1 and found[found.query_id == 7].vec_id.tolist() == list(range(100, 110))
+    # Two vectors of one id are two rows: each finds the other, and both are found.
+    twins = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.5]), (2, [0.0, 9.0])], "vec_id long, embedding array<double>")
+    asked = nearest.nearest(twins, F.col("vec_id") == 1).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 3)) for r in asked) == [(1, 1, 1, 0.5), (1, 1, 1, 0.5), (1, 2, 2, 8.559), (1, 2, 2, 9.055)]
     few = vectors.where("vec_id in (7, 8, 9)")
     assert nearest.nearest(few, F.col("vec_id") == 7).count() == 2 and nearest.nearest(vectors.where("false"), F.lit(True)).count() == 0
 

@@ -40,6 +40,28 @@ def test_language_edges(spark):
     assert kept.columns == docs.columns and {1, 0}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_bundles_match_brute_force(monkeypatch):
+    """Ten thousand short texts of a wide script in one batch, and one text of many trigrams."""
+    rng = random.Random(2)
+    wide = ["".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(30)) for _ in range(10_000)]
+    monkeypatch.setattr(lang_id, "WIDE", 1000)
+    for texts in (wide, ["".join(wide)], ["the cat", "", "12", "über das Haus " * 50]):
+        raw, offsets = text_buffers(pa.array(texts))
+        made, lettered = lang_id.bundles(raw, offsets, 32, 7)
+        letters = lang_id.letter_vectors(32, 7).astype(int)
+        for k in [0, len(texts) // 2, len(texts) - 1]:
+            s = [int(x) for x in lang_id.symbol_of()[[ord(c) for c in texts[k]]]] if texts[k] else []
+            s = [x for j, x in enumerate(s) if x or j == 0 or s[j - 1]]
+            want = sum((np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(s, s[1:], s[2:])), np.zeros(32))
+            assert (made[k] == want).all() and lettered[k] == any(s)
+
+
+def test_equal_cosines_go_to_the_first_language(spark):
+    rows = spark.createDataFrame([(0, "water under stone", "b"), (1, "water under stone", "a")], "doc_id long, text string, lang string")
+    found = lang_id.predict(rows, lang_id.train(rows)).collect()
+    assert {r.lang_pred for r in found} == {"a"} and all(r.score == pytest.approx(1) for r in found)
+
+
 def best_path(word, scores, unknown):
     """Viterbi in plain Python: the longest last piece among equals."""
     best = [(0.0, None)] + [(-np.inf, None)] * len(word)
@@ -93,6 +115,8 @@ PAGES = {
     "<div id='comments'><p>The first of the comments is long, and it is as much of a text as the others that were on the page.</p></div>": "",
     "<main><p>A &lt;b&gt; &eacute;&#233; &amp</p></main><form><p>Name</p><input></form>": "A <b> éé &",
     "<article>plain<b>bold</b><p>unclosed": "plainbold\n\nunclosed",
+    "<p>a</p><![foo[x]]><article>b": "b", "<article>a<![[x]]>": "a", "<article>a<![ %x;[ ]]>": "a", "<![CDATA[ x ]]><article>y": "y", "<article>a<!": "a<!",
+    **{f"<nav><a href=x>Menu</a></nav><div {attr}><h2>Title</h2><p>The quick story of the day is that it was on and on for all of us in the town and by the river.</p></div>": "Title\n\nThe quick story of the day is that it was on and on for all of us in the town and by the river." if keep else "" for attr, keep in (("class='layout has-sidebar'", 1), ("class='no-comments post'", 1), ("id='content' class='share-enabled'", 1), ("class='post comment-list'", 0), ("id=sidebar", 0), ("role=navigation", 0))},
 }
 
 
@@ -101,6 +125,46 @@ def test_html(html):
     assert html_text.main_text(html) == PAGES[html]
 
 
+def plain_labels(found):
+    """The two passes in other words: for each block the sorted distances to the decided blocks of its section."""
+    words = lambda b: [w for w in html_text.WORDS.findall(b.text.lower())]
+    first = []
+    for b in found:
+        stops = sum(w in html_text.STOP_WORDS for w in words(b)) / max(1, len(words(b)))
+        first.append(False if b.boilerplate or b.linked / len(b.text) > 0.5 else True if len(b.text) >= 70 and stops >= 0.15 else None)
+    out = []
+    for k, b in enumerate(found):
+        mates = [j for j, x in enumerate(found) if x.section == b.section and not x.boilerplate]
+        decided = sorted((abs(mates.index(j) - mates.index(k)), j) for j in mates if first[j] is not None) if k in mates else []
+        out.append(first[k] if first[k] is not None else first[decided[0][1]] if decided else b.section > 0)
+    return out
+
+
+def test_html_labels_match_brute_force():
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "and", "river", "house", "stone", "is", "light"]) for _ in range(n))
+    signs, both = 0, [0, 0]
+    for _ in range(400):
+        page = ""
+        for _ in range(rng.randint(1, 14)):
+            inner = rng.choice([prose(3), prose(40), "stone river " * 20, f"<a href=x>{prose(6)}</a>", f"{prose(2)} <a>{prose(2)}</a>", "<![x["])
+            page += rng.choice([f"<p>{inner}</p>", f"<div class='{rng.choice(['ad', 'post', 'has-sidebar', 'menu'])}'>{inner}</div>", f"<article>{inner}", "</article>", f"<footer>{inner}</footer>", f"<li>{inner}", "<main><h1>x</h1>"])
+        found = html_text.blocks(page)
+        labels = html_text.kept(found)
+        assert labels == plain_labels(found), page
+        signs += sum(html_text.decided(b) is None for b in found)
+        both[0] += sum(labels)
+        both[1] += len(labels) - sum(labels)
+    assert signs > 300 and min(both) > 300
+
+
+def test_html_survives_any_markup():
+    rng = random.Random(4)
+    parts = ["<", ">", "<!", "<![", "]]>", "<!--", "-->", "<p", "</", "<a href='", "&", "&#", "&#x110000;", "[", "CDATA[", "<?", "x", " ", "<script>", "</script", "=", "'", '"', "\x00", "<!DOCTYPE", "%"]
+    for _ in range(4000):
+        html_text.main_text("".join(rng.choice(parts) for _ in range(rng.randint(1, 14))))
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(k, "u", h, "clash") for k, h in enumerate(PAGES)] + [(0, "u", next(iter(PAGES)), "clash")], "page_id long, url string, html string, text string")
     found = html_text.extract(rows)
