@@ -30,7 +30,7 @@ UNDETERMINED = "und"
 SYMBOLS, OTHER = 128, 101
 CHUNK = 1 << 20
 #: Cells of a matrix of counts, and trigram vectors that are held at once.
-CELLS, WIDE = 1 << 23, 1 << 14
+CELLS, WIDE = 1 << 22, 1 << 13
 
 
 @dataclass(frozen=True)

@@ -43,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,11 +55,11 @@ FRAGMENT = 2_000_000
 LEAST_FRAGMENTS = 48
 #: Classes of an n-gram from which on the order takes it as frequent.
 CAP = 32
-CHUNK = 4 << 20
+CHUNK = 3 << 20
 #: Segments of a class whose partial overlaps are counted apart.
 SEGMENTS = 4
 #: Pairs of a bucket for each of its members, up to which they are compared one by one.
-PAIRS = 64
+PAIRS = 16
 #: Bytes of a class key: the set's size, then the hash.
 SIZE_BYTES, KEY_BYTES = 4, 16
 
@@ -413,16 +414,25 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, which tells its rows apart and is the same whenever they are read: the place in a file; where docs are no files,
+    a number that is written."""
+    try:
+        return docs.withColumn("_row", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    except AnalysisException:
+        return written(docs.withColumn("_row", F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"))), "numbered")
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of rows that share four fifths of their five-word n-grams, and of those they reach, the one with the
-    smallest id stays (a null id last). Rows are told apart by a number of their own: neither a null id nor one that different
+    smallest id stays (a null id last). Rows are told apart by their place: neither a null id nor one that different
     texts share joins them. Rows without words all stay."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rows, labels = _classes_of(numbered.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("_row").alias("row")).alias("key"), "text"), "key", "text", 5, 80)
+    own = numbered(docs)
+    rows, labels = _classes_of(own.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("_row").alias("row")).alias("key"), "text"), "key", "text", 5, 80)
     named = rows.where(F.col("n_shingles") > 0).join(labels.select(F.col("v").alias("class_key"), "label"), "class_key", "left").withColumn("label", F.coalesce("label", "class_key"))
     first = written(named.groupBy("label").agg(F.min("doc_id").alias("first")), "first")
     gone = written(named.join(first, "label").where(F.col("doc_id.row") != F.col("first.row")).select(F.col("doc_id.row").alias("_row")), "gone")
-    return numbered.join(broadcast_if_small(gone, F.lit(16)), "_row", "left_anti").select(*docs.columns)
+    return own.join(broadcast_if_small(gone, F.octet_length("_row.file") + 24), "_row", "left_anti").select(*docs.columns)
 
 
 #: Links from counted common n-grams, and components by reach.
