@@ -1,8 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Every line of a text, and the text as a whole, is a block: a set of words. A template (a set of words, and a
-threshold t) matches a block that contains at least t of its words. Words are ordered by how many documents
-hold them, rarest first. Three filters find the candidates, and lose none:
+Every line of a text is a block, and so is every run of 2 to RUN consecutive lines with words, as notices are wrapped; a run is a
+block for a template only if it has at most twice as many words as the notice. A block is a set of words. A template (a set
+of words, and a threshold t) matches a block that contains at least t of its words. Words are ordered by how many
+documents hold them, rarest first. Three filters find the candidates, and lose none:
 
 * prefix: a matching block holds one of the template's first |T| - ceil(t |T|) + 1 words;
 * length: a matching block has at least ceil(t |T|) words;
@@ -58,13 +59,18 @@ class Template:
     words: tuple[str, ...]  # distinct
     least: int  # words that a block must hold
     phrase: str = ""
+    longest: int = 0  # words of a run of lines, at most
+
+
+#: Lines of a run, at most: notices have up to 22 words, and lines wrapped at 40 characters 6.
+RUN = 4
 
 
 def templates(threshold: float = 0.8) -> list[Template]:
     found = [Template(label, tuple(dict.fromkeys(p.split())), len(set(p.split())), p) for p, label in PHRASES.items()]
     for text, label in NOTICES.items():
         words = tuple(dict.fromkeys(text.split()))
-        found.append(Template(label, words, math.ceil(threshold * len(words) - 1e-9)))
+        found.append(Template(label, words, math.ceil(threshold * len(words) - 1e-9), longest=2 * len(text.split())))
     return found
 
 
@@ -97,10 +103,28 @@ def _matches(block: Column, template: Template, order: dict[str, int]) -> Column
     return prefix & (F.size(block) >= template.least) & (n - place + 1 >= template.least) & (F.size(overlap) >= template.least)
 
 
+def _blocks(text: Column, words_in, longest: int) -> Column:
+    """array<struct<n, words>>: the words of each line (n: 0), and of each run of lines with n words, `longest` at most."""
+    n_words = lambda x: F.regexp_count(x, F.lit(f"{LETTER_ANY_CASE}+")).cast("int")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.struct(n_words(x).alias("n"), words_in(x).alias("words"))), lambda x: x["n"] > 0)
+
+    def runs_of(lines: Column, size: int) -> Column:
+        count = lambda i: sum((F.get(lines, i + j)["n"] for j in range(1, size)), F.get(lines, i)["n"])
+        held = lambda i: F.array_distinct(F.concat(*[F.get(lines, i + j)["words"] for j in range(size)]))
+        starts = F.when(F.size(lines) >= size, F.sequence(F.lit(0), F.size(lines) - size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(starts, lambda i: count(i) <= longest), lambda i: F.struct(count(i).alias("n"), held(i).alias("words")))
+
+    def runs(lines: Column) -> Column:
+        alone = F.transform(lines, lambda x: F.struct(F.lit(0).alias("n"), x["words"].alias("words")))
+        return F.filter(F.concat(alone, *[runs_of(lines, size) for size in range(2, RUN + 1)]), lambda b: F.size(b["words"]) > 0)
+
+    return F.get(F.transform(F.array(lines), runs), F.lit(0))  # the lines are made once
+
+
 def _largest_share(blocks: Column, template: Template, order: dict[str, int]) -> Column:
     """Null where no block matches."""
-    held = F.filter(blocks, lambda b: _matches(b, template, order))
-    return F.array_max(F.transform(held, lambda b: F.size(F.array_intersect(b, _literal(template.words))) / len(template.words)))
+    held = F.filter(blocks, lambda b: (b["n"] <= template.longest) & _matches(b["words"], template, order))
+    return F.array_max(F.transform(held, lambda b: F.size(F.array_intersect(b["words"], _literal(template.words))) / len(template.words)))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -115,10 +139,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     rare = sorted({w for t in known for w in sorted(t.words, key=order.__getitem__)[: len(t.words) - t.least + 1]})
     candidate = F.col("text").rlike(f"(?i)(?<!{LETTER_ANY_CASE})(?:{'|'.join(rare)})(?!{LETTER_ANY_CASE})")
     words_in = lambda x: F.array_intersect(F.regexp_extract_all(ascii_lower(x), F.lit(rf"{LETTER}+"), F.lit(0)), vocabulary)
-    blocks = F.transform(F.split("text", "\n"), words_in)
+    blocks = _blocks(F.col("text"), words_in, max(t.longest for t in notices))
     no_label = F.array().cast("array<string>")
     rows = docs.withColumn("candidate", candidate)
-    rows = rows.withColumn("whole", F.when(F.col("candidate"), words_in(F.col("text")))).withColumn("blocks", F.when(F.col("candidate"), F.filter(blocks, lambda b: F.size(b) > 0)))
+    rows = rows.withColumn("whole", F.when(F.col("candidate"), words_in(F.col("text")))).withColumn("blocks", F.when(F.col("candidate"), blocks))
     for k, t in enumerate(phrases):
         found = F.col("candidate") & _matches(F.col("whole"), t, order)
         rows = rows.withColumn(f"n{k}", F.when(found, F.regexp_count("text", F.lit(phrase_pattern(t.phrase)))).otherwise(0))
@@ -168,7 +192,8 @@ def oracle_sql(threshold: float = 0.8) -> str:
             own = t.phrase.split()
             places.append(f"list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(own) - 1}] = {listed(own)})")
         else:
-            shares.append((t.label, f"list_max(list_transform(lines, lambda l: CASE WHEN len(list_intersect(l, {listed(t.words)})) >= {t.least} THEN len(list_intersect(l, {listed(t.words)})) / {len(t.words)}.0 ELSE 0 END))"))
+            fits = f"(b.k = 1 OR len(b.l) <= {t.longest}) AND len(list_intersect(b.l, {listed(t.words)})) >= {t.least}"
+            shares.append((t.label, f"list_max(list_transform(blocks, lambda b: CASE WHEN {fits} THEN len(list_intersect(b.l, {listed(t.words)})) / {len(t.words)}.0 ELSE 0 END))"))
     labels = list(PHRASES.values())
     marks = [f"CASE WHEN len(p{k}) > 0 THEN '{x}' END" for k, x in enumerate(labels)]
     notes = [f"CASE WHEN s{k} > 0 THEN '{x}' END" for k, (x, _) in enumerate(shares)]
@@ -177,8 +202,9 @@ def oracle_sql(threshold: float = 0.8) -> str:
     best = ", ".join([f"CASE WHEN len(p{k}) > 0 THEN 1.0 ELSE 0.0 END" for k in range(len(labels))] + [f"coalesce(s{k}, 0)" for k in range(len(shares))])
     return f"""
 WITH t AS (SELECT doc_id, regexp_extract_all({lower}, '{letter}') AS w,
-    list_transform(string_split({lower}, chr(10)), lambda l: regexp_extract_all(l, '{letter}')) AS lines FROM documents),
-p AS (SELECT *, {', '.join(f'{x} AS p{k}' for k, x in enumerate(places))}, {', '.join(f'{x} AS s{k}' for k, (_, x) in enumerate(shares))} FROM t)
+    list_filter(list_transform(string_split({lower}, chr(10)), lambda l: regexp_extract_all(l, '{letter}')), lambda l: len(l) > 0) AS lines FROM documents),
+b AS (SELECT *, flatten(list_transform(range(1, {RUN} + 1), lambda k: list_transform(range(1, len(lines) - k + 2), lambda i: {{'k': k, 'l': flatten(lines[i:i + k - 1])}}))) AS blocks FROM t),
+p AS (SELECT *, {', '.join(f'{x} AS p{k}' for k, x in enumerate(places))}, {', '.join(f'{x} AS s{k}' for k, (_, x) in enumerate(shares))} FROM b)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len({every}) AS BIGINT) AS n_base,
   CAST(list_min({every}) - 1 AS BIGINT) AS first_word, CAST(list_max({every}) - 1 AS BIGINT) AS last_word,
   {joined(marks)} AS base_labels, {joined(marks + notes)} AS labels, CAST(greatest({best}) AS DOUBLE) AS score

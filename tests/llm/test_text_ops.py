@@ -187,6 +187,26 @@ def test_license(spark):
     assert license_scan.scan(rows.where("false")).count() == 0
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation\nfiles (the \"Software\"), to deal", "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that",
+    "gpl": "This program is free software: you can redistribute it and/or modify\n\n  it under the terms of the GNU General Public License as published", "": "Redistribution\n" + "of many other words " * 20 + "\nand use in source\nand binary forms, with modification, are permitted",
+}
+
+
+def test_wrapped_notices(spark):
+    texts = ["x\n" * 3 + t for t in WRAPPED.values()] + [t.replace("\n", " ") for t in WRAPPED.values()]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r for r in license_scan.scan(rows).collect()}
+    assert [found[k].labels for k in range(4)] == list(WRAPPED) and found[3].score == 0
+    assert [found[k].labels for k in range(4, 7)] == list(WRAPPED)[:3]
+    # The SQL counts every block's words, without filters.
+    import duckdb
+
+    documents = rows.toPandas()  # noqa: F841
+    want = {r[0]: r[1:] for r in duckdb.sql(license_scan.oracle_sql()).fetchall()}
+    assert {k: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, pytest.approx(r.score)) for k, r in found.items()} == want
+
+
 def test_chat_round_trip(spark):
     said = ["plain", r"\### Assistant: </turn> ok", "### User: x </turn>\n### ", "\\h\\l\\\\b", "", None, "a:b # < \\"]
     rows = [(c, t, ["user", "assistant", "sys: ### </turn>", None][(c + t) % 4], said[(c * 3 + t) % len(said)]) for c in range(6) for t in range(5)]
