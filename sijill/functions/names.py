@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,11 +34,20 @@ NO_NAME = (
 ARABIC = r"[\u0600-\u06FF]"
 
 
-def _nfkc(text: Column) -> Column:
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+#: What NFKC changes in names: Arabic presentation forms, full-width signs and blanks; and letters that a mark behind them changes.
+COMPATIBLE = "[\\u00a0\\u2000-\\u200a\\u202f\\u3000\\ufb50-\\ufdff\\ufe70-\\ufefe\\uff01-\\uff5e]"
+_FORMS = {chr(c): unicodedata.normalize("NFKC", chr(c)) for a, b in ((0xA0, 0xA0), (0x2000, 0x200A), (0x202F, 0x202F), (0x3000, 0x3000), (0xFB50, 0xFDFF), (0xFE70, 0xFEFE), (0xFF01, 0xFF5E)) for c in range(a, b + 1)}
+_COMPOSED = {x: y for c in range(0x0620, 0x06D6) for m in "\u0653\u0654\u0655" for x in [chr(c) + m] for y in [unicodedata.normalize("NFC", x)] if x != y}
+
 
-    return F.pandas_udf(normal, "string")(text)
+def _nfkc(text: Column) -> Column:
+    """NFKC of a text of Arabic letters, full-width signs and blanks; most texts pass by the first look."""
+    forms = F.create_map(*[F.lit(x) for form, plain in _FORMS.items() if form != plain for x in (form, plain)])
+    spelled = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(forms, c), c))
+    text = F.when(text.rlike(COMPATIBLE), F.array_join(spelled, "")).otherwise(text)
+    for pair, letter in _COMPOSED.items():
+        text = F.replace(text, F.lit(pair), F.lit(letter))
+    return text
 
 
 def trimmed(text: Column) -> Column:
@@ -50,9 +58,8 @@ def single_spaced(text: Column) -> Column:
     return trimmed(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def key(text: Column, nfkc: bool = False) -> Column:
-    """The conservative identity key. Empty for null. nfkc: for sources that may hold presentation forms; Spark has no
-    such function, so that one step runs in Arrow batches."""
+def key(text: Column, nfkc: bool = True) -> Column:
+    """The conservative identity key. Empty for null. nfkc: presentation forms count as the letters they show."""
     text = F.coalesce(text, F.lit(""))
     text = F.translate(F.regexp_replace(_nfkc(text) if nfkc else text, MARKS, ""), ALEFS, ALEF * len(ALEFS))
     text = F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), r"(?U)^[\d٠-٩]+\s*[\-–.]\s*", "")
@@ -66,7 +73,7 @@ def soft_of_key(keyed: Column) -> Column:
     return single_spaced(F.replace(text, F.lit("عبد ال"), F.lit("عبدال")))
 
 
-def soft(text: Column, nfkc: bool = False) -> Column:
+def soft(text: Column, nfkc: bool = True) -> Column:
     return soft_of_key(key(text, nfkc))
 
 
@@ -142,7 +149,7 @@ def similarity_bound(n_a: Column, n_b: Column) -> Column:
     return F.when(n_a == n_b, 1.0).otherwise((F.lit(0.56) + F.lit(0.44) * fewer / more) * F.greatest(F.lit(0.55), F.lit(1.0) - (more - fewer) * 0.13))
 
 
-def ocr_key(text: Column, nfkc: bool = False) -> Column:
+def ocr_key(text: Column, nfkc: bool = True) -> Column:
     """A reading's key when readings vote."""
     text = F.translate(_nfkc(text) if nfkc else text, "٠١٢٣٤٥٦٧٨٩", "0123456789")
     return trimmed(F.regexp_replace(text, "(?U)[\\s\u200e\u200f]+", " "))
