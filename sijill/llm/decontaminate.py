@@ -1,11 +1,10 @@
 """Benchmark decontamination: a containment search for short test items inside long documents.
 
-Items are partitioned by size (their number of distinct shingles n). A document contains an item if it holds
-at least ceil(t n) of them, so it misses at most n - ceil(t n); the item's MinHash signature is its
-n - ceil(t n) + 1 smallest shingle hashes, and any containing document holds one of those. All shingles of
-every document are looked up in the signatures (no sketch of the document, so its length costs no recall); a
-document that is too short for the partition's smallest item is left out. Candidate documents are verified by counting shared
-shingles as text.
+An item has n distinct shingles. A document contains it if it holds at least ceil(t n) of them, so it misses at most n - ceil(t n);
+the item's signature is its n - ceil(t n) + 1 smallest shingle hashes, so its length follows from the item's size, and any
+containing document holds one of those. All shingles of every document are looked up in the signatures of all sizes by one
+join (no sketch of the document, so its length costs no recall); a document with fewer words than an item needs shingles is left
+out. Candidate documents are verified by counting shared shingles as text.
 
 Words are runs of letters (ASCII or beyond) and digits, in lower case; an item of fewer words than a shingle
 is one shingle of them all.
