@@ -85,7 +85,9 @@ def extract(text: Column) -> Column:
     year_first = F.transform(F.regexp_extract_all(text, F.lit(YEAR_FIRST), F.lit(0)), lambda raw: _found(raw, YEAR_FIRST, (1, 2, 3)))
     day_first = F.transform(F.regexp_extract_all(text, F.lit(DAY_FIRST), F.lit(0)), lambda raw: _found(raw, DAY_FIRST, (3, 2, 1)))
     legal = F.filter(F.concat(year_first, day_first), lambda x: x["date"].isNotNull())
-    return F.filter(legal, lambda x, i: F.array_position(F.transform(legal, lambda y: y["date"]), x["date"]) == i + 1)
+    # A fold binds each date once: an expression that stands twice would search the text again for every date.
+    empty = F.array().cast("array<struct<date:int,raw:string,repaired:boolean>>")
+    return F.aggregate(legal, empty, lambda found, x: F.when(F.exists(found, lambda y: y["date"] == x["date"]), found).otherwise(F.concat(found, F.array(x))))
 
 
 def evidence(date: Column, repaired: Column, confidence: Column, agreement: Column, association: Column, hint: Column | None = None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that keys leave out or unify.
@@ -42,7 +42,8 @@ _COMPOSED = {x: y for c in range(0x0620, 0x06D6) for m in "\u0653\u0654\u0655" f
 
 def _nfkc(text: Column) -> Column:
     """NFKC of a text of Arabic letters, full-width signs and blanks; most texts pass by the first look."""
-    forms = F.create_map(*[F.lit(x) for form, plain in _FORMS.items() if form != plain for x in (form, plain)])
+    # One literal: a name's key stands many times in a plan.
+    forms = F.str_to_map(F.lit("\x01".join(f"{form}\x02{plain}" for form, plain in _FORMS.items() if form != plain)), F.lit("\x01"), F.lit("\x02"))
     spelled = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(forms, c), c))
     text = F.when(text.rlike(COMPATIBLE), F.array_join(spelled, "")).otherwise(text)
     for pair, letter in _COMPOSED.items():
@@ -143,6 +144,14 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(empty, 0.0).otherwise(similarity(key(a), key(b), soft_a, soft_b, tokens(soft_a), tokens(soft_b)))
 
 
+def with_similarity(df: DataFrame, a: Column, b: Column, name: str) -> DataFrame:
+    """df with the similarity of two texts. Keys, soft keys and words are columns first, so none is computed twice."""
+    df = df.withColumns({"_empty": F.coalesce(a, F.lit("")).eqNullSafe("") | F.coalesce(b, F.lit("")).eqNullSafe(""), "_ka": key(a), "_kb": key(b)})
+    df = df.withColumns({"_sa": soft_of_key(F.col("_ka")), "_sb": soft_of_key(F.col("_kb"))}).withColumns({"_wa": tokens(F.col("_sa")), "_wb": tokens(F.col("_sb"))})
+    score = similarity(*[F.col(c) for c in ("_ka", "_kb", "_sa", "_sb", "_wa", "_wb")])
+    return df.withColumn(name, F.when(F.col("_empty"), 0.0).otherwise(score)).drop("_empty", "_ka", "_kb", "_sa", "_sb", "_wa", "_wb")
+
+
 def similarity_bound(n_a: Column, n_b: Column) -> Column:
     """The most that names of so many words can score, equal keys aside."""
     fewer, more = F.least(n_a, n_b), F.greatest(n_a, n_b)

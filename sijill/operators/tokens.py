@@ -93,7 +93,8 @@ def vote_groups(readings: DataFrame) -> DataFrame:
 
 
 def voted(readings: DataFrame) -> DataFrame:
-    """One token a group: the key with most sources, then most confidence, then the longest wins; the losers stay as alternatives."""
+    """One token a group: the key with most sources, then most confidence, then the longest wins, then the first read, then the
+    smallest; the losers stay as alternatives."""
     rows = written(vote_groups(readings), "votes").withColumn("ord", F.struct(cy().alias("cy"), (-F.col("x")).alias("right"), "source"))
     best = F.max_by(F.struct("text", "confidence"), F.struct("confidence", "source")).alias("best")
     keys = rows.groupBy("page", "grp", "key").agg(
@@ -101,7 +102,7 @@ def voted(readings: DataFrame) -> DataFrame:
         *[F.avg(c).alias(c) for c in ("x", "y", "w", "h")],
     )
     sources = rows.groupBy("page", "grp").agg(F.count_distinct("source").alias("all_sources"))
-    order = Window.partitionBy("page", "grp").orderBy(F.desc("n_sources"), F.desc("total"), F.desc(F.char_length("key")), "ord")
+    order = Window.partitionBy("page", "grp").orderBy(F.desc("n_sources"), F.desc(F.round("total", 9)), F.desc(F.char_length("key")), "ord", "key")
     ranked = keys.withColumn("place", F.row_number().over(order))
     losers = ranked.where("place > 1").groupBy("page", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "best"))), lambda a: a["best"]).alias("alternatives"))
     won = ranked.where("place = 1").join(sources, ["page", "grp"]).join(losers, ["page", "grp"], "left")

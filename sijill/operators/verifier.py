@@ -56,9 +56,10 @@ def confirm_targets(targets: DataFrame, answers: DataFrame) -> DataFrame:
     a = answers.select(F.col("row_id").alias("id"), *[F.col(c).alias(f"r_{c}") for c in ("transcription", "selected_candidate", "confidence", "legible")])
     rows = targets.join(a, "id", "left")
     selected = F.col("r_selected_candidate")
+    rows = names.with_similarity(names.with_similarity(rows, F.col("original_name"), selected, "_local"), F.col("r_transcription"), selected, "_read")
     chosen = F.coalesce(F.get(F.filter("candidates", lambda c: c["name"] == selected), F.lit(0))["confidence"], F.lit(0.0))
-    local = names.name_similarity(F.col("original_name"), selected)
-    alike = (names.key(F.col("r_transcription")) == names.key(selected)) | (names.name_similarity(F.col("r_transcription"), selected) >= ALIKE)
+    local = F.col("_local")
+    alike = (names.key(F.col("r_transcription")) == names.key(selected)) | (F.col("_read") >= ALIKE)
     agreed = (
         F.col("r_legible") & (F.col("r_confidence") >= LEGIBLE) & (selected != "") & (selected == F.coalesce("matched_master_name", F.lit(""))) & (F.col("status") != identity.AMBIGUOUS)
         & (chosen >= SELECTED) & (identity.candidate_gap() >= identity.GAP) & (local >= LOCAL) & alike
@@ -97,9 +98,10 @@ def confirm_rows(page_rows: DataFrame, answers: DataFrame) -> DataFrame:
     """Roster rows after second readings, with hybrid_decision: the name must agree for its confidence, and equal dates for theirs."""
     a = answers.select("row_id", *[F.col(c).alias(f"r_{c}") for c in ("transcription", "selected_candidate", "dates", "confidence", "legible")])
     rows = page_rows.withColumn("row_id", row_id()).join(a, "row_id", "left")
-    same_name = (names.key(F.col("r_transcription")) == names.key(F.col("original_name"))) | (names.name_similarity(F.col("r_transcription"), F.col("original_name")) >= ALIKE)
+    rows = names.with_similarity(rows, F.col("r_transcription"), F.col("original_name"), "_read").withColumn("_local", _local_dates())
+    same_name = (names.key(F.col("r_transcription")) == names.key(F.col("original_name"))) | (F.col("_read") >= ALIKE)
     named = F.coalesce(F.col("r_legible") & (F.col("r_confidence") >= LEGIBLE) & (F.col("r_selected_candidate") == F.col("original_name")) & same_name, F.lit(False))
-    local = _local_dates()
+    local = F.col("_local")
     dated = F.coalesce((F.size(local) > 0) & (local == normalized_dates(F.col("r_dates"))), F.lit(False))
     rows = rows.withColumns({"_named": named, "_dated": dated, "_none": F.size(local) == 0})
     both = F.col("_named") & F.col("_dated")
