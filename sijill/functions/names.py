@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,11 @@ _FORMS = {chr(c): unicodedata.normalize("NFKC", chr(c)) for a, b in ((0xA0, 0xA0
 _COMPOSED = {x: y for c in range(0x0620, 0x06D6) for m in "\u0653\u0654\u0655" for x in [chr(c) + m] for y in [unicodedata.normalize("NFC", x)] if x != y}
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _nfkc(text: Column) -> Column:
     """NFKC of a text of Arabic letters, full-width signs and blanks; most texts pass by the first look."""
     # One literal: a name's key stands many times in a plan.
@@ -62,7 +68,7 @@ def single_spaced(text: Column) -> Column:
 def key(text: Column, nfkc: bool = True) -> Column:
     """The conservative identity key. Empty for null. nfkc: presentation forms count as the letters they show."""
     text = F.coalesce(text, F.lit(""))
-    text = F.translate(F.regexp_replace(_nfkc(text) if nfkc else text, MARKS, ""), ALEFS, ALEF * len(ALEFS))
+    text = F.translate(F.regexp_replace(_bound(text, _nfkc) if nfkc else text, MARKS, ""), ALEFS, ALEF * len(ALEFS))
     text = F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), r"(?U)^[\d٠-٩]+\s*[\-–.]\s*", "")
     text = F.regexp_replace(F.regexp_replace(text, FOREIGN, " "), rf"(?U)\s+({'|'.join(TRAILING_RANKS)})\s*$", "")
     return single_spaced(text)
@@ -175,7 +181,10 @@ def clean_cell(text: Column) -> Column:
 
 
 def is_rank(text: Column) -> Column:
-    keyed = key(text)
+    return _bound(key(text), _is_rank_key)
+
+
+def _is_rank_key(keyed: Column) -> Column:
     return keyed.isin(*RANKS, "اول", "أول") | keyed.rlike(r"(?U)^و\.?\s*رقيب$") | keyed.startswith("جندي") | keyed.startswith("جندى")
 
 
@@ -185,11 +194,12 @@ def _digits(text: Column) -> Column:
 
 def is_name_cell(text: Column) -> Column:
     """Whether a roster cell reads like a person's name."""
-    cleaned = clean_cell(text)
-    keyed = key(cleaned)
-    words = F.size(tokens(keyed))
+    return _bound(clean_cell(text), lambda cleaned: _bound(key(cleaned), lambda keyed: _is_name(cleaned, keyed)))
+
+
+def _is_name(cleaned: Column, keyed: Column) -> Column:
     wrong = is_rank(keyed) | keyed.rlike(HEADER) | cleaned.rlike(DATE_IN_CELL) | cleaned.rlike(ROW_NUMBER) | (_digits(cleaned) >= 4)
-    return (F.char_length(keyed) >= 6) & words.between(2, 6) & ~wrong & keyed.rlike(ARABIC + "{3,}")
+    return (F.char_length(keyed) >= 6) & F.size(tokens(keyed)).between(2, 6) & ~wrong & keyed.rlike(ARABIC + "{3,}")
 
 
 def strip_fields(text: Column) -> Column:
@@ -201,6 +211,9 @@ def strip_fields(text: Column) -> Column:
 
 def is_target_name(text: Column) -> Column:
     """Whether a line of a target list reads like a person's name."""
-    keyed = key(strip_fields(text))
+    return _bound(key(strip_fields(text)), _is_target_key)
+
+
+def _is_target_key(keyed: Column) -> Column:
     words = tokens(keyed)
     return (F.char_length(keyed) >= 6) & F.size(words).between(2, 6) & ~keyed.rlike(NO_NAME) & (_digits(keyed) == 0) & F.forall(words, lambda w: w.rlike(ARABIC))
