@@ -30,6 +30,10 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 MARKED, SPREAD = 18, np.uint64(0xD6E8FEB86659FD93)
 
 
+#: Characters from which a word advances alone, and characters of it whose pieces are looked up at a time.
+LONG, STRIPE = 512, 1 << 17
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Pieces by length: sorted 64-bit keys, and for each key its id, score and code points."""
@@ -66,6 +70,47 @@ class Vocabulary:
         return out
 
 
+def long_path(chars: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The best path of one long word, as `viterbi` gives it for equal-length ones. A step for all words at once would be a step
+    for this one, so the pieces of a stripe are looked up together, and only those that occur are walked through: time in
+    proportion to the length, with the same sums and the same choice among equals."""
+    n, longest = len(chars), vocabulary.longest
+    piece, back = np.full(n, -1, np.int32), np.zeros(n, np.int16)
+    scores = [-np.inf] * (longest - 1) + [0.0]  # of the last `longest` ends before a stripe
+    for a in range(0, n, STRIPE):
+        b, low = min(n, a + STRIPE), max(0, a - longest + 1)
+        own, key, found = chars[low:b], None, []
+        for length in range(1, min(longest, b - low) + 1):
+            tail = own[length - 1 :].astype(np.uint64) + np.uint64(1)
+            key = tail if key is None else key[:-1] * BASE + tail
+            windows = np.lib.stride_tricks.sliding_window_view(own, length)
+            at = vocabulary.probe(length, key, lambda hits, w=windows: w[hits])
+            start = np.arange(len(at)) if length == 1 else np.flatnonzero(at >= 0)
+            start = start[low + start + length > a]
+            at = at[start]
+            known = at >= 0
+            score, ids = np.full(len(at), vocabulary.unknown), np.full(len(at), -1, np.int32)
+            if known.any():
+                score[known], ids[known] = vocabulary.scores[length][at[known]], vocabulary.ids[length][at[known]]
+            found.append((low + start + length - 1 - a, np.full(len(at), length, np.int16), score, ids))
+        end, length, score, ids = (np.concatenate(part) for part in zip(*found))
+        order = np.lexsort((-length, end))
+        end, length, score, ids = end[order], length[order], score[order], ids[order]
+        scores += [-np.inf] * (b - a)
+        choice = [0] * (b - a)
+        for k, (e, back_to, s) in enumerate(zip(end.tolist(), (end - length + longest).tolist(), score.tolist())):
+            candidate = scores[back_to] + s
+            if candidate > scores[e + longest]:
+                scores[e + longest], choice[e] = candidate, k
+        back[a:b], piece[a:b] = length[choice], ids[choice]
+        scores = scores[-longest:]
+    used, at = np.zeros(n, np.int16), n
+    while at > 0:
+        used[at - 1] = back[at - 1]
+        at -= int(back[at - 1])
+    return piece, used
+
+
 def mark_of(keys: np.ndarray) -> np.ndarray:
     return keys * SPREAD >> np.uint64(64 - MARKED)
 

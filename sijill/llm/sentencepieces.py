@@ -3,7 +3,8 @@
 The distinct pre-tokens of a few MB of text are grouped by length; all words of a length advance together,
 a character at a time. Hashes of all substrings up to the longest piece are looked up in sorted piece keys
 (a hit is compared letter by letter), and the vectorised maximum over the pieces that end at a character is
-stored as a backpointer. Decoding joins the pieces and bytes and turns U+2581 back into blanks.
+stored as a backpointer; a word of more than pieces.LONG characters, which few others can equal, is walked
+through alone, with the same sums. Decoding joins the pieces and bytes and turns U+2581 back into blanks.
 
 Defined results: a null text encodes to null and decodes to null, an empty one to no ids and back; decoding
 an encoded text gives the same text; equal scores keep the longest last piece; control ids decode to
@@ -74,6 +75,11 @@ def encode_words(words: pa.Array, vocabulary: pieces.Vocabulary) -> tuple[np.nda
     edges = np.flatnonzero(np.diff(lengths[order], prepend=-1, append=-1))
     for a, b in zip(edges[:-1], edges[1:]):
         n = int(lengths[order[a]])
+        if n > pieces.LONG:
+            for word in order[a:b]:
+                own = slice(offsets[word], offsets[word + 1])
+                piece[own], used[own] = pieces.long_path(cps[own], vocabulary)
+            continue
         for start in range(a, b, max(1, CELLS // n)):
             at = offsets[order[start : min(b, start + max(1, CELLS // n))], None] + np.arange(n)
             piece[at], used[at] = viterbi(cps[at], vocabulary)

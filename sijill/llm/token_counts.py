@@ -3,7 +3,8 @@
 The distinct pre-tokens of a few MB of text are inserted in a trie, a level of all of them at a time. The
 unigram forward score (and with it the number of tokens) of a prefix is computed once, at its node, from
 the nodes up to a piece's length above it; the node at which a pre-token ends holds its count, and a
-document's count is the sum over its pre-tokens.
+document's count is the sum over its pre-tokens. A pre-token of more than pieces.LONG characters is scored
+alone, in time proportional to its length.
 
 Defined results: a null or empty text has 0 tokens; equal scores keep the longest last piece; unknown
 characters count their UTF-8 bytes; repeated rows are rows; other columns pass through, except ones named
@@ -30,6 +31,11 @@ def counts(words: pa.Array, vocabulary: pieces.Vocabulary) -> np.ndarray:
     cps, offsets = pieces.spelled(words)
     lengths = np.diff(offsets)
     out = np.zeros(len(words), dtype=np.int64)
+    for word in np.flatnonzero(lengths > pieces.LONG):  # beyond that depth hardly a prefix is shared
+        own = cps[offsets[word] : offsets[word + 1]]
+        piece, used = pieces.long_path(own, vocabulary)
+        out[word] = np.where(used > 0, np.where(piece < 0, pieces.byte_count(own), 1), 0).sum()
+    lengths = np.where(lengths > pieces.LONG, 0, lengths)
     order = np.argsort(-lengths, kind="stable")  # the words still open at a level stand first
     open_at = np.searchsorted(-lengths[order], -np.arange(1, lengths.max(initial=0) + 1), side="right")
     node = np.zeros(len(words), dtype=np.int64)  # of each word, in the level above

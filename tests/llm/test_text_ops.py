@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -78,12 +79,15 @@ def best_path(word, scores, unknown):
     return out[::-1]
 
 
-def test_pieces_match_brute_force():
+@pytest.mark.parametrize(("long", "stripe"), [(512, 1 << 17), (4, 7), (1, 1)])
+def test_pieces_match_brute_force(monkeypatch, long, stripe):
+    monkeypatch.setattr(pieces, "LONG", long)
+    monkeypatch.setattr(pieces, "STRIPE", stripe)
     v = pieces.load()
     scores = {"".join(map(chr, chars)): s for length in v.keys for chars, s in zip(v.spelled[length], v.scores[length])}
     number = {p: i for i, p in enumerate(v.pieces)}
     rng = random.Random(5)
-    words = ["hello", "international", "éclair", "x", "日本", "qqqqqqqqqqqqqqqqqqqqqqqq", *("".join(rng.choice("thesandingerlo") for _ in range(rng.randint(1, 20))) for _ in range(300))]
+    words = ["hello", "international", "éclair", "x", "日本", "qqqqqqqqqqqqqqqqqqqqqqqq", *("".join(rng.choice("thesandingerlo") for _ in range(rng.randint(1, 20))) for _ in range(300)), "a" * 700, "".join(rng.choice("aehinorst") for _ in range(1500))]
     ids, ends = sentencepieces.encode_words(pa.array([f" {w}".encode() for w in words], pa.large_binary()), v)
     counts = token_counts.counts(pa.array([f" {w}".encode() for w in words], pa.large_binary()), v)
     for k, w in enumerate(words):
@@ -92,6 +96,17 @@ def test_pieces_match_brute_force():
         assert ids[ends[k] : ends[k + 1]].tolist() == want and counts[k] == len(want), w
 
 
+def test_long_words_take_time_in_proportion():
+    """A million characters without a blank: minutes, were each one a numpy step."""
+    v, rng = pieces.load(), np.random.default_rng(1)
+    word = pa.array([b" " + rng.integers(97, 123, 1_000_000, dtype=np.uint8).tobytes()], pa.large_binary())
+    start = time.monotonic()
+    ids, ends = sentencepieces.encode_words(word, v)
+    assert token_counts.counts(word, v).tolist() == np.diff(ends).tolist()
+    assert sentencepieces.decode_batch(ids, ends, v)[0] == word[0].as_py()[1:]
+    assert time.monotonic() - start < 90
+
+
 def test_round_trip(spark):
     docs = edge_docs(spark, ["Ünïcode — “quotes”\r\n\ttabs", "🎉" * 40])
     coded = sentencepieces.encode(docs, restored="ok")
