@@ -1,17 +1,18 @@
 """Benchmark decontamination: a containment search for short test items inside long documents.
 
-An item has n distinct shingles. A document contains it if it holds at least ceil(t n) of them, so it misses at most n - ceil(t n);
-the item's signature is its n - ceil(t n) + 1 smallest shingle hashes, so its length follows from the item's size, and any
-containing document holds one of those. All shingles of every document are looked up in the signatures of all sizes by one
-join (no sketch of the document, so its length costs no recall); a document with fewer words than an item needs shingles is left
-out. Candidate documents are verified by counting shared shingles as text.
+Items are partitioned by size, the number n of their distinct shingles. Partition s holds the sizes for which n - ceil(t n) + 1 = s (at
+t = 0.8: 1 to 4, 5 to 9, 10 to 14, ...), and its items' MinHash signatures are their s smallest shingle hashes. A document that contains
+an item holds at least ceil(t n) of its shingles, so it misses at most s - 1 and holds one of the signature: every partition has full
+recall. A document with fewer words than the partition's smallest item needs shingles isn't searched for in it. Documents have
+no sketch, all their shingles are looked up, so their length costs no recall; one join serves all partitions. Candidates are verified by
+counting shared shingles as text.
 
 Words are runs of letters (ASCII or beyond) and digits, in lower case; an item of fewer words than a shingle
 is one shingle of them all.
 
 Defined results: items and documents without words match nothing; repeated rows and rows that share an id
-count as one document or item; rows without an id are not searched (and are kept by `decontaminate`); other
-columns are not read here, so clashing names do no harm.
+count as one document or item; `contaminated` doesn't search rows without an id; `decontaminate` decides by text,
+whatever the ids, and keeps rows without text; other columns are not read here, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -49,13 +50,16 @@ def item_shingles(items: DataFrame, item_id: str, text: str, n: int) -> tuple[Da
 
 
 def signatures(shingles: DataFrame, threshold: float) -> DataFrame:
-    """(key, item_id, least): the smallest hashes of each item, as many as its size asks for."""
+    """(key, item_id, least): the smallest hashes of each item, as many as its size partition's signatures have, and the fewest
+    shingles that an item of the partition needs."""
     # The shingle's words are hashed one by one, as in the documents.
     w = F.split("shingle", " ")
     key = F.coalesce(*[F.when(F.size(w) == k, F.xxhash64(*[F.get(w, F.lit(j)) for j in range(k)])) for k in range(1, 6)])
     sized = shingles.withColumn("key", key).groupBy("item_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    sized = sized.withColumn("least", F.ceil(F.size("keys") * threshold - 1e-9).cast("int"))
-    return sized.select("item_id", "least", F.explode(F.slice("keys", F.lit(1), F.size("keys") - F.col("least") + 1)).alias("key"))
+    needed = F.ceil(F.size("keys") * threshold - 1e-9).cast("int")
+    parted = written(sized.select("item_id", "keys", needed.alias("needed"), (F.size("keys") - needed + 1).alias("part")), "item-parts")
+    bounds = parted.groupBy("part").agg(F.min("needed").alias("least"))
+    return parted.join(bounds, "part").select("item_id", "least", F.explode(F.slice("keys", F.lit(1), F.col("part"))).alias("key"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -85,9 +89,12 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drops the documents that contain a benchmark item."""
-    leaked = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(broadcast_if_small(written(leaked, "leaked"), F.lit(16)), "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: drops the documents whose text contains a benchmark item. A text is known by its 128-bit digest, so rows without
+    an id are searched too, and a clean text doesn't go because another row has its id."""
+    digest = "_" + max(docs.columns, key=len)  # no column has that name
+    keyed = docs.withColumn(digest, F.unhex(F.md5("text")))
+    leaked = contaminated(keyed, table(spark, sf_dir, "benchmark"), doc_id=digest).select(F.col("doc_id").alias(digest)).distinct()
+    return keyed.join(broadcast_if_small(written(leaked, "leaked"), F.lit(32)), digest, "left_anti").select(*docs.columns)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,6 +162,32 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(d, i.where("false")).count() == decontaminate.contaminated(d.where("false"), i).count() == 0
 
 
+def test_size_partitions(spark):
+    """An item that a document holds at the threshold exactly is found in every partition, whichever shingles are missing."""
+    rng = random.Random(8)
+    items = {n: [f"w{n}x{j}" for j in range(n + 4)] for n in range(1, 31)}  # n distinct shingles each
+    docs = []
+    for n, words in items.items():
+        spare = n - math.ceil(0.8 * n - 1e-9)
+        for cut in {0, spare, rng.randint(0, spare)}:  # the first shingles go, the last ones, or some of both
+            docs.append((len(docs), " ".join(["a", *words[cut : len(words) - (spare - cut)], "b"]), n))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string, n int"), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id int, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, i).collect()}
+    assert found == {(k, n) for k, _, n in docs}
+    parts = {r.item_id: r.n for r in decontaminate.signatures(decontaminate.item_shingles(i, "item_id", "text", 5)[0], 0.8).groupBy("item_id").count().withColumnRenamed("count", "n").collect()}
+    assert parts == {n: n // 5 + 1 for n in items}
+
+
+def test_decontamination_decides_by_text(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    leak = "so: One two three four five six seven!"
+    rows = [(None, leak, "a"), (None, "clean", "b"), (7, leak, "c"), (7, "clean too", "d"), (8, None, "e"), (None, None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    kept = decontaminate.decontaminate(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(r.item_id for r in kept.collect()) == ["b", "d", "e", "f"]
+    assert decontaminate.decontaminate(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((40, 24))
