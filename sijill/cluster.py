@@ -33,6 +33,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """df as a side of a join that sorts both. Spark takes arrays, exploded rows and small files for far smaller than their rows, and would
+    collect them in the driver to send them to all executors."""
+    return df.hint("merge")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once an application: they needn't have it installed."""
     context = spark.sparkContext

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import written
+from ..cluster import sorted_side, written
 from ..functions import hijri
 
 #: Statuses of a ranked row.
@@ -63,8 +63,7 @@ def numbered(df: DataFrame, bucket: Column, order: list[str], name: str, weight:
     totals = totals.select("_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     within = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     counted = df.withColumn("_within", F.coalesce(F.sum(weight).over(within), F.lit(0)))
-    same = counted["_bucket"].eqNullSafe(totals["_bucket"])
-    return counted.join(totals.withColumnRenamed("_bucket", "_of"), counted["_bucket"].eqNullSafe(F.col("_of"))).withColumn(name, (F.col("_offset") + F.col("_within")).cast("long")).drop("_bucket", "_of", "_within", "_offset")
+    return counted.join(F.broadcast(totals.withColumnRenamed("_bucket", "_of")), counted["_bucket"].eqNullSafe(F.col("_of"))).withColumn(name, (F.col("_offset") + F.col("_within")).cast("long")).drop("_bucket", "_of", "_within", "_offset")
 
 
 def classes(people: DataFrame) -> DataFrame:
@@ -76,7 +75,7 @@ def prefix_pairs(found: DataFrame) -> DataFrame:
     """(seq, size, prefix, prefix_size): each class with each class whose history is a proper prefix of its own."""
     prefixes = F.filter(F.transform(F.sequence(F.lit(1), F.size("seq")), lambda k: F.slice("seq", F.lit(1), k)), lambda p: F.size(p) < F.size("seq"))
     cut = found.select("seq", "size", F.explode(prefixes).alias("prefix"))
-    return cut.join(found.select(F.col("seq").alias("prefix"), F.col("size").alias("prefix_size")), "prefix")
+    return cut.join(sorted_side(found.select(F.col("seq").alias("prefix"), F.col("size").alias("prefix_size"))), "prefix")
 
 
 def bounds(found: DataFrame) -> DataFrame:
@@ -85,10 +84,10 @@ def bounds(found: DataFrame) -> DataFrame:
     pre = pairs.groupBy("seq").agg(F.sum("prefix_size").alias("pre"), F.min_by("prefix", F.size("prefix")).alias("root"))
     ext = pairs.groupBy(F.col("prefix").alias("seq")).agg(F.sum("size").alias("ext"))
     ranked = numbered(found, F.get("seq", F.lit(0)), ["seq"], "less", F.col("size"))
-    joined = ranked.join(pre, "seq", "left").join(ext, "seq", "left").fillna(0, ["pre", "ext"])
+    joined = ranked.join(sorted_side(pre), "seq", "left").join(sorted_side(ext), "seq", "left").fillna(0, ["pre", "ext"])
     joined = joined.withColumn("root", F.coalesce("root", "seq"))
     roots = joined.select(F.col("seq").alias("root"), F.col("less").alias("root_less"))
-    return joined.join(roots, "root").select(
+    return joined.join(sorted_side(roots), "root").select(
         "seq", "size", "less", "pre", "ext",
         (F.col("less") - F.col("pre") + 1).alias("rank_min"),
         (F.col("less") + F.col("ext") + 1).alias("rank_max"),
@@ -102,7 +101,7 @@ def rank_people(people: DataFrame) -> DataFrame:
     without dates share the place after all others. Other columns pass through."""
     people = written(people.withColumn("seq", history(F.col("dates"))).drop("dates"), "people")
     found = written(bounds(written(classes(people), "classes")), "bounds")
-    dated = people.where(F.size("seq") > 0).join(found, "seq")
+    dated = people.where(F.size("seq") > 0).join(sorted_side(found), "seq")
     open_ = (F.col("pre") + F.col("ext")) > 0
     dated = dated.select(
         *people.columns, "rank", "rank_min", "rank_max", (~open_).alias("rank_exact"),
@@ -133,7 +132,7 @@ def unresolved_names(people: DataFrame) -> DataFrame:
     members = people.where(F.size("seq") > 0)
     pairs = prefix_pairs(classes(people)).select("seq", "prefix")
     both = pairs.select("seq", F.col("prefix").alias("peer")).unionByName(pairs.select(F.col("prefix").alias("seq"), F.col("seq").alias("peer")))
-    named = both.join(members.select(F.col("seq").alias("peer"), "original_name"), "peer")
+    named = both.join(sorted_side(members.select(F.col("seq").alias("peer"), "original_name")), "peer")
     return named.groupBy("seq").agg(F.array_sort(F.collect_list("original_name")).alias("unresolved_with"))
 
 
@@ -159,7 +158,7 @@ def versus_previous(ranked: DataFrame) -> DataFrame:
     """Adds `vs_previous`, struct<previous, level, prev_date, this_date> where the row above decides, and `is_first`. The row
     above is found by its position, not by one sorted task."""
     above = ranked.select((F.col("position") + 1).alias("position"), F.struct("original_name", "seq", "status", "rank").alias("above"))
-    joined = ranked.join(above, "position", "left")
+    joined = ranked.join(sorted_side(above), "position", "left")
     compared = compare(F.col("above.seq"), F.col("seq"))
     told = (F.col("status") != NO_DATES) & ~F.col("status").eqNullSafe(UNRESOLVED) & F.col("above").isNotNull() & ~F.col("above.status").isin(UNRESOLVED, NO_DATES) & (F.col("rank") != F.col("above.rank"))
     note = F.struct(F.col("above.original_name").alias("previous"), compared["level"].alias("level"), hijri.display(compared["date_a"]).alias("prev_date"), hijri.display(compared["date_b"]).alias("this_date"))
@@ -176,7 +175,7 @@ def explained(ranked: DataFrame, detail: bool = False) -> DataFrame:
     empty = F.array().cast("array<string>")
     ranked = written(ranked, "ranked")
     tied = ranked.where(F.col("status") == TIE).groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("normalized_name", "id", "original_name"))).alias("_tied"))
-    rows = versus_previous(ranked).join(unresolved_names(ranked), "seq", "left").join(tied, "seq", "left")
+    rows = versus_previous(ranked).join(sorted_side(unresolved_names(ranked)), "seq", "left").join(sorted_side(tied), "seq", "left")
     rows = rows.withColumn("unresolved_with", F.coalesce("unresolved_with", empty)).withColumn("_tied", F.transform("_tied", lambda x: x["original_name"]))
     if detail:
         pairs = with_precedence(ranked).select("id", "strictly_before", "strictly_after")

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cluster import sorted_side
 from .functions import hijri, names
 from .operators import evidence as ev
 from .operators import identity, ranking, tokens, verifier
@@ -441,7 +442,7 @@ def segment_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 SELECT id, CASE WHEN rank_min = rank_max THEN CAST(CAST(rank_min AS BIGINT) AS VARCHAR) ELSE CAST(rank_min AS BIGINT) || '–' || CAST(rank_max AS BIGINT) END || '. ' || name || ' — أحدث: ' || printf('%04d/%02d/%02d', seq[1] // 10000, seq[1] // 100 % 100, seq[1] % 100) || ' (' || len(seq) || ' تاريخ) — ' || status AS line FROM p JOIN r USING (seq)""")
 def export_text_rows(spark, sf_dir):
     ranked = ranking.rank_people(people(spark, sf_dir, "month"))
-    return exports.text_rows(ranked).join(ranked.select("position", "id"), "position").select("id", "line")
+    return exports.text_rows(ranked).join(sorted_side(ranked.select("position", "id")), "position").select("id", "line")
 
 
 @register("master_index", f"WITH {sql_people('day')}, n AS (SELECT id, name, seq, row_number() OVER (ORDER BY name) AS m FROM p) SELECT m, name, '' AS rank_title, CAST(id % 9 AS VARCHAR) || '، ' || CAST(id % 9 + 1 AS VARCHAR) AS pages, array_to_string(list_transform(seq, lambda d: printf('%04d/%02d/%02d', d // 10000, d // 100 % 100, d % 100)), ' | ') AS dates FROM n")
