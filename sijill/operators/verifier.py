@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import sorted_side
 from ..functions import hijri, names
 from . import identity
 
@@ -33,7 +34,7 @@ def readings(payloads: DataFrame, asked: DataFrame) -> DataFrame:
         "batch", "nth", text("row_id").alias("row_id"), text("transcription").alias("transcription"), text("selected_candidate").alias("selected_candidate"),
         F.expr("try_variant_get(v, '$.dates', 'array<string>')").alias("dates"), F.expr("try_variant_get(v, '$.confidence', 'double')").alias("confidence"), F.expr("try_variant_get(v, '$.legible', 'boolean')").alias("legible"),
     )
-    offered = checked.join(asked.select("row_id", "candidates"), "row_id").where((F.char_length("transcription") <= LONGEST) & ((F.col("selected_candidate") == "") | F.array_contains("candidates", F.col("selected_candidate"))))
+    offered = checked.join(sorted_side(asked.select("row_id", "candidates")), "row_id").where((F.char_length("transcription") <= LONGEST) & ((F.col("selected_candidate") == "") | F.array_contains("candidates", F.col("selected_candidate"))))
     order = Window.partitionBy("row_id").orderBy("batch", "nth")
     dates = F.array_distinct(F.filter(F.transform("dates", names.trimmed), lambda d: d != ""))
     first = offered.withColumn("place", F.row_number().over(order)).where("place = 1")
