@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import ship, written
+from ..cluster import ship, sorted_side, written
 from ..functions import names
 
 #: A token's group by its first token.
@@ -105,7 +105,7 @@ def voted(readings: DataFrame) -> DataFrame:
     order = Window.partitionBy("page", "grp").orderBy(F.desc("n_sources"), F.desc(F.round("total", 9)), F.desc(F.char_length("key")), "ord", "key")
     ranked = keys.withColumn("place", F.row_number().over(order))
     losers = ranked.where("place > 1").groupBy("page", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "best"))), lambda a: a["best"]).alias("alternatives"))
-    won = ranked.where("place = 1").join(sources, ["page", "grp"]).join(losers, ["page", "grp"], "left")
+    won = ranked.where("place = 1").join(sorted_side(sources), ["page", "grp"]).join(sorted_side(losers), ["page", "grp"], "left")
     score = F.least(F.lit(1.0), F.col("best.confidence") * 0.55 + F.col("mean") * 0.25 + F.col("n_sources") / F.greatest(F.lit(1), "all_sources") * 0.20)
     alone = (F.col("n_sources") == 1) & (F.col("all_sources") > 1)
     return won.select(
@@ -127,7 +127,7 @@ def clustered_rows(tokens: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataF
     start = F.struct(F.lit(None).cast("double").alias("centre"), F.lit(0).alias("row"), F.array().cast("array<int>").alias("rows"))
     folded = heights.select("page", F.explode(F.arrays_zip("heights", F.aggregate("heights", start, step, lambda s: s["rows"]).alias("rows"))).alias("z"))
     rows = folded.select("page", F.col("z.heights").alias("_cy"), F.col("z.rows").alias("row")).distinct()
-    return tokens.withColumn("_cy", cy()).join(rows, ["page", "_cy"]).drop("_cy")
+    return tokens.withColumn("_cy", cy()).join(sorted_side(rows), ["page", "_cy"]).drop("_cy")
 
 
 def columns(rules: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def columns(rules: DataFrame) -> DataFrame:
     nth = Window.partitionBy("page").orderBy("x")
     every = Window.partitionBy("page")
     lines = rules.select("page", "x", F.row_number().over(nth).alias("i"), F.count(F.lit(1)).over(every).alias("n"), F.min("x").over(every).alias("first"), F.max("x").over(every).alias("last")).where(F.col("n") >= RULES)
-    side = lambda name: lines.select("page", F.col("x").alias(name), F.col("i").alias(f"{name}_i"))
+    side = lambda name: sorted_side(lines.select("page", F.col("x").alias(name), F.col("i").alias(f"{name}_i")))
     right = lines.where((F.col("x") >= 0.90) & (F.col("i") >= 5)).select("page", F.col("x").alias("right"), F.col("i").alias("right_i"), "first", "last")
     found = (
         right.join(side("name_right"), "page").where((F.col("name_right_i") < F.col("right_i")) & (F.col("name_right_i") >= 3) & (F.col("right") - F.col("name_right")).between(0.025, 0.115))
@@ -160,7 +160,7 @@ def bands(boundaries: DataFrame) -> DataFrame:
 def in_bands(tokens: DataFrame, boundaries: DataFrame, grid: DataFrame) -> DataFrame:
     """tokens with row (a struct that orders like the page) and association: how surely the row is one person's. A band with several
     baselines in the name column is cut between them. Pages without any row in a band fall back to clustered rows."""
-    placed = tokens.withColumns({"cy": cy(), "cx": cx()}).join(bands(boundaries), "page").where((F.col("cy") >= F.col("top")) & (F.col("cy") < F.col("bottom"))).join(grid, "page")
+    placed = tokens.withColumns({"cy": cy(), "cx": cx()}).join(sorted_side(bands(boundaries)), "page").where((F.col("cy") >= F.col("top")) & (F.col("cy") < F.col("bottom"))).join(sorted_side(grid), "page")
     is_name = (F.col("cx") >= F.col("name_left")) & (F.col("cx") <= F.col("name_right")) & F.col("text").rlike(names.ARABIC)
 
     def step(centres: Column, c: Column) -> Column:
@@ -171,11 +171,11 @@ def in_bands(tokens: DataFrame, boundaries: DataFrame, grid: DataFrame) -> DataF
     centres = F.aggregate("heights", F.array().cast("array<double>"), lambda s, c: F.when(F.size(s) == 0, F.array(c)).otherwise(step(s, c)))
     by_band = placed.groupBy("page", "band").agg(F.array_sort(F.collect_list(F.when(is_name, F.col("cy")))).alias("heights")).select("page", "band", centres.alias("centres"))
     cuts = F.transform(F.filter("centres", lambda c, i: i > 0), lambda c, i: (F.get("centres", i) + c) / 2)
-    placed = placed.join(by_band, ["page", "band"])
+    placed = placed.join(sorted_side(by_band), ["page", "band"])
     part = F.size(F.filter(cuts, lambda cut: cut <= F.col("cy")))
     found = placed.withColumns({"row": F.struct("band", part.alias("part")), "association": F.when(F.size("centres") <= 1, WHOLE_ROW).otherwise(SPLIT_ROW)})
     kept = [*tokens.columns, "cy", "cx", "row", "association", "notes_right", "name_left", "name_right"]
-    loose = clustered_rows(tokens.join(found.select("page").distinct(), "page", "left_anti")).withColumns({"cy": cy(), "cx": cx(), "row": F.struct(F.col("row").alias("band"), F.lit(0).alias("part")), "association": F.lit(LOOSE_ROW)}).join(grid, "page", "left")
+    loose = clustered_rows(tokens.join(sorted_side(found.select("page").distinct()), "page", "left_anti")).withColumns({"cy": cy(), "cx": cx(), "row": F.struct(F.col("row").alias("band"), F.lit(0).alias("part")), "association": F.lit(LOOSE_ROW)}).join(sorted_side(grid), "page", "left")
     return found.select(*kept).unionByName(loose.select(*kept))
 
 
@@ -288,15 +288,15 @@ def highlight_scores(tokens: DataFrame, pixels: DataFrame, sizes: DataFrame) ->
     width, height). Pixels are found by page and row of the box."""
     c = cy()
     edge = lambda value, size: F.floor(value * F.col(size)).cast("int")
-    boxes = tokens.withColumn("_id", F.monotonically_increasing_id()).join(sizes, "page").withColumns({
+    boxes = tokens.withColumn("_id", F.monotonically_increasing_id()).join(sorted_side(sizes), "page").withColumns({
         "_left": F.greatest(F.lit(0), edge(F.col("x") - PADDING, "width")), "_right": F.least(F.col("width"), edge(F.col("x") + F.col("w") + PADDING, "width")),
         "_top": F.greatest(F.lit(0), edge(c - F.col("h") / 2 - PADDING, "height")), "_bottom": F.least(F.col("height"), edge(c + F.col("h") / 2 + PADDING, "height")),
     })
     rows = boxes.where((F.col("_right") > F.col("_left")) & (F.col("_bottom") > F.col("_top"))).select("page", "_left", "_right", F.explode(F.sequence("_top", F.col("_bottom") - 1)).alias("py"), "text", "x", "y")
     coloured = F.col("hue").between(*HUES) & (F.col("saturation") >= SATURATION) & (F.col("value") >= VALUE)
-    inside = rows.join(pixels, ["page", "py"]).where((F.col("px") >= F.col("_left")) & (F.col("px") < F.col("_right")))
+    inside = rows.join(sorted_side(pixels), ["page", "py"]).where((F.col("px") >= F.col("_left")) & (F.col("px") < F.col("_right")))
     share = inside.groupBy("page", "text", "x", "y").agg(F.avg(coloured.cast("int")).alias("highlight"))
-    return tokens.join(share, ["page", "text", "x", "y"], "left").fillna(0.0, ["highlight"])
+    return tokens.join(sorted_side(share), ["page", "text", "x", "y"], "left").fillna(0.0, ["highlight"])
 
 
 def clustered_axis(marked: DataFrame, size: Column, merge: float = 0.006) -> DataFrame:
@@ -313,7 +313,7 @@ def ruled(dark: DataFrame, along: str, across: str, length: Column) -> DataFrame
     window = F.greatest(F.lit(RULE_PIXELS), F.floor(length * RULE_WINDOW)).cast("int")
     runs = Window.partitionBy("page", across).orderBy(along)
     summed = dark.withColumn("_window", window).withColumn("_sum", F.sum(F.col("dark").cast("int")).over(runs))
-    lagged = summed.alias("a").join(summed.select("page", F.col(across), (F.col(along) + F.col("_window")).alias(along), F.col("_sum").alias("_before")).alias("b"), ["page", across, along], "left")
+    lagged = summed.alias("a").join(summed.select("page", F.col(across), (F.col(along) + F.col("_window")).alias(along), F.col("_sum").alias("_before")).hint("merge").alias("b"), ["page", across, along], "left")
     whole = F.col(along) + 1 >= F.col("_window")
     share = (F.col("_sum") - F.coalesce("_before", F.lit(0))) / F.col("_window")
     return lagged.where(whole).groupBy("page", F.col(across).alias("index")).agg(F.max(share).alias("share")).where(F.col("share") >= RULE_SHARE).select("page", "index")
