@@ -20,6 +20,7 @@ A conversation is one text, so one row: the only state that grows with it.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,6 +112,11 @@ def canonical_turns(records: DataFrame, payload: str = "payload", layouts: tuple
     checked = F.when(F.try_parse_json(F.col(payload)).isNull() & (F.octet_length(F.col(payload)) > LONGEST), too_long).otherwise(F.col(payload))
     parsed = records.select(checked.alias("payload")).select(F.try_parse_json("payload").alias("r"), "payload")
     marked = parsed.withColumn("fingerprint", fingerprint(F.col("r")))
+    return mapped_turns(marked, layouts, F.expr("try_variant_get(r, '$.conv_id', 'bigint')"))
+
+
+def mapped_turns(marked: DataFrame, layouts: tuple[Layout, ...], conv_id: Column) -> DataFrame:
+    """canonical_turns of records r with their fingerprint: it selects the mapping."""
     layout, turns = F.lit(None).cast("string"), F.expr("cast(null as array<struct<turn: bigint, role: string, text: string>>)")
     for known in reversed(layouts):
         chosen = F.col("fingerprint") == hashlib.sha256(known.paths.encode()).hexdigest()
@@ -118,7 +124,7 @@ def canonical_turns(records: DataFrame, payload: str = "payload", layouts: tuple
     role = F.coalesce(F.col("t.role"), F.lit(""))
     names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     return (
-        marked.select(F.expr("try_variant_get(r, '$.conv_id', 'bigint')").alias("conv_id"), layout.alias("layout"), turns.alias("turns"))
+        marked.select(conv_id.alias("conv_id"), layout.alias("layout"), turns.alias("turns"))
         .select("conv_id", "layout", F.posexplode_outer("turns").alias("position", "t"))
         .select("conv_id", "layout", F.col("t.turn").alias("turn"), "position", F.when(F.col("layout") == "conversations", F.coalesce(names[role], role)).otherwise(role).alias("role"), F.coalesce(F.col("t.text"), F.lit("")).alias("text"))
     )
@@ -165,13 +171,23 @@ def records_of(conversations: DataFrame) -> DataFrame:
     return conversations.select(F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("payload"))
 
 
-def turns_of_rows(conversations: DataFrame) -> DataFrame:
-    """canonical_turns of rows of (conv_id, turn, role, text): the columns' names are the record's field paths, and select the
-    layout; the texts don't pass through JSON, so they may have any length."""
-    paths = ",".join(sorted(["conv_id", "turn", "role", "text"]))
-    layout = next(known.name for known in LAYOUTS if known.paths == paths)
-    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    return conversations.select(F.col("conv_id").cast("bigint"), F.lit(layout).alias("layout"), F.col("turn").cast("bigint"), F.lit(0).alias("position"), said("role"), said("text"))
+def turns_of_rows(conversations: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """canonical_turns of rows whose columns are a record's fields: each row's field paths make its fingerprint, which selects the
+    mapping, and that reads the columns. The texts don't pass through JSON, so they may have any length."""
+    rows = conversations.select(F.struct("conv_id", "turn", "role", "text").alias("r"))
+    # Paths don't depend on values, so a record without its texts has the same ones.
+    bare = F.to_variant_object(F.struct(*[F.when(F.col(f"r.{c}").isNotNull(), F.lit("")).alias(c) for c in rows.schema["r"].dataType.names]))
+    return mapped_turns(rows.withColumn("fingerprint", fingerprint(bare)), tuple(Layout(x.name, x.paths, of_columns(x.turns)) for x in layouts if fits(x, rows.schema["r"].dataType.names)), F.col("r.conv_id").cast("bigint"))
+
+
+def fits(layout: Layout, columns: list[str]) -> bool:
+    """Whether a layout's mapping can read these columns."""
+    return set(re.findall(r"'\$\.(\w+)'", layout.turns)) <= set(columns)
+
+
+def of_columns(turns: str) -> str:
+    """A layout's mapping, over a struct `r` instead of a variant."""
+    return re.sub(r"try_variant_get\(r, '\$\.(\w+)', '([^']+)'\)", r"try_cast(r.\1 as \2)", turns)
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,3 +260,14 @@ def test_buffers():
     raw, offsets = text_buffers(pa.chunked_array([pa.array(["x", None, "é"]), pa.array(["", "yz"])]))
     assert raw.tobytes() == "xéyz".encode() and offsets.tolist() == [0, 1, 1, 3, 3, 5]
     assert hashlib.sha256(raw.tobytes()).hexdigest()
+
+
+def test_rows_pass_through_fingerprint_and_mapping(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, None, "b" * 100), (None, 2, "assistant", None)], "conv_id long, turn int, role string, text string")
+    turns = chat_format.turns_of_rows(rows)
+    listed = lambda df: sorted((str(r.conv_id), r.layout, r.turn, r.role, r.text) for r in df.collect())
+    assert listed(turns) == listed(chat_format.canonical_turns(chat_format.records_of(rows))) and len(turns.collect()) == 3
+    # The mapping is the layout's own: another one of the same paths gives other turns, and without one a row has no layout.
+    swapped = chat_format.Layout("swapped", "conv_id,role,text,turn", f"array({chat_format._turn(chat_format._field('turn', 'bigint'), chat_format._field('text'), chat_format._field('role'))})")
+    assert ("1", "swapped", 0, "a", "user") in listed(chat_format.turns_of_rows(rows, (swapped,)))
+    assert {r.layout for r in chat_format.turns_of_rows(rows, ()).collect()} == {None}
