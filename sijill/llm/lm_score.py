@@ -6,9 +6,8 @@ the ids before it, and the id from its class: p(id | before) = p(class | before)
 the most frequent ids, one each, and clusters of the others by their neighbours.
 
 p(class | before) is one masked self-attention layer with a feed-forward layer, trained in numpy by Adam on windows of
-all training texts, every RATE-th window of each task's texts: in ROUNDS rounds every task descends over a share of these, and
-the tasks' weights are averaged by their windows. (A corpus of fewer than STEPS batches is gone through repeatedly.) So what it is
-trained on grows with the corpus. The neighbours that make the clusters, p(id | class) and the base are counted in all
+all training texts, all of them: in ROUNDS rounds every task descends over a share of its texts' windows, and
+the tasks' weights are averaged by their windows. (A corpus of fewer than STEPS batches is gone through repeatedly.) The neighbours that make the clusters, p(id | class) and the base are counted in all
 training texts. Scoring cuts a text into windows of WINDOW ids that overlap by half; the attention is batched over windows
 and masked, and each id is scored once, in the window where it stands in the second half, so with half a window before it at
 least. The texts' ids are made once, and written.
@@ -43,8 +42,8 @@ from .sentencepieces import encode_words
 CHUNK = 4 << 20
 #: Bounds of what is sent to all workers: words, and bytes of a word.
 FREQUENT, FREQUENT_BYTES = 200_000, 32
-#: Every RATE-th window trains. Windows of a task that trains, at least; rounds; and parts in which neighbours and weights are summed.
-RATE, TASK_WINDOWS, ROUNDS, PARTS = 8, 20_000, 2, 64
+#: Windows of a task that trains, at least; rounds; and parts in which neighbours and weights are summed.
+TASK_WINDOWS, ROUNDS, PARTS = 20_000, 2, 64
 WINDOW, WIDTH, HIDDEN = 32, 16, 32
 OWN_CLASS, CLUSTERS = 48, 16
 STEPS, BATCH, SCORED = 300, 256, 64
@@ -117,9 +116,9 @@ def classes(beside: np.ndarray, place: np.ndarray, rng: np.random.Generator) ->
     return np.where(place < OWN_CLASS, place, OWN_CLASS + of)
 
 
-def windows(ids: np.ndarray, ends: np.ndarray, model: Model, rate: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, ends: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of id sequences (each with its end mark): inputs of each window, the ids to predict in its second half
-    (-1: none), and the sequence. Before a sequence stands the start mark, and half a window of padding. rate: every rate-th window alone."""
+    (-1: none), and the sequence. Before a sequence stands the start mark, and half a window of padding."""
     half, lengths = WINDOW // 2, np.diff(ends)
     count = -(-lengths // half)
     before = np.cumsum(count) - count
@@ -131,9 +130,9 @@ def windows(ids: np.ndarray, ends: np.ndarray, model: Model, rate: int = 1) -> t
     laid[np.repeat((heads + 1) * half + 1 - ends[:-1], lengths) + np.arange(len(ids))] = ids
     wanted = np.full(count.sum() * half, -1, np.int64)
     wanted[np.repeat(before * half - ends[:-1], lengths) + np.arange(len(ids))] = ids
-    of, rows = of[::rate], (np.arange(len(of)) + 2 * of)[::rate]
+    rows = np.arange(len(of)) + 2 * of
     laid = laid.reshape(-1, half)
-    return np.concatenate([laid[rows], laid[rows + 1]], axis=1), wanted.reshape(-1, half)[::rate], of
+    return np.concatenate([laid[rows], laid[rows + 1]], axis=1), wanted.reshape(-1, half), of
 
 
 def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -297,11 +296,10 @@ def id_groups(column: pa.Array, kind: type, most: int = 1 << 17) -> Iterator[tup
 
 def trained(sequences: DataFrame, n_windows: int, model: Model, seed: int = 5) -> Model:
     """The model trained on the windows of the sequences (ids: binary)."""
-    total = n_windows // RATE + 1
     if not n_windows or not STEPS:
         return model
-    sequences = sequences.coalesce(max(1, total // TASK_WINDOWS))
-    repeats, rate = -(-STEPS * BATCH // total), min(RATE, max(1, n_windows // (STEPS * BATCH)))
+    sequences = sequences.coalesce(max(1, n_windows // TASK_WINDOWS))
+    repeats = -(-STEPS * BATCH // n_windows)
     kind, shapes = kind_of(model), {k: x.shape for k, x in model.weights.items()}
 
     def flat(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -317,7 +315,7 @@ def trained(sequences: DataFrame, n_windows: int, model: Model, seed: int = 5) -
             rng, mine = np.random.default_rng(seed + turn), []
             for batch in batches:
                 for _, _, ids, ends in id_groups(batch.column(0), kind):
-                    inputs, targets, _ = windows(ids, ends, model, rate)
+                    inputs, targets, _ = windows(ids, ends, model)
                     mine.append((inputs[turn::ROUNDS].astype(kind), targets[turn::ROUNDS].astype(np.int32)))
             if not sum(len(x) for x, _ in mine):
                 return

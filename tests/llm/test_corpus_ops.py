@@ -376,3 +376,15 @@ def test_pipeline(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = written(stage(spark, docs, str(tmp_path)), name)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_lm_trains_on_every_window(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "STEPS", 1)
+    monkeypatch.setattr(lm_score, "BATCH", 8)
+    size, n = 300, 200
+    counts = np.ones(size)
+    place = lm_score.places(counts)
+    model = lm_score.untrained(np.zeros(size * 2 * (lm_score.OWN_CLASS + 1)), counts, place, np.random.default_rng(0))
+    rows = spark.createDataFrame([(bytearray(np.array([k, 250, 251, size - 1], lm_score.kind_of(model)).tobytes()),) for k in range(n)], "ids binary").coalesce(1)
+    after = lm_score.trained(rows, n, model)
+    assert (np.abs(after.weights["id"][:n]).sum(axis=1) > 0).all()  # each of these ids stands in one window
