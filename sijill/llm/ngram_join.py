@@ -11,7 +11,11 @@ with equal sets form one class, and only classes are joined:
 2. *Prefix filter.* A linked class shares at least ceil(percent/100 * n) n-grams with others; classes with
    fewer shared n-grams go. Of the rest, the first n - ceil(percent/100 * n) + 1 n-grams of the order are the
    prefix: linked classes share one. Prefix n-grams make buckets.
-3. *Pairs.* A bucket's members meet one pivot, the class whose n-grams are the most frequent on average, so m members
+3. *Pairs.* A bucket of few members, where all pairs are at most PAIRS times these, makes its pairs: those of sizes that can link, where
+   behind the n-gram's places there are enough others (the first common n-gram of linked classes has such places), and
+   where bitmaps of both classes' shared n-grams differ in no more bits than linked ones can. Of these pairs
+   each class is compared with one first, and with the others if they lie in different components then.
+   In other buckets the members meet one pivot, the class whose n-grams are the most frequent on average, so m members
    make m - 1 pairs. A pair's partial overlaps are counted segment by segment of the n-grams' order, and summed.
 4. *Next buckets.* Members that all link with their pivot p are done. Else let x and y be two members that link, and
    o(x) the overlap that x needs at least with any member, by their sizes. If x and y share no n-gram that p lacks, then
@@ -60,6 +64,8 @@ CHUNK = 3 << 20
 SEGMENTS = 4
 #: Pairs of a bucket for each of its members, up to which they are compared one by one.
 PAIRS = 16
+#: Longs of a bitmap of a class's shared n-grams.
+BITS = 16
 #: Bytes of a class key: the set's size, then the hash.
 SIZE_BYTES, KEY_BYTES = 4, 16
 
@@ -276,12 +282,61 @@ def ordered_classes(entries: DataFrame, percent: int) -> DataFrame:
     return whole.select("class_key", F.floor(-1000 * more / size_of(F.col("class_key"))).cast("long").alias("rank"), "tokens")
 
 
+def least_overlap(n: Column, m: Column, percent: int) -> Column:
+    """The n-grams that linked classes of n and m share at least."""
+    return F.floor(((n + m) * percent + 99 + percent) / (100 + percent)).cast("long")
+
+
 def first_buckets(classes: DataFrame, percent: int) -> DataFrame:
-    """(p, token, class_key, rank): the shared n-grams within each class's prefix; p: empty, of no pivot."""
+    """(p, token, class_key, rank, left): the shared n-grams within each class's prefix; p: empty, of no pivot; left: the class's n-grams from
+    this one on, in the order."""
     n = size_of(F.col("class_key"))
     prefix, alone = n - least_shared(n, percent) + 1, n - F.size("tokens")
     held = F.slice("tokens", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))
-    return classes.select(F.lit(b"").alias("p"), F.explode(held).alias("token"), "class_key", "rank")
+    placed = classes.select("class_key", "rank", F.size("tokens").alias("shared"), F.posexplode(held).alias("at", "token"))
+    return placed.select(F.lit(b"").alias("p"), "token", "class_key", "rank", (F.col("shared") - F.col("at")).alias("left"))
+
+
+def by_size(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The buckets of several members: those of few, and the others."""
+    sizes = buckets.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    sized = buckets.join(sizes.where("n > 1"), "token")
+    few = F.col("n") - 1 <= 2 * PAIRS
+    return sized.where(few), sized.where(~few)
+
+
+def possible(few: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(q, x): of small buckets, the pairs that can link by size, by the place of their n-gram, and by their bitmaps."""
+    one, other = few.select("token", F.col("class_key").alias("q"), F.col("left").alias("left_q")), few.select("token", F.col("class_key").alias("x"), F.col("left").alias("left_x"))
+    n_q, n_x = size_of(F.col("q")), size_of(F.col("x"))
+    placed = F.least("left_q", "left_x") >= least_overlap(n_q, n_x, percent)
+    met = one.join(other, "token").where((F.col("q") < F.col("x")) & (n_q * 100 >= n_x * percent) & placed).select("q", "x").distinct()
+    return alike(written(met, "possible"), classes, percent)
+
+
+def with_bits(classes: DataFrame) -> DataFrame:
+    """classes with `bits`: of each place in a bitmap, whether an odd number of the shared n-grams lies there."""
+    schema = T.StructType([*classes.schema.fields, T.StructField("bits", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, rows = batch.column("tokens"), len(batch)
+            of, places = np.repeat(np.arange(rows), tokens.value_lengths().to_numpy()), tokens.flatten().to_numpy() & (64 * BITS - 1)
+            odd = np.bincount(of * (64 * BITS) + places, minlength=rows * 64 * BITS) & 1
+            bits = np.packbits(odd.astype(bool)).view("<i8")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BITS), pa.array(bits))], names=schema.names)
+
+    return map_arrow(classes, run, schema)
+
+
+def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (q, x) whose bitmaps allow for a link: of shared n-grams that one of the two holds alone, there are as many as differing bits at least."""
+    own = classes.select("class_key", F.size("tokens").alias("shared"), "bits")
+    own = broadcast_if_small(own, F.lit(16 * BITS))
+    of = lambda c: own.select(F.col("class_key").alias(c), F.col("shared").alias(f"{c}_shared"), F.col("bits").alias(f"{c}_bits"))
+    apart = sum((F.bit_count(F.col("q_bits")[k].bitwiseXOR(F.col("x_bits")[k])) for k in range(BITS)), F.lit(0))
+    needed = least_overlap(size_of(F.col("q")), size_of(F.col("x")), percent)
+    return pairs.join(of("q"), "q").join(of("x"), "x").where(F.col("q_shared") + F.col("x_shared") - apart >= 2 * needed).select("q", "x")
 
 
 def met_pivots(buckets: DataFrame) -> DataFrame:
@@ -302,7 +357,7 @@ def compared(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     summed = partial.groupBy("q", "x", "least", "rank", "shared").agg(F.sum("part").alias("overlap"), F.flatten(F.collect_list("rest")).alias("rest"))
     n_q, n, overlap = size_of(F.col("q")), size_of(F.col("x")), F.col("overlap")
     linked = overlap * 100 >= (n_q + n - overlap) * percent
-    needed = F.floor(((n + F.greatest(F.col("least"), least_shared(n, percent))) * percent + 99 + percent) / (100 + percent)).cast("long")
+    needed = least_overlap(n, F.greatest(F.col("least"), least_shared(n, percent)), percent)
     prefix = (n - overlap) - F.greatest(needed - overlap, F.lit(1)) + 1
     held = F.greatest(prefix - (n - F.col("shared")), F.lit(0)).cast("int")
     return summed.select("q", "x", F.col("least").isNotNull().alias("pivot"), "rank", linked.alias("linked"), (overlap >= needed).alias("enough"), F.slice(F.sort_array("rest"), F.lit(1), held).alias("beyond"))
@@ -349,6 +404,13 @@ def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(labels.unionByName(fresh).join(renamed, "label", "left").select("v", F.coalesce("new", "label").alias("label")), "labels")
 
 
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (q, x) in different components."""
+    of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"{c}_label"))
+    named = pairs.join(of("q"), "q", "left").join(of("x"), "x", "left")
+    return named.where(F.coalesce("q_label", "q") != F.coalesce("x_label", "x")).select("q", "x")
+
+
 def several(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets that lie in several components: with their label, the most frequent one, and whether few pairs differ in it."""
     labelled = buckets.join(labels.select(F.col("v").alias("class_key"), "label"), "class_key", "left").withColumn("label", F.coalesce("label", "class_key"))
@@ -370,14 +432,20 @@ def differing(members: DataFrame, percent: int) -> DataFrame:
 
 def class_labels(entries: DataFrame, percent: int) -> DataFrame:
     """(v, label) of all classes that link with another one."""
-    classes = written(ordered_classes(entries, percent), "classes")
-    pairs = written(met_pivots(first_buckets(classes, percent)), "pairs")
+    classes = written(with_bits(ordered_classes(entries, percent)), "classes")
+    few, many = by_size(written(first_buckets(classes, percent), "buckets"))
+    waiting = written(possible(few, classes, percent), "waiting")
+    unbounded = F.lit(None).cast("long").alias("least")
+    pairs = met_pivots(many).unionByName(waiting.groupBy("x").agg(F.min("q").alias("q")).select("q", "x", unbounded))
+    pairs = written(pairs.groupBy("q", "x").agg(F.min("least").alias("least")), "pairs")
     labels = None
     while True:
         counted = written(compared(pairs, classes, percent), "compared")
         labels = joined(labels, counted.where("linked").select(F.col("q").alias("a"), F.col("x").alias("b")))
         members = several(next_buckets(counted, percent), labels)
-        fresh = met_pivots(members.where(~F.col("few"))).unionByName(differing(members.where("few"), percent).withColumn("least", F.lit(None).cast("long")))
+        fresh = met_pivots(members.where(~F.col("few"))).unionByName(differing(members.where("few"), percent).select("q", "x", unbounded))
+        if waiting is not None:
+            fresh, waiting = fresh.unionByName(apart(waiting, labels).join(pairs, ["q", "x"], "left_anti").select("q", "x", unbounded)), None
         pairs = written(fresh.groupBy("q", "x").agg(F.min("least").alias("least")), "pairs")
         if pairs.isEmpty():
             return labels

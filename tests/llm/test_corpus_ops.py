@@ -95,6 +95,24 @@ def test_hot_bucket_meets_its_pivot(spark, monkeypatch, percent, pairs):
     assert sum(b.count() for b in met) < 0.25 * len(texts) ** 2 / 2
 
 
+def test_chance_meetings_are_not_compared(spark, monkeypatch):
+    """Texts whose n-grams all occur in other texts by chance; only near copies are worth comparing."""
+    monkeypatch.setattr(ngram_join, "LEAST_FRAGMENTS", 4)
+    rng = random.Random(7)
+    texts = [[f"w{rng.randint(0, 8)}" for _ in range(rng.randint(80, 160))] for _ in range(60)]
+    for k in range(6):
+        own = list(texts[k])
+        own[rng.randrange(len(own))] = "w3"
+        texts.append(own)
+    met = []
+    monkeypatch.setattr(ngram_join, "compared", lambda pairs, *rest, f=ngram_join.compared: met.append(pairs) or f(pairs, *rest))
+    rows = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(rows).collect()}
+    sizes, labels = brute_components([" ".join(t) for t in texts], 3, 90)
+    assert found == {k: (sizes[k], labels[k]) for k in range(len(texts))} and labels[60:] == list(range(6))
+    assert sum(p.count() for p in met) <= 2 * 6
+
+
 def test_long_words_of_few_letters_differ(spark):
     """Words whose polynomial hash modulo 2 ** 64 is the same for every base."""
     texts = []
