@@ -23,8 +23,10 @@ with equal sets form one class, and only classes are joined:
    |x & p| >= o(x) and sizes that can link. Otherwise they share max(1, o(x) - |x & p|) n-grams that p lacks at least, and meet again in a bucket of
    (p, n-gram that p lacks), by the prefix of what they hold beyond p. What a group has in common stands in its pivot, and
    is gone in the next round. Pairs within a component can't change it, so buckets within one component go. In the
-   others the pairs of different components are compared, where these are at most PAIRS times the members; a bucket of
-   more meets its pivot again, as in step 3. Pivots stand in one order of all classes and rise along the rounds, so these end.
+   others the pairs of different components meet by size and bitmap, within a task and without a row for each, and those that can
+   link are compared. So the copies of one text that are too far from it, and the others, need no pivots of their own, of which
+   there would be more the more copies there are. A bucket with more such pairs than PAIRS times the members, or with more than MINORS
+   members outside its most frequent component, meets its pivot again, as in step 3. Pivots stand in one order of all classes and rise along the rounds, so these end.
 5. *Components* of the links by label propagation with pointer jumping, in tables.
 
 So the components are exact, the pairs are linear in the buckets, and nothing is capped. Links within a component aren't listed.
@@ -64,6 +66,8 @@ CHUNK = 3 << 20
 SEGMENTS = 4
 #: Pairs of a bucket for each of its members, up to which they are compared one by one.
 PAIRS = 16
+#: Members outside a bucket's most frequent component, up to which these meet all members by bitmap; rows of buckets in a task.
+MINORS, DEALT = 16_384, 8_192
 #: Longs of a bitmap of a class's shared n-grams.
 BITS = 16
 #: Bytes of a class key: the set's size, then the hash.
@@ -412,22 +416,71 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def several(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that lie in several components: with their label, the most frequent one, and whether few pairs differ in it."""
+    """The members of buckets that lie in several components, with their label."""
     labelled = buckets.join(labels.select(F.col("v").alias("class_key"), "label"), "class_key", "left").withColumn("label", F.coalesce("label", "class_key"))
     labelled = written(labelled.distinct(), "labelled")
-    n, members, equal = F.col("n"), F.sum("n"), F.sum(F.col("n") * F.col("n"))
-    sizes = labelled.groupBy("p", "token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("p", "token").agg(((members * members - equal) / 2 <= members * PAIRS).alias("few"), F.max(F.struct("n", "label"))["label"].alias("most"), F.count(n).alias("labels"))
-    return written(labelled.join(sizes.where("labels > 1").drop("labels"), ["p", "token"]), "several")
-
-
-def differing(members: DataFrame, percent: int) -> DataFrame:
-    """(q, x): the pairs of a bucket's members in different components, of sizes that can link."""
-    y = members.select("p", "token", F.col("class_key").alias("y"), F.col("label").alias("label_y"))
-    minor = members.where(F.col("label") != F.col("most"))
-    once = (F.col("label_y") == F.col("most")) | (F.col("class_key") < F.col("y"))
-    q, x = F.least("class_key", "y"), F.greatest("class_key", "y")
-    long_enough = size_of(q) * 100 >= size_of(x) * percent
-    return minor.join(y, ["p", "token"]).where((F.col("label") != F.col("label_y")) & once & long_enough).select(q.alias("q"), x.alias("x")).distinct()
+    split = labelled.groupBy("p", "token").agg(F.min("label").alias("smallest"), F.max("label").alias("largest")).where(F.col("smallest") != F.col("largest"))
+    return written(labelled.join(split.select("p", "token"), ["p", "token"]), "several")
+
+
+def next_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(q, x, least): of buckets in several components, the pairs to compare, or where these are many, the members with their pivot."""
+    own = broadcast_if_small(classes.select("class_key", F.size("tokens").alias("shared"), "bits"), F.lit(16 * BITS))
+    dealt = F.pmod(F.xxhash64("p", "token"), F.lit(max(1, members.count() // DEALT)))
+    pairs, minors = PAIRS, MINORS
+    return members.join(own, "class_key").groupBy(dealt).applyInArrow(lambda group: pairs_left(group, percent, pairs, minors), "q binary, x binary, least long")
+
+
+def pairs_left(group: pa.Table, percent: int, pairs: int, minors: int) -> pa.Table:
+    """next_pairs of the buckets of one task. Each member outside a bucket's most frequent component meets all members of other
+    components by size and bitmap. If there are more than `minors` such members, or more than `pairs` pairs for each member are left, all meet the pivot."""
+    column = lambda name: group.column(name).combine_chunks()
+    keys = np.frombuffer(b"".join(group.column("class_key").to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
+    size = np.ascontiguousarray(keys[:, :SIZE_BYTES]).view(">u4").ravel().astype(np.int64)
+    place = np.unique(keys.view(f"S{KEY_BYTES}").ravel(), return_inverse=True)[1]
+    token, rank, shared = (group.column(name).to_numpy().astype(np.int64) for name in ("token", "rank", "shared"))
+    pivot, label = (column(name).dictionary_encode().indices.to_numpy() for name in ("p", "label"))
+    bits = column("bits").flatten().to_numpy().reshape(-1, BITS).view(np.uint64)
+    order = np.lexsort((place, rank, token, pivot))
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = (token[order[1:]] != token[order[:-1]]) | (pivot[order[1:]] != pivot[order[:-1]])
+    heads = np.flatnonzero(new)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a, b in zip(heads[:-1], heads[1:]):
+        at = order[a:b]
+        found = differing(label[at], size[at], shared[at], bits[at], percent, pairs * len(at), minors)
+        if found is None:
+            out.append((np.full(len(at) - 1, at[0]), at[1:], np.full(len(at) - 1, size[at].min())))
+        else:
+            one, other = at[found[0]], at[found[1]]
+            swap = place[one] > place[other]
+            out.append((np.where(swap, other, one), np.where(swap, one, other), np.full(len(one), -1)))
+    q, x, least = (np.concatenate(part) for part in zip(*out))
+    return pa.table({"q": _binary(keys[q], np.arange(len(q) + 1)), "x": _binary(keys[x], np.arange(len(x) + 1)), "least": pa.array(least, mask=least < 0)})
+
+
+def differing(label: np.ndarray, size: np.ndarray, shared: np.ndarray, bits: np.ndarray, percent: int, most: int, minors: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The pairs of a bucket's members in different components that can link by size and bitmap; None if more than `most`, or too many to look at."""
+    own, inverse, counts = np.unique(label, return_inverse=True, return_counts=True)
+    minor = inverse != counts.argmax()
+    rest = np.flatnonzero(minor)
+    if len(rest) > minors:
+        return None
+    by_word, every, found, total = np.ascontiguousarray(bits.T), np.arange(len(label)), [(rest[:0], rest[:0])], 0
+    step = max(1, (1 << 18) // len(label))
+    for a in range(0, len(rest), step):
+        some = rest[a : a + step]
+        apart = np.zeros((len(some), len(label)), np.uint16)
+        for word in by_word:
+            apart += np.bitwise_count(word[some][:, None] ^ word)
+        one, other = np.nonzero(apart <= np.maximum(shared[some][:, None] + shared - 2 * (((size[some][:, None] + size) * percent + 99 + percent) // (100 + percent)), -1))
+        one = some[one]
+        able = (label[one] != label[other]) & (~minor[other] | (every[one] < every[other])) & (np.minimum(size[one], size[other]) * 100 >= np.maximum(size[one], size[other]) * percent)
+        found.append((one[able], other[able]))
+        total += int(able.sum())
+        if total > most:
+            return None
+    return tuple(np.concatenate(part) for part in zip(*found))
 
 
 def class_labels(entries: DataFrame, percent: int) -> DataFrame:
@@ -443,7 +496,7 @@ def class_labels(entries: DataFrame, percent: int) -> DataFrame:
         counted = written(compared(pairs, classes, percent), "compared")
         labels = joined(labels, counted.where("linked").select(F.col("q").alias("a"), F.col("x").alias("b")))
         members = several(next_buckets(counted, percent), labels)
-        fresh = met_pivots(members.where(~F.col("few"))).unionByName(differing(members.where("few"), percent).select("q", "x", unbounded))
+        fresh = next_pairs(members, classes, percent)
         if waiting is not None:
             fresh, waiting = fresh.unionByName(apart(waiting, labels).join(pairs, ["q", "x"], "left_anti").select("q", "x", unbounded)), None
         pairs = written(fresh.groupBy("q", "x").agg(F.min("least").alias("least")), "pairs")

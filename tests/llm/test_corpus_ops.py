@@ -95,6 +95,27 @@ def test_hot_bucket_meets_its_pivot(spark, monkeypatch, percent, pairs):
     assert sum(b.count() for b in met) < 0.25 * len(texts) ** 2 / 2
 
 
+def test_far_copies_of_a_text_need_no_rounds(spark, monkeypatch):
+    """Copies of one text, many of them too far from it to link: the rounds don't grow with their number."""
+    monkeypatch.setattr(ngram_join, "LEAST_FRAGMENTS", 4)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(base)]
+    for _ in range(420):
+        text = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 5])):
+            at = rng.randrange(len(text))
+            text[at : at + 1] = rng.choice([[], [f"e{rng.randint(0, 2)}"], [f"e{rng.randint(0, 900)}"]])
+        texts.append(" ".join(text))
+    met = []
+    monkeypatch.setattr(ngram_join, "compared", lambda pairs, *rest, f=ngram_join.compared: met.append(pairs.count()) or f(pairs, *rest))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(rows, n=5, percent=80).collect()}
+    sizes, labels = brute_components(texts, 5, 80)
+    assert found == {k: (sizes[k], labels[k]) for k in range(len(texts))} and len(set(labels)) > 40
+    assert len(met) == 2 and sum(met) <= 4 * len(texts)
+
+
 def test_chance_meetings_are_not_compared(spark, monkeypatch):
     """Texts whose n-grams all occur in other texts by chance; only near copies are worth comparing."""
     monkeypatch.setattr(ngram_join, "LEAST_FRAGMENTS", 4)
