@@ -46,7 +46,9 @@ FREQUENT, FREQUENT_BYTES = 200_000, 32
 TASK_WINDOWS, ROUNDS, PARTS = 20_000, 2, 64
 WINDOW, WIDTH, HIDDEN = 32, 16, 32
 OWN_CLASS, CLUSTERS = 48, 16
-STEPS, BATCH, SCORED = 300, 256, 64
+STEPS, BATCH = 300, 256
+#: Windows whose arrays a core's cache holds.
+BLOCK = 64
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -116,9 +118,9 @@ def classes(beside: np.ndarray, place: np.ndarray, rng: np.random.Generator) ->
     return np.where(place < OWN_CLASS, place, OWN_CLASS + of)
 
 
-def windows(ids: np.ndarray, ends: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, ends: np.ndarray, model: Model, among: slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of id sequences (each with its end mark): inputs of each window, the ids to predict in its second half
-    (-1: none), and the sequence. Before a sequence stands the start mark, and half a window of padding."""
+    (-1: none), and the sequence; of the windows among. Before a sequence stands the start mark, and half a window of padding."""
     half, lengths = WINDOW // 2, np.diff(ends)
     count = -(-lengths // half)
     before = np.cumsum(count) - count
@@ -131,8 +133,8 @@ def windows(ids: np.ndarray, ends: np.ndarray, model: Model) -> tuple[np.ndarray
     wanted = np.full(count.sum() * half, -1, np.int64)
     wanted[np.repeat(before * half - ends[:-1], lengths) + np.arange(len(ids))] = ids
     rows = np.arange(len(of)) + 2 * of
-    laid = laid.reshape(-1, half)
-    return np.concatenate([laid[rows], laid[rows + 1]], axis=1), wanted.reshape(-1, half), of
+    laid, rows = laid.reshape(-1, half), rows[among]
+    return np.concatenate([laid[rows], laid[rows + 1]], axis=1), wanted.reshape(-1, half)[among], of[among]
 
 
 def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -140,81 +142,157 @@ def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
 
 
-def embedding(w: dict[str, np.ndarray], class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tables by id: the embedding, and its key and value; a place adds its own to each, as all are linear."""
-    x = w["class"][class_of] + w["id"]
-    return x, x @ np.concatenate([w["k"], w["v"]], axis=1)
+@dataclass
+class Tables:
+    """What all windows share. A place adds to an embedding, its query, key and value, as all are linear."""
+
+    late: np.ndarray  # (ids, 2 WIDTH): the embedding and its query, scaled
+    both: np.ndarray  # (ids, 2 WIDTH): the key, and the value as the output takes it
+    late_place: np.ndarray
+    both_place: np.ndarray
+    query: np.ndarray  # matrices that lead from embeddings there
+    pair: np.ndarray
+    biases: tuple[np.ndarray, np.ndarray]  # a window's
+    far: bool  # whether a score may lie beyond BOUND
+
+
+def longest(x: np.ndarray) -> float:
+    """The largest norm of a row."""
+    return float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)))
+
 
+def embedding(w: dict[str, np.ndarray], class_of: np.ndarray) -> Tables:
+    half, x = WINDOW // 2, w["class"][class_of] + w["id"]
+    query, pair = w["q"] * np.asarray(WIDTH**-0.5, x.dtype), np.concatenate([w["k"], w["v"] @ w["o"]], axis=1)
+    late, both = np.concatenate([x, x @ query], axis=1), x @ pair
+    late_place, both_place = np.concatenate([w["place"][half:], w["place"][half:] @ query], axis=1), w["place"] @ pair
+    reach = (longest(late[:, WIDTH:]) + longest(late_place[:, WIDTH:])) * (longest(both[:, :WIDTH]) + longest(both_place[:, :WIDTH]))
+    return Tables(late, both, late_place, both_place, query, pair, (np.tile(w["up_bias"], half), np.tile(w["out_bias"], half)), not reach < BOUND)
 
-def forward(w: dict[str, np.ndarray], embedded: tuple[np.ndarray, np.ndarray], inputs: np.ndarray, pad: int) -> dict[str, np.ndarray]:
+
+def total(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, which stays, as a product."""
+    return times(x, np.ones((x.shape[-1], 1), x.dtype))
+
+
+def forward(w: dict[str, np.ndarray], tables: Tables, inputs: np.ndarray, pad: int, wanted: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Everything that the backward pass needs, and for the second half of each window the classes' logits and the log of
-    the sum of their exponents. Scores and logits are held to +-BOUND, which is far beyond what training reaches."""
-    half = WINDOW // 2
-    by_id, pairs = embedded
-    late = by_id.take(inputs[:, half:], axis=0)
-    late += w["place"][half:]
-    q = times(late, w["q"] * np.asarray(WIDTH**-0.5, w["q"].dtype))
-    both = pairs.take(inputs, axis=0)
-    both += w["place"] @ np.concatenate([w["k"], w["v"]], axis=1)
-    k, v = both[..., :WIDTH], both[..., WIDTH:]
+    the sum of their exponents. Scores and logits are held to +-BOUND, which is far beyond what training reaches.
+    wanted: places of the only logits to keep, if not all."""
+    n = len(inputs)
+    late = tables.late.take(inputs[:, WINDOW // 2 :], axis=0)
+    late += tables.late_place
+    both = tables.both.take(inputs, axis=0)
+    both += tables.both_place
+    q, k, v = late[..., WIDTH:], both[..., :WIDTH], both[..., WIDTH:]
     scores = q @ k.transpose(0, 2, 1)
-    np.clip(scores, -BOUND, BOUND, out=scores)
-    scores += MASK
+    if tables.far:
+        np.clip(scores, -BOUND, BOUND, out=scores)
+    np.exp(scores, out=scores)
+    scores *= SEEN
     padded = np.flatnonzero(inputs[:, 0] == pad)  # a window with padding behind the text has it after all its targets
     if len(padded):
-        scores[padded] += np.where(inputs[padded] == pad, -1e9, 0).astype(scores.dtype)[:, None, :]
-    np.exp(scores, out=scores)
-    scores /= times(scores, np.ones((WINDOW, 1), scores.dtype))
+        scores[padded] *= (inputs[padded] != pad)[:, None, :]
+    share = 1 / total(scores)
     mixed = scores @ v
-    h = late + times(mixed, w["o"])
-    act = np.maximum(times(h, w["up"]) + w["up_bias"], 0)
-    z = h + times(act, w["down"])
+    mixed *= share
+    h = mixed + late[..., :WIDTH]
+    act = times(h, w["up"])
+    rows = act.reshape(n, -1)
+    rows += tables.biases[0]
+    np.maximum(act, 0, out=act)
+    z = times(act, w["down"])
+    z += h
     logits = times(z, w["out"])
-    logits += w["out_bias"]
+    rows = logits.reshape(n, -1)
+    rows += tables.biases[1]
     np.clip(logits, -BOUND, BOUND, out=logits)
-    lse = np.log(times(np.exp(logits), np.ones((logits.shape[2], 1), logits.dtype)))[:, :, 0]
-    return {"late": late, "q": q, "k": k, "v": v, "a": scores, "mixed": mixed, "h": h, "act": act, "z": z, "logits": logits, "lse": lse}
+    hits = None if wanted is None else logits.reshape(-1).take(wanted)
+    odds = np.exp(logits) if wanted is None else np.exp(logits, out=logits)
+    sums = total(odds)
+    return {"q": q, "k": k, "v": v, "a": scores, "share": share, "mixed": mixed, "h": h, "act": act, "z": z, "logits": logits, "hits": hits, "odds": odds, "sums": sums, "lse": np.log(sums)[:, :, 0]}
 
 
 #: Of scores and logits: exp of it, summed over a window or the classes, is a float32.
 BOUND = 80.0
-MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(WINDOW // 2, WINDOW)[:, None], 0, -1e9).astype(np.float32)
+SEEN = (np.arange(WINDOW)[None, :] <= np.arange(WINDOW // 2, WINDOW)[:, None]).astype(np.float32)
 
 
-def backward(w: dict[str, np.ndarray], class_of: np.ndarray, inputs: np.ndarray, targets: np.ndarray, f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Gradients of the mean negative log-probability of the targets' classes."""
-    half = WINDOW // 2
-    real = targets >= 0
-    d = np.exp(f["logits"] - f["lse"][:, :, None])
-    rows, cols = np.nonzero(real)
-    d[rows, cols, class_of[targets[rows, cols]]] -= 1
-    d *= (real / max(1, real.sum()))[:, :, None].astype(np.float32)
+def back(w: dict[str, np.ndarray], wanted: np.ndarray, weight: np.ndarray, f: dict[str, np.ndarray], late: np.ndarray, both: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the sum of weighted negative log-probabilities of the wanted classes (by their places in the logits), for what is not
+    linear in the embeddings. late and both receive those for each place of a window, as in Tables. Uses up f's odds and mixed."""
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    g = {"out": flat(f["z"]).T @ flat(d), "out_bias": flat(d).sum(axis=0)}
-    dz = d @ w["out"].T
-    da = (dz @ w["down"].T) * (f["act"] > 0)
-    g |= {"down": flat(f["act"]).T @ flat(dz), "up": flat(f["h"]).T @ flat(da), "up_bias": flat(da).sum(axis=0)}
-    dh = dz + da @ w["up"].T
-    dm = dh @ w["o"].T
-    g["o"] = flat(f["mixed"]).T @ flat(dh)
-    dp = dm @ f["v"].transpose(0, 2, 1)
-    ds = f["a"] * (dp - (dp * f["a"]).sum(axis=2, keepdims=True))
-    dq, dk, dv = ds @ f["k"] * np.asarray(WIDTH**-0.5, dp.dtype), ds.transpose(0, 2, 1) @ f["q"], f["a"].transpose(0, 2, 1) @ dm
-    x = w["class"][class_of[inputs]] + w["id"][inputs] + w["place"]
-    g |= {"q": flat(f["late"]).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-    dx = dk @ w["k"].T + dv @ w["v"].T
-    dx[:, half:] += dh + dq @ w["q"].T
-    g["place"] = dx.sum(axis=0)
-    order = np.argsort(inputs, axis=None, kind="stable")
-    heads = np.flatnonzero(np.diff(inputs.reshape(-1)[order], prepend=-1))
-    own = np.add.reduceat(flat(dx)[order], heads, axis=0)  # of each id in the inputs
-    found = inputs.reshape(-1)[order[heads]]
-    g["id"], g["class"] = np.zeros_like(w["id"]), np.zeros_like(w["class"])
-    g["id"][found] = own
-    np.add.at(g["class"], class_of[found], own)
+    d, act = f["odds"], f["act"]
+    d *= weight[:, :, None] / f["sums"]
+    d.reshape(-1)[wanted] -= weight.reshape(-1)
+    one = np.ones((1, len(wanted)), d.dtype)
+    g = {"out": flat(f["z"]).T @ flat(d), "out_bias": (one @ flat(d))[0]}
+    dz = times(d, w["out"].T)
+    g["down"] = flat(act).T @ flat(dz)
+    da = times(dz, w["down"].T)
+    da *= act > 0
+    g |= {"up": flat(f["h"]).T @ flat(da), "up_bias": (one @ flat(da))[0]}
+    dz += times(da, w["up"].T)  # from here on of h
+    late[..., :WIDTH] = dz
+    f["mixed"] *= dz
+    own = total(f["mixed"])
+    own *= f["share"]
+    dz *= f["share"]
+    ds = dz @ f["v"].transpose(0, 2, 1)
+    ds -= own
+    ds *= f["a"]
+    np.matmul(ds, f["k"], out=late[..., WIDTH:])
+    np.matmul(ds.transpose(0, 2, 1), f["q"], out=both[..., :WIDTH])
+    np.matmul(f["a"].transpose(0, 2, 1), dz, out=both[..., WIDTH:])
     return g
 
 
+def by_id(inputs: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows of x by their ids, n ids in all; two columns are added as one complex number."""
+    inputs, wide = inputs.reshape(-1).astype(np.uint16 if n <= 1 << 16 else np.int64), x.shape[-1]  # short ids are sorted by digits
+    order = np.argsort(inputs, kind="stable")
+    inputs, pairs = inputs[order], x.reshape(-1, wide).view(np.complex64 if x.dtype == np.float32 else np.complex128)
+    heads = np.flatnonzero(np.concatenate([[True], inputs[1:] != inputs[:-1]]))
+    out = np.zeros((n, wide), x.dtype)
+    out[inputs[heads]] = np.add.reduceat(pairs.take(order, axis=0), heads, axis=0).view(x.dtype)
+    return out
+
+
+def whole(w: dict[str, np.ndarray], class_of: np.ndarray, inputs: np.ndarray, tables: Tables, late: np.ndarray, both: np.ndarray) -> dict[str, np.ndarray]:
+    """The other gradients, from late and both of all windows: summed by id and by place first, as all that follows is linear."""
+    half, x, d = WINDOW // 2, tables.late[:, :WIDTH], WIDTH
+    late_ids, both_ids = by_id(inputs[:, half:], late, len(x)), by_id(inputs, both, len(x))
+    one = np.ones((1, len(inputs)), late.dtype)
+    late_places, both_places = (one @ late.reshape(len(late), -1)).reshape(half, -1), (one @ both.reshape(len(both), -1)).reshape(WINDOW, -1)
+    of_query = x.T @ late_ids[:, d:] + w["place"][half:].T @ late_places[:, d:]
+    of_pair = x.T @ both_ids + w["place"].T @ both_places
+    g = {"q": of_query * np.asarray(d**-0.5, x.dtype), "k": of_pair[:, :d], "v": of_pair[:, d:] @ w["o"].T, "o": w["v"].T @ of_pair[:, d:]}
+    g["place"] = both_places @ tables.pair.T
+    g["place"][half:] += late_places[:, :d] + late_places[:, d:] @ tables.query.T
+    g["id"] = both_ids @ tables.pair.T + late_ids[:, :d] + late_ids[:, d:] @ tables.query.T
+    at = class_of[:, None] * d + np.arange(d)
+    g["class"] = np.bincount(at.reshape(-1), g["id"].reshape(-1), w["class"].size).reshape(w["class"].shape).astype(x.dtype)
+    return g
+
+
+def backward(w: dict[str, np.ndarray], class_of: np.ndarray, inputs: np.ndarray, targets: np.ndarray, f: dict[str, np.ndarray] | None = None, pad: int = -1) -> dict[str, np.ndarray]:
+    """Gradients of the mean negative log-probability of the targets' classes. f: the forward pass of all windows; without it, forward and
+    backward go BLOCK windows at a time, so that what a pass makes stays in a core's cache."""
+    tables, real = embedding(w, class_of), targets >= 0
+    kind, n_classes = tables.late.dtype, w["out"].shape[1]
+    wanted, weight = np.where(real, class_of[targets], 0), (real / max(1, real.sum())).astype(kind)
+    late, both = np.empty((len(inputs), WINDOW // 2, 2 * WIDTH), kind), np.empty((len(inputs), WINDOW, 2 * WIDTH), kind)
+    block, g = BLOCK if f is None else len(inputs), {}
+    steps = np.arange(block * WINDOW // 2) * n_classes
+    for a in range(0, len(inputs), block):
+        at = slice(a, a + block)
+        hit = wanted[at].reshape(-1)
+        hit = hit + steps[: len(hit)]
+        part = back(w, hit, weight[at], forward(w, tables, inputs[at], pad, hit) if f is None else f, late[at], both[at])
+        g = {k: g[k] + x for k, x in part.items()} if a else part
+    return g | whole(w, class_of, inputs, tables, late, both)
+
+
 def untrained(beside: np.ndarray, counts: np.ndarray, place: np.ndarray, rng: np.random.Generator) -> Model:
     """The model before training, of the ids' neighbours and counts."""
     end, start, pad = len(counts) - 1, len(counts), len(counts) + 1
@@ -236,20 +314,33 @@ def untrained(beside: np.ndarray, counts: np.ndarray, place: np.ndarray, rng: np
 def descend(model: Model, inputs: np.ndarray, targets: np.ndarray, picks: Iterator[np.ndarray], rates: list[float]) -> None:
     """Adam, a step for each rate and batch of places in the windows."""
     w = model.weights
-    first = {k: np.zeros_like(x) for k, x in w.items()}
-    second = {k: np.zeros_like(x) for k, x in w.items()}
+    names = [k for k in w if k != "id"]
+    ends = np.cumsum([0, *(w[k].size for k in names)])
+    dense = np.concatenate([w[k].reshape(-1) for k in names])
+    w |= {k: dense[a:b].reshape(w[k].shape) for k, a, b in zip(names, ends[:-1], ends[1:])}  # views: what changes dense changes them
+    first, second = ([np.zeros_like(dense), np.zeros_like(w["id"])] for _ in range(2))
+    place, occurs = np.zeros(len(w["id"]), np.int64), np.zeros(len(w["id"]), bool)
+
+    def moved(x: np.ndarray, g: np.ndarray, m: np.ndarray, v: np.ndarray, rate: float, step: int) -> None:
+        m += np.float32(0.1) * (g - m)
+        v += np.float32(0.01) * (g * g - v)
+        down = np.sqrt(v / np.float32(1 - 0.99**step))
+        down += np.float32(1e-8)
+        x -= m * np.float32(rate / (1 - 0.9**step)) / down
+
     for step, (rate, pick) in enumerate(zip(rates, picks), 1):
-        seen, wanted = inputs[pick].astype(np.int64), targets[pick].astype(np.int64)
+        seen, wanted = inputs[pick], targets[pick].astype(np.int64)
         # Only the rows of ids that occur take part in a step.
-        met, place = np.unique(np.concatenate([seen.reshape(-1), wanted[wanted >= 0]]), return_inverse=True)
-        seen, wanted[wanted >= 0] = place[: seen.size].reshape(seen.shape), place[seen.size :]
-        own, class_of, pad = w | {"id": w["id"][met]}, model.class_of[met], int(np.searchsorted(met, model.pad))
-        g = backward(own, class_of, seen, wanted, forward(own, embedding(own, class_of), seen, pad if pad < len(met) and met[pad] == model.pad else -1))
-        for k, x in w.items():
-            at = met if k == "id" else slice(None)
-            first[k][at] += np.float32(0.1) * (g[k] - first[k][at])
-            second[k][at] += np.float32(0.01) * (g[k] ** 2 - second[k][at])
-            x[at] -= np.float32(rate) * (first[k][at] / np.float32(1 - 0.9**step)) / (np.sqrt(second[k][at] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+        occurs[:] = False
+        occurs[seen], occurs[wanted[wanted >= 0]] = True, True
+        met = np.flatnonzero(occurs)
+        place[met] = np.arange(len(met))
+        own, pad = w | {"id": w["id"][met]}, int(place[model.pad]) if occurs[model.pad] else -1
+        g = backward(own, model.class_of[met], place[seen], np.where(wanted >= 0, place[wanted], -1), pad=pad)
+        moved(dense, np.concatenate([g[k].reshape(-1) for k in names]), first[0], second[0], rate, step)
+        m, v = first[1][met], second[1][met]
+        moved(own["id"], g["id"], m, v, rate, step)
+        w["id"][met], first[1][met], second[1][met] = own["id"], m, v
 
 
 def train(ids: np.ndarray, ends: np.ndarray, counts: np.ndarray, steps: int = STEPS, seed: int = 5) -> Model:
@@ -315,8 +406,8 @@ def trained(sequences: DataFrame, n_windows: int, model: Model, seed: int = 5) -
             rng, mine = np.random.default_rng(seed + turn), []
             for batch in batches:
                 for _, _, ids, ends in id_groups(batch.column(0), kind):
-                    inputs, targets, _ = windows(ids, ends, model)
-                    mine.append((inputs[turn::ROUNDS].astype(kind), targets[turn::ROUNDS].astype(np.int32)))
+                    inputs, targets, _ = windows(ids, ends, model, slice(turn, None, ROUNDS))
+                    mine.append((inputs.astype(kind), targets.astype(np.int32)))
             if not sum(len(x) for x, _ in mine):
                 return
             inputs, targets = (np.concatenate(x) for x in zip(*mine))
@@ -339,19 +430,19 @@ def trained(sequences: DataFrame, n_windows: int, model: Model, seed: int = 5) -
     return model
 
 
-def log10_scores(model: Model, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """log10 probability of each id sequence (with its end mark)."""
-    out = np.zeros(len(ends) - 1)
+def log10_scores(model: Model, ids: np.ndarray, ends: np.ndarray, tables: Tables | None = None) -> np.ndarray:
+    """log10 probability of each id sequence (with its end mark). tables: the model's, where they are at hand."""
     inputs, targets, of = windows(ids, ends, model)
-    embedded = embedding(model.weights, model.class_of)
-    for a in range(0, len(inputs), SCORED):
-        block, wanted = inputs[a : a + SCORED], targets[a : a + SCORED]
-        f = forward(model.weights, embedded, block, model.pad)
-        rows, cols = np.nonzero(wanted >= 0)
-        hit = wanted[rows, cols]
-        found = f["logits"][rows, cols, model.class_of[hit]] - f["lse"][rows, cols] + model.log_within[hit]
-        out += np.bincount(of[a : a + SCORED][rows], found, minlength=len(out))
-    return out / math.log(10)
+    tables = tables or embedding(model.weights, model.class_of)
+    real, n_classes = targets >= 0, model.weights["out"].shape[1]
+    wanted, found = np.where(real, model.class_of[targets], 0), np.where(real, model.log_within[np.maximum(targets, 0)], 0)
+    steps = np.arange(BLOCK * WINDOW // 2) * n_classes
+    for a in range(0, len(inputs), BLOCK):
+        at = slice(a, a + BLOCK)
+        hit = wanted[at].reshape(-1)
+        f = forward(model.weights, tables, inputs[at], model.pad, hit + steps[: len(hit)])
+        found[at] += (f["hits"].reshape(-1, WINDOW // 2) - f["lse"]) * real[at]
+    return np.bincount(of, found.sum(axis=1), minlength=len(ends) - 1) / math.log(10)
 
 
 def sequences(words: pa.Array, index: np.ndarray, ends: np.ndarray, vocabulary: pieces.Vocabulary, place: np.ndarray | None = None, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -441,9 +532,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     kind, schema = kind_of(model), T.StructType([*own.schema.fields[:-1], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = embedding(model.weights, model.class_of)
         for batch in batches:
             for a, b, ids, ends in id_groups(batch.column(6), kind):
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], pa.array(log10_scores(model, ids, ends))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], pa.array(log10_scores(model, ids, ends, tables))], names=schema.names)
 
     scored = map_arrow(own, run, schema)
     rest = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))

@@ -427,3 +427,35 @@ def test_lm_trains_on_every_window(spark, monkeypatch):
     rows = spark.createDataFrame([(bytearray(np.array([k, 250, 251, size - 1], lm_score.kind_of(model)).tobytes()),) for k in range(n)], "ids binary").coalesce(1)
     after = lm_score.trained(rows, n, model)
     assert (np.abs(after.weights["id"][:n]).sum(axis=1) > 0).all()  # each of these ids stands in one window
+
+
+def test_lm_steps_go_by_blocks(monkeypatch):
+    """A step's gradients are the same by blocks as by all windows at once; held back, so are its scores."""
+    rng = np.random.default_rng(2)
+    ends = np.cumsum([0, *rng.integers(1, 60, 20)])
+    ids = rng.integers(0, 20, ends[-1])
+    ids[ends[1:] - 1] = 20
+    model = lm_score.train(ids, ends, np.bincount(ids, minlength=21), steps=20)
+    inputs, targets, of = lm_score.windows(ids, ends, model)
+    w = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    once = lm_score.backward(w, model.class_of, inputs, targets, lm_score.forward(w, lm_score.embedding(w, model.class_of), inputs, model.pad))
+    scores = lm_score.log10_scores(model, ids, ends)
+    monkeypatch.setattr(lm_score, "BLOCK", 7)
+    parts = lm_score.backward(w, model.class_of, inputs, targets, pad=model.pad)
+    assert once.keys() == parts.keys() == w.keys()
+    for name in w:
+        assert np.allclose(once[name], parts[name], rtol=1e-9, atol=1e-12), name
+    assert lm_score.log10_scores(model, ids, ends) == pytest.approx(scores, rel=1e-5)
+    half = [lm_score.windows(ids, ends, model, slice(k, None, 2)) for k in (0, 1)]
+    assert all((whole[k::2] == part[k2]).all() for k2, whole in enumerate((inputs, targets, of)) for k, part in enumerate(half))
+
+
+def test_lm_scores_beyond_bound_are_held():
+    rng = np.random.default_rng(4)
+    ids = np.append(rng.integers(0, 8, 63), 8)
+    model = lm_score.train(ids, np.array([0, 64]), np.bincount(ids, minlength=9), steps=2)
+    assert not lm_score.embedding(model.weights, model.class_of).far
+    model.weights["q"] *= np.float32(1e4)
+    assert lm_score.embedding(model.weights, model.class_of).far
+    found = lm_score.log10_scores(model, ids, np.array([0, 64]))
+    assert np.isfinite(found).all() and found[0] < 0
